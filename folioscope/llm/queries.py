@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from folioscope.llm import wavelet
+from folioscope.llm import fingerprint, mixing, shuffle, wavelet
 
 QUERIES = {
     "op2_wavelet_tokens": wavelet.op2_wavelet_tokens,
+    "op4_shuffle": shuffle.op4_shuffle,
+    "op6_mixing": mixing.op6_mixing,
+    "op10_fingerprint": fingerprint.op10_fingerprint,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_mixing": mixing.OP6_SQL,
+}
