@@ -36,6 +36,11 @@ def delete(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df``, a table of narrow rows, with the hint to broadcast it if a count finds at most ``rows``."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def crc_fold(column: str = "doc_id") -> F.Column:
     """crc32(doc_id as text) mod 5; rows of remainder 0 are held out from every training. Null ids count as ''."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 5

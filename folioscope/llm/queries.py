@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from folioscope.llm import decontaminate, fingerprint, mixing, shuffle, wavelet
+from folioscope.llm import decontaminate, fingerprint, jaccard, mixing, shuffle, wavelet
 
 QUERIES = {
     "op2_wavelet_tokens": wavelet.op2_wavelet_tokens,
     "op4_shuffle": shuffle.op4_shuffle,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_mixing": mixing.op6_mixing,
+    "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op10_fingerprint": fingerprint.op10_fingerprint,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op6_mixing": mixing.OP6_SQL,
+    "op8_jaccard_join": jaccard.OP8_SQL,
 }
