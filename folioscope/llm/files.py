@@ -19,12 +19,12 @@ def put(uri: str, name: str, data: bytes) -> None:
     store, folder = open_fs(uri)
     store.create_dir(folder, recursive=True)
     temporary = f"{folder}/_temporary.{name}.{uuid.uuid4().hex}"
-    with store.open_output_stream(temporary) as f:
+    with store.open_output_stream(temporary, compression=None) as f:
         f.write(data)
     store.move(temporary, f"{folder}/{name}")
 
 
 def get(uri: str, name: str) -> bytes:
     store, folder = open_fs(uri)
-    with store.open_input_stream(f"{folder}/{name}") as f:
+    with store.open_input_stream(f"{folder}/{name}", compression=None) as f:
         return f.read()

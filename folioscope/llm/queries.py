@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from folioscope.llm import decontaminate, fingerprint, jaccard, mixing, shuffle, wavelet
+from folioscope.llm import decontaminate, fingerprint, jaccard, mixing, shuffle, warc, wavelet
 
 QUERIES = {
     "op2_wavelet_tokens": wavelet.op2_wavelet_tokens,
+    "op3_warc": warc.op3_warc,
     "op4_shuffle": shuffle.op4_shuffle,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_mixing": mixing.op6_mixing,
