@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.llm import decontaminate, fingerprint, jaccard, mixing, shuffle, warc, wavelet
+from folioscope.llm import decontaminate, fingerprint, jaccard, language, mixing, shuffle, warc, wavelet
 
 QUERIES = {
     "op2_wavelet_tokens": wavelet.op2_wavelet_tokens,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_shuffle": shuffle.op4_shuffle,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_mixing": mixing.op6_mixing,
+    "op7_language_spans": language.op7_language_spans,
     "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op10_fingerprint": fingerprint.op10_fingerprint,
 }
