@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from folioscope.llm import decontaminate, fingerprint, jaccard, language, mixing, shuffle, warc, wavelet
+from folioscope.llm import decontaminate, fingerprint, jaccard, language, mixing, shuffle, toxicity, warc, wavelet
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_wavelet_tokens": wavelet.op2_wavelet_tokens,
     "op3_warc": warc.op3_warc,
     "op4_shuffle": shuffle.op4_shuffle,
