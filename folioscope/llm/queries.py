@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.llm import decontaminate, fingerprint, jaccard, language, mixing, shuffle, toxicity, warc, wavelet
+from folioscope.llm import decontaminate, extract, fingerprint, jaccard, language, mixing, shuffle, toxicity, warc, wavelet
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_language_spans": language.op7_language_spans,
     "op8_jaccard_join": jaccard.op8_jaccard_join,
+    "op9_extract": extract.op9_extract,
     "op10_fingerprint": fingerprint.op10_fingerprint,
 }
 
