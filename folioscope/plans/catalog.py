@@ -2,5 +2,434 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from folioscope.functions import text as fx
+from folioscope.operators import postings as px
+from folioscope.operators import ranking as rx
+from folioscope.operators import redirects
+from folioscope.plans import library, sql
+from folioscope.plans.library import articles, copies, entries, read
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Words that the sample queries ask for.
+WORDS = ["the", "est", "thin", "la"]
+REPEATED = ["the", "the", "thin", "est"]
+
+
+def query(text: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if text:
+            ORACLE_SQL[f.__name__] = text
+        return f
+
+    return add
+
+
+def count_of(terms: list[str]) -> dict[str, int]:
+    return {t: terms.count(t) for t in terms}
+
+
+TOP = "ORDER BY score DESC, archive, doc_id LIMIT 10"
+
+
+# --- index building -------------------------------------------------------------------------------
+
+
+@query(sql.BASE + " SELECT archive, term, doc_id, wdf FROM p")
+def postings_build(spark, sf_dir):
+    return px.postings(articles(spark, sf_dir))
+
+
+@query(sql.BASE + " SELECT archive, doc_id, doclen FROM l")
+def doc_length(spark, sf_dir):
+    return px.lengths(px.postings(articles(spark, sf_dir)))
+
+
+@query(sql.BASE + " SELECT archive, count(*) AS n_docs, CAST(sum(doclen) AS BIGINT) AS total_len, round(sum(doclen) / count(*), 6) AS average FROM l GROUP BY archive")
+def collection_stats(spark, sf_dir):
+    stats = px.collection(px.lengths_of(articles(spark, sf_dir)).where("doclen > 0"))
+    return stats.withColumn("average", F.round(F.col("total_len") / F.col("n_docs"), 6))
+
+
+@query(sql.BASE + " SELECT archive, term, df FROM (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY df DESC, term) AS k FROM (SELECT archive, term, count(*) AS df FROM p GROUP BY ALL)) WHERE k <= 50")
+def term_df_topk(spark, sf_dir):
+    found = px.term_frequencies(px.postings(articles(spark, sf_dir)))
+    order = Window.partitionBy("archive").orderBy(F.desc("df"), "term")
+    return found.withColumn("k", F.row_number().over(order)).where("k <= 50").drop("k")
+
+
+@query(sql.BASE + " SELECT archive, doc_id, CAST(sum(wdf * strlen(term)) AS BIGINT) AS indexed_bytes FROM p GROUP BY ALL")
+def indexed_text_size(spark, sf_dir):
+    return px.postings(articles(spark, sf_dir)).groupBy(*px.KEYS).agg(F.sum(F.col("wdf") * F.octet_length("term")).alias("indexed_bytes"))
+
+
+@query(f"WITH a AS ({sql.ARTICLES}) SELECT archive, doc_id, term, count(*) AS n FROM (SELECT archive, doc_id, unnest({sql.tokens('title')}) AS term FROM a) GROUP BY ALL")
+def title_postings(spark, sf_dir):
+    return px.postings(articles(spark, sf_dir), "title").withColumnRenamed("wdf", "n")
+
+
+# --- ranking --------------------------------------------------------------------------------------
+
+
+@query(sql.weights(count_of(WORDS), False) + f" SELECT * FROM s WHERE archive = 'en' {TOP}")
+def bm25_or_topk(spark, sf_dir):
+    return rx.top(rx.search(articles(spark, sf_dir).where("archive = 'en'"), WORDS), 10)
+
+
+@query(sql.weights(count_of(REPEATED), False) + f" SELECT * FROM s {TOP}")
+def bm25_repeated_word(spark, sf_dir):
+    return rx.top(rx.search(articles(spark, sf_dir), REPEATED), 10)
+
+
+@query(sql.weights(count_of(WORDS), True) + " SELECT * FROM s")
+def bm25_pooled_by_lang(spark, sf_dir):
+    return rx.search(articles(spark, sf_dir), WORDS, pooled=True)
+
+
+@query(sql.weights(count_of(WORDS), False) + " SELECT archive, doc_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 50")
+def per_archive_top50(spark, sf_dir):
+    return rx.top(rx.search(articles(spark, sf_dir), WORDS), rx.LOCAL_TOP, ["archive"])
+
+
+@query(sql.weights(count_of(WORDS), False, "ln(CASE WHEN r < 2 THEN r * 0.5 + 1 ELSE r END) * wqf * wdf / (doclen / average + wdf)") + f" SELECT * FROM s {TOP}")
+def trad_weighting_topk(spark, sf_dir):
+    return rx.top(rx.search(articles(spark, sf_dir), WORDS, weigh=rx.scheme("trad")), 10)
+
+
+@query(sql.weights(count_of(WORDS), False, "0.0") + " SELECT archive, doc_id, CAST(score AS DOUBLE) AS score FROM s")
+def bool_match_set(spark, sf_dir):
+    return rx.search(articles(spark, sf_dir), WORDS, weigh=rx.scheme("bool"))
+
+
+@query(sql.weights({"the": 1, "of": 1}, False, text="title") + " SELECT archive, doc_id FROM m GROUP BY ALL HAVING count(*) = 2")
+def title_and_match(spark, sf_dir):
+    return rx.all_terms(articles(spark, sf_dir), ["the", "of"])
+
+
+@query(f"WITH a AS ({sql.ARTICLES}), w AS (SELECT archive, doc_id, {sql.tokens('text')} AS w FROM a) SELECT archive, doc_id FROM w WHERE list_contains(w, 'the') AND NOT list_contains(w, 'thin')")
+def boolean_and_not(spark, sf_dir):
+    docs = articles(spark, sf_dir)
+    return rx.matches(docs, ["the"]).select(*px.KEYS).join(rx.matches(docs, ["thin"]), px.KEYS, "left_anti")
+
+
+@query(
+    sql.weights(count_of(WORDS), False)
+    + ", r AS (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY score DESC, doc_id) AS rank FROM s) SELECT archive, doc_id, CAST(rank AS INT) AS rank, CAST(row_number() OVER (ORDER BY rank, archive) AS INT) AS position FROM r WHERE rank <= 10"
+)
+def round_robin_merge(spark, sf_dir):
+    return rx.rotation(rx.top(rx.search(articles(spark, sf_dir), WORDS), 10, ["archive"])).select("archive", "doc_id", "rank", "position")
+
+
+@query(
+    "WITH q AS (SELECT item_id, unnest(list_distinct(list_slice(" + sql.tokens("text") + ", 1, 4))) AS term FROM benchmark), "
+    f"a AS ({sql.ARTICLES}), t AS (SELECT archive, doc_id, len(w) AS doclen, unnest(w) AS term FROM (SELECT archive, doc_id, {sql.tokens('text')} AS w FROM a)), "
+    "m AS (SELECT archive, doc_id, doclen, term, count(*) AS wdf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL), "
+    "n AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS average FROM (SELECT " + sql.tokens("text") + " AS w FROM a)), f AS (SELECT term, count(*) AS df FROM m GROUP BY term), "
+    "x AS (SELECT item_id, archive, doc_id, wdf, doclen, average, (n - df + 0.5) / (df + 0.5) AS r FROM q JOIN m USING (term) JOIN f USING (term) CROSS JOIN n), "
+    "s AS (SELECT item_id, archive, doc_id, round(sum(ln(CASE WHEN r < 2 THEN r * 0.5 + 1 ELSE r END) * 2 * wdf / (greatest(doclen / average, 0.5) * 0.5 + 0.5 + wdf)), 6) AS score FROM x GROUP BY ALL) "
+    "SELECT item_id, archive, doc_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, archive, doc_id) AS rank FROM s) WHERE rank <= 10"
+)
+def search_batch_benchmark(spark, sf_dir):
+    """All benchmark items as queries of their first four words, in one plan."""
+    asked = read(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(F.slice(fx.tokens(fx.fold(F.col("text"))), 1, 4))).alias("term"))
+    docs = articles(spark, sf_dir)
+    words = docs.select(*px.KEYS, fx.tokens(fx.fold(F.col("text"))).alias("w"))
+    each = words.select(*px.KEYS, F.size("w").cast("long").alias("doclen"), F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    found = each.groupBy(*px.KEYS, "term").agg(F.first("doclen").alias("doclen"), F.count("*").alias("wdf"))
+    stats = px.lengths_of(docs).agg(F.count("*").alias("n_docs"), (F.sum("doclen") / F.count("*")).alias("average"))
+    # frequencies come from the same postings, on the exchange by term that the join needs anyway
+    frequencies = found.groupBy("term").agg(F.count("*").alias("df"))
+    joined = found.join(frequencies, "term").join(asked, "term").crossJoin(F.broadcast(stats))
+    weight = rx.bm25(F.col("n_docs"), F.col("df"), F.lit(1), F.col("wdf"), F.col("doclen"), F.col("average"))
+    scored = joined.groupBy("item_id", *px.KEYS).agg(F.round(F.sum(weight), 6).alias("score"))
+    order = Window.partitionBy("item_id").orderBy(F.desc("score"), "archive", "doc_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where("rank <= 10")
+
+
+# --- lookups and redirects ------------------------------------------------------------------------
+
+
+@query(f"WITH RECURSIVE e AS ({sql.COPIES}), w AS (SELECT archive, src, dst AS goal, 1 AS hops FROM e UNION ALL SELECT w.archive, w.src, e.dst, hops + 1 FROM w JOIN e ON e.archive = w.archive AND e.src = w.goal WHERE hops < 50) SELECT archive, src, arg_max(goal, hops) AS terminal, CAST(max(hops) AS INT) AS hops FROM w GROUP BY ALL")
+def redirect_closure(spark, sf_dir):
+    return redirects.closure(copies(spark, sf_dir))
+
+
+@query(f"WITH e AS ({sql.COPIES}), k AS (SELECT lang AS archive, doc_id AS idx FROM documents WHERE doc_id % 3 <> 0) SELECT * FROM e ANTI JOIN k ON e.archive = k.archive AND e.dst = k.idx")
+def dangling_redirects(spark, sf_dir):
+    known = articles(spark, sf_dir).where("doc_id % 3 <> 0").select("archive", F.col("doc_id").alias("idx"))
+    return redirects.dangling(copies(spark, sf_dir), known)
+
+
+@query(f"WITH e AS ({sql.COPIES}), k AS (SELECT lang AS archive, doc_id AS idx FROM documents WHERE doc_id % 3 <> 0) SELECT * FROM e SEMI JOIN k ON e.archive = k.archive AND e.dst = k.idx")
+def live_redirects(spark, sf_dir):
+    known = articles(spark, sf_dir).where("doc_id % 3 <> 0").select("archive", F.col("doc_id").alias("idx"))
+    return redirects.live(copies(spark, sf_dir), known)
+
+
+@query(
+    f"WITH a AS ({sql.ARTICLES}), c AS (SELECT item_id, unnest([struct_pack(k := 1, c := p), struct_pack(k := 2, c := 'C/' || p), struct_pack(k := 3, c := 'C/' || replace(p, ' ', '_'))], recursive := true) FROM (SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'C/doc_' || item_id WHEN 1 THEN 'doc_' || item_id ELSE 'doc ' || item_id END AS p FROM benchmark)) "
+    "SELECT item_id, arg_min(path, k) AS path, CAST(min(k) AS INT) AS priority FROM c JOIN a ON a.path = c.c GROUP BY item_id"
+)
+def resolve_path_priority(spark, sf_dir):
+    """Requests as typed, below C/, and with underscores: the first candidate that exists wins."""
+    i = F.col("item_id")
+    typed = F.when(i % 3 == 0, F.concat(F.lit("C/doc_"), i)).when(i % 3 == 1, F.concat(F.lit("doc_"), i)).otherwise(F.concat(F.lit("doc "), i))
+    asked = read(spark, sf_dir, "benchmark").select("item_id", typed.alias("p"))
+    candidates = F.array("p", F.concat(F.lit("C/"), "p"), F.concat(F.lit("C/"), F.replace("p", F.lit(" "), F.lit("_"))))
+    tried = asked.select("item_id", F.posexplode(candidates).alias("k", "path"))
+    found = articles(spark, sf_dir).select("path").join(F.broadcast(tried), "path")
+    return found.groupBy("item_id").agg(F.min_by("path", "k").alias("path"), (F.min("k") + 1).alias("priority"))
+
+
+@query(
+    "WITH t AS (SELECT doc_id, lower(split_part(text, ' ', 1)) || '_' || lower(split_part(text, ' ', 2)) AS w FROM documents) "
+    "SELECT doc_id, upper(left(w, 1)) || substr(w, 2) AS upper_first, array_to_string(list_transform(string_split(w, '_'), lambda x: upper(left(x, 1)) || substr(x, 2)), '_') AS title_case, upper(replace(w, 'ß', 'SS')) AS upper FROM t"
+)
+def exact_lookup_candidates(spark, sf_dir):
+    part = F.split("text", " ")
+    word = F.concat(F.lower(F.get(part, 0)), F.lit("_"), F.lower(F.coalesce(F.get(part, 1), F.lit(""))))
+    docs = read(spark, sf_dir, "documents").select("doc_id", word.alias("w"))
+    return docs.select("doc_id", fx.upper_first(F.col("w")).alias("upper_first"), fx.title_case(F.col("w")).alias("title_case"), F.upper("w").alias("upper"))
+
+
+@query(
+    sql.weights(count_of(WORDS), True)
+    + f", e AS ({sql.COPIES}), t AS (SELECT archive, doc_id, 2 AS tier, 0.0 AS score FROM w WHERE doc_id % 50 = 0 UNION ALL SELECT archive, doc_id, 3, score FROM s),"
+    + " o AS (SELECT t.archive, t.doc_id, coalesce(e.dst, t.doc_id) AS target, tier, score FROM t LEFT JOIN e ON e.archive = t.archive AND e.src = t.doc_id),"
+    + " d AS (SELECT *, row_number() OVER (PARTITION BY archive, target ORDER BY tier, score DESC, doc_id) AS n FROM o)"
+    + " SELECT archive, target, CAST(tier AS INT) AS tier, CAST(score AS DOUBLE) AS score FROM d WHERE n = 1"
+)
+def tier_union_dedup(spark, sf_dir):
+    """Hits of two tiers, led to what they redirect to; each target once, from its first tier."""
+    docs = articles(spark, sf_dir)
+    named = docs.where("doc_id % 50 = 0").select(*px.KEYS, F.lit(2).alias("tier"), F.lit(0.0).alias("score"))
+    ranked = rx.search(docs, WORDS, pooled=True).select(*px.KEYS, F.lit(3).alias("tier"), "score")
+    edges = copies(spark, sf_dir).select("archive", F.col("src").alias("doc_id"), "dst")
+    hits = named.unionByName(ranked).join(edges, px.KEYS, "left").withColumn("target", F.coalesce("dst", "doc_id"))
+    hits = hits.withColumn("worst_first", -F.col("score"))
+    return rx.first_wins(hits, ["archive", "target"], ["tier", "worst_first", "doc_id"]).select("archive", "target", "tier", "score")
+
+
+@query(f"WITH a AS ({sql.ARTICLES}) SELECT archive, doc_id, coalesce(nullif(CASE WHEN doc_id % 4 = 0 THEN '' ELSE title END, ''), replace(regexp_replace(path, '^[^/]*/', ''), '_', ' ')) AS hit_title FROM a")
+def hit_title_fallback(spark, sf_dir):
+    title = F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("title"))
+    return articles(spark, sf_dir).select(*px.KEYS, F.coalesce(F.nullif(title, F.lit("")), fx.path_title(F.col("path"))).alias("hit_title"))
+
+
+# --- scalar rules ---------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, CASE WHEN length(text) <= 360 THEN text WHEN regexp_matches(left(text, 360), '\\s') THEN rtrim(regexp_extract(left(text, 360), '(?s)^(.*)\\s', 1)) ELSE left(text, 360) END AS preview FROM documents")
+def hit_preview(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", fx.preview(F.col("text")).alias("preview"))
+
+
+@query(f"WITH a AS ({sql.ARTICLES}) SELECT doc_id, replace(regexp_replace(path, '^[^/]*/', ''), '_', ' ') AS path_title FROM a")
+def path_title(spark, sf_dir):
+    return articles(spark, sf_dir).select("doc_id", fx.path_title(F.col("path")).alias("path_title"))
+
+
+@query(f"WITH a AS ({sql.ARTICLES}), t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN path ELSE title END AS p FROM a) SELECT doc_id, CASE WHEN regexp_matches(p, '^[A-Za-z-]/') THEN p ELSE 'C/' || replace(p, ' ', '_') END AS article_path FROM t")
+def article_path_normalize(spark, sf_dir):
+    typed = F.when(F.col("doc_id") % 2 == 0, F.col("path")).otherwise(F.col("title"))
+    return articles(spark, sf_dir).select("doc_id", fx.article_path(typed).alias("article_path"))
+
+
+@query("SELECT doc_id, strip_accents(lower(text)) AS folded FROM documents")
+def fold_accents(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", fx.fold(F.col("text")).alias("folded"))
+
+
+@query(f"SELECT doc_id, CAST(len(w) AS INT) AS n_tokens, CAST(len(list_distinct(w)) AS INT) AS n_terms FROM (SELECT doc_id, {sql.tokens('text')} AS w FROM documents)")
+def tokenize_counts(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", fx.tokens(fx.fold(F.col("text"))).alias("w"))
+    return docs.select("doc_id", F.size("w").alias("n_tokens"), F.size(F.array_distinct("w")).alias("n_terms"))
+
+
+@query("SELECT doc_id, len(list_filter(regexp_split_to_array(strip_accents(lower(text)), '\\s+'), lambda t: t <> '')) AS wordcount, strlen(strip_accents(lower(text))) // 500 + 1 AS boost FROM documents")
+def wordcount_title_boost(spark, sf_dir):
+    folded = fx.fold(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", fx.word_count(folded).alias("wordcount"), fx.title_boost(folded).alias("boost"))
+
+
+@query("SELECT doc_id, regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^ ', '') AS collapsed FROM documents")
+def whitespace_collapse(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", fx.collapse(F.col("text")).alias("collapsed"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'base64' ELSE 'utf-8' END AS encoding, CASE WHEN doc_id % 3 = 0 THEN to_base64(unhex('FF' || hex(left(text, 20)))) ELSE left(text, 20) END AS content FROM documents")
+def content_encoding(spark, sf_dir):
+    head = F.left("text", F.lit(20)).cast("binary")
+    data = F.when(F.col("doc_id") % 3 == 0, F.concat(F.unhex(F.lit("FF")), head)).otherwise(head)
+    encoding, content = fx.content(F.col("data"))
+    return read(spark, sf_dir, "documents").select("doc_id", data.alias("data")).select("doc_id", encoding.alias("encoding"), content.alias("content"))
+
+
+@query("SELECT doc_id, strlen(text) AS bytes FROM documents WHERE strlen(text) <= 4096")
+def size_guard(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes")).where("bytes <= 4096")
+
+
+@query("SELECT doc_id, title, trimmed FROM (SELECT doc_id, split_part(text, chr(10), 1) AS title, CASE WHEN strlen(split_part(text, chr(10), 1)) <= 238 THEN split_part(text, chr(10), 1) ELSE (SELECT max(left(split_part(text, chr(10), 1), n)) FROM range(1, 239) r(n) WHERE strlen(left(split_part(text, chr(10), 1), n)) <= 238) END AS trimmed FROM documents)")
+def entry_title_trim(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.get(F.split("text", "\n"), 0).alias("title"))
+    return docs.withColumn("trimmed", fx.trim_title(F.col("title")))
+
+
+@query("SELECT item_id, regexp_extract_all(text, '[0-9A-Za-z]+')[1] AS first_word, '日本語' || item_id AS text, ['日', '本', '語', '日本', '本語'] AS grams FROM benchmark")
+def cjk_ngrams(spark, sf_dir):
+    items = read(spark, sf_dir, "benchmark").select("item_id", F.get(F.regexp_extract_all("text", F.lit("([0-9A-Za-z]+)"), F.lit(1)), 0).alias("first_word"), F.concat(F.lit("日本語"), "item_id").alias("text"))
+    return items.withColumn("grams", fx.cjk_grams(F.col("text")))
+
+
+# --- pages ----------------------------------------------------------------------------------------
+
+#: Elements whose text is skipped, and elements that end a paragraph when they open.
+_SKIP = "style script table figure sup title h1".split()
+_CLOSERS = "h[1-6]|ul|ol|div|section|table|blockquote|figure|pre|dl"
+
+
+def _stripped_sql() -> str:
+    out = "html"
+    steps = [(rf"(?is)<{tag}(?:[\s/][^>]*)?>.*?(?:</{tag}[^>]*>|$)", "''") for tag in _SKIP]
+    steps += [(r"(?is)<p(?:[\s/][^>]*)?>", "chr(1)"), (rf"(?is)<(?:{_CLOSERS})(?:[\s/][^>]*)?>", "chr(2)"), (r"(?s)<[^>]*>", "''")]
+    for pattern, by in steps:
+        out = f"regexp_replace({out}, '{pattern}', {by}, 'g')"
+    return out
+
+
+_P_SQL = _stripped_sql()
+_DECODE_SQL = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
+
+
+def paragraphs(html):
+    """Text from each <p> to the next <p> or opening block; end tags close nothing, skipped elements vanish."""
+    bare = html
+    for tag in _SKIP:
+        bare = F.regexp_replace(bare, rf"(?is)<{tag}(?:[\s/][^>]*)?>.*?(?:</{tag}[^>]*>|$)", "")
+    bare = F.regexp_replace(bare, r"(?is)<p(?:[\s/][^>]*)?>", "\x01")
+    bare = F.regexp_replace(bare, rf"(?is)<(?:{_CLOSERS})(?:[\s/][^>]*)?>", "\x02")
+    bare = F.regexp_replace(bare, r"(?s)<[^>]*>", "")
+    for name, value in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&")):
+        bare = F.replace(bare, F.lit(f"&{name};"), F.lit(value))
+    parts = F.filter(F.split(bare, "\x01"), lambda p, i: i > 0)
+    cut = F.transform(parts, lambda p: F.trim(F.regexp_replace(F.get(F.split(p, "\x02"), 0), r"\s+", " ")))
+    return F.filter(cut, lambda p: p != "")
+
+
+@query(f"SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(1))[2:], lambda p: trim(regexp_replace(split_part(p, chr(2), 1), '\\s+', ' ', 'g'))), lambda p: p <> ''), chr(10)) AS paragraphs FROM (SELECT page_id, {_DECODE_SQL.format(_P_SQL)} AS t FROM pages)")
+def html_paragraphs(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.array_join(paragraphs(F.col("html")), "\n").alias("paragraphs"))
+
+
+@query("SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS h1 FROM pages")
+def html_title_h1(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1).alias("h1"))
+
+
+@query("""SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages""")
+def html_link_extract(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("href"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\\?([^#]*)', 1) AS query FROM pages")
+def url_split_parts(spark, sf_dir):
+    part = lambda name: F.coalesce(F.parse_url("url", F.lit(name)), F.lit("")).alias(name.lower())
+    return read(spark, sf_dir, "pages").select("page_id", F.lower(F.parse_url("url", F.lit("PROTOCOL"))).alias("scheme"), part("HOST"), part("PATH"), part("QUERY"))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&apos;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS h1 FROM pages")
+def entity_decode_basic(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", fx.simple_entities(F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1)).alias("h1"))
+
+
+# --- archive building -----------------------------------------------------------------------------
+
+_ENTRIES_SQL = f"WITH a AS ({sql.ARTICLES}), e AS ({sql.ENTRIES})"
+
+
+@query(_ENTRIES_SQL + " SELECT string_agg(mime_type || '=' || n, ';' ORDER BY mime_type) AS counter FROM (SELECT mime_type, count(*) AS n FROM e GROUP BY 1)")
+def mime_counter(spark, sf_dir):
+    counts = entries(spark, sf_dir).groupBy("mime_type").agg(F.count("*").alias("n"))
+    return counts.agg(F.array_join(F.sort_array(F.collect_list(F.concat("mime_type", F.lit("="), "n"))), ";").alias("counter"))
+
+
+@query(_ENTRIES_SQL + " SELECT archive, path, coalesce(nullif(title, ''), path) AS title, CAST(row_number() OVER (PARTITION BY archive ORDER BY encode(coalesce(nullif(title, ''), path)), encode(path)) AS INT) AS position FROM e")
+def title_ordered_listing(spark, sf_dir):
+    titled = entries(spark, sf_dir).select("archive", "path", F.coalesce(F.nullif("title", F.lit("")), "path").alias("title"))
+    return titled.withColumn("position", F.row_number().over(Window.partitionBy("archive").orderBy("title", "path")))
+
+
+@query(_ENTRIES_SQL + " SELECT archive, path, CAST(row_number() OVER (PARTITION BY archive ORDER BY path) - 1 AS INT) AS idx FROM e")
+def entry_index_assign(spark, sf_dir):
+    return entries(spark, sf_dir).select("archive", "path", (F.row_number().over(Window.partitionBy("archive").orderBy("path")) - 1).alias("idx"))
+
+
+@query("SELECT lang AS archive, count(*) AS entry_count, true AS searchable FROM documents GROUP BY 1 UNION ALL SELECT 'web', count(*), false FROM pages")
+def archive_list(spark, sf_dir):
+    made = entries(spark, sf_dir).groupBy("archive").agg(F.count("*").alias("entry_count"))
+    return made.withColumn("searchable", F.col("archive") != "web")
+
+
+@query(_ENTRIES_SQL + " SELECT count(*) AS processed, count(*) FILTER (WHERE mime_type = 'text/html') AS converted, count(*) FILTER (WHERE title = '') AS untitled, CAST(sum(bytes) AS BIGINT) AS bytes FROM e")
+def conversion_summary(spark, sf_dir):
+    return entries(spark, sf_dir).agg(
+        F.count("*").alias("processed"),
+        F.count_if(F.col("mime_type") == "text/html").alias("converted"),
+        F.count_if(F.col("title") == "").alias("untitled"),
+        F.sum(F.col("bytes").cast("long")).alias("bytes"),
+    )
+
+
+# --- sections -------------------------------------------------------------------------------------
+
+
+@query(
+    "WITH r AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents), "
+    f"t AS (SELECT doc_id, pos, {sql.tokens('line')} AS w FROM r), m AS (SELECT doc_id, pos, len(w) AS len, term, len(list_filter(w, lambda x: x = term)) AS wdf FROM t, (VALUES ('the'), ('est'), ('la')) q(term)), "
+    "n AS (SELECT doc_id, count(*) AS n, sum(len(w)) / count(*) AS average FROM t GROUP BY 1), f AS (SELECT doc_id, term, count(*) AS df FROM m WHERE wdf > 0 GROUP BY ALL), "
+    "x AS (SELECT m.*, average, (n - df + 0.5) / (df + 0.5) AS r FROM m JOIN n USING (doc_id) JOIN f USING (doc_id, term) WHERE wdf > 0) "
+    "SELECT doc_id, CAST(pos AS INT) AS pos, round(sum(ln(CASE WHEN r < 2 THEN r * 0.5 + 1 ELSE r END) * 2 * wdf / (greatest(len / average, 0.5) * 0.5 + 0.5 + wdf)), 6) AS score FROM x GROUP BY ALL"
+)
+def region_bm25(spark, sf_dir):
+    return _regions(spark, sf_dir)
+
+
+def equals(term: str) -> Callable:
+    return lambda t: t == term
+
+
+def _regions(spark, sf_dir):
+    """Scores of a document's lines as regions, with the document's own statistics. Nothing leaves the row: a
+    document's regions are one array, so there is no exchange but the final grouping of its regions."""
+    wanted = ["the", "est", "la"]
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    words = docs.select("doc_id", "pos", fx.tokens(fx.fold(F.col("line"))).alias("w"))
+    own = Window.partitionBy("doc_id")
+    words = words.withColumn("len", F.size("w")).withColumn("n", F.count("*").over(own)).withColumn("average", F.sum("len").over(own) / F.count("*").over(own))
+    scores = []
+    for term in wanted:
+        words = words.withColumn(f"wdf_{term}", F.size(F.filter("w", equals(term))))
+        words = words.withColumn(f"df_{term}", F.count_if(F.col(f"wdf_{term}") > 0).over(own))
+        weight = rx.bm25(F.col("n"), F.col(f"df_{term}"), F.lit(1), F.col(f"wdf_{term}"), F.col("len"), F.col("average"))
+        scores.append(F.when(F.col(f"wdf_{term}") > 0, weight))
+    found = words.withColumn("parts", F.array_compact(F.array(*scores))).where(F.size("parts") > 0)
+    return found.select("doc_id", "pos", F.round(F.aggregate("parts", F.lit(0.0), lambda a, x: a + x), 6).alias("score"))
+
+
+@query(
+    ORACLE_SQL["region_bm25"].replace("SELECT doc_id, CAST(pos AS INT) AS pos, round(", ", s AS (SELECT doc_id, pos, round(", 1)
+    + "), g AS (SELECT s.doc_id, pos, score, max(score) OVER (PARTITION BY s.doc_id) AS best, n FROM s JOIN n USING (doc_id)), k AS (SELECT doc_id, max(n) AS n, count(*) AS kept, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM g WHERE score >= 0.5 * best AND best > 0 GROUP BY doc_id) SELECT doc_id, CASE WHEN kept <= 0.4 * n THEN positions END AS positions FROM k"
+)
+def section_coverage_gate(spark, sf_dir):
+    """Regions of at least half the best score, in order; none if they are over two fifths of the document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n")).alias("n"))
+    scored = _regions(spark, sf_dir).withColumn("best", F.max("score").over(Window.partitionBy("doc_id")))
+    kept = scored.where("score >= 0.5 * best and best > 0").groupBy("doc_id").agg(F.array_sort(F.collect_list("pos")).alias("at"))
+    return kept.join(docs, "doc_id").select("doc_id", F.when(F.size("at") <= F.col("n") * 0.4, F.array_join("at", ",")).alias("positions"))
