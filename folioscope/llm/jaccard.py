@@ -5,11 +5,12 @@ likeness is ``PERCENT`` / 100 or more. The join is exact (up to 64-bit hashes of
 
 1. Equal sets collapse into one, by a 128-bit digest.
 2. Routing. Linked sets differ in at most D shingles, where D follows from their sizes. At a level of
-   sizes the shingles are hashed into D + 1 groups, so one group at least has the same shingles in
-   both sets; the content of each group is a signature. A set with an empty group, whose lack of
-   content would meet all the others', also gives the shingles of its prefix filter. Sets that share
-   a signature may link; each is tied to the least one of its signature, and the components of
-   these ties bound what can link. No set pairs are emitted.
+   sizes the shingles are hashed into D + 1 + E groups, so 1 + E groups have the same shingles in both
+   sets, and in a set with at most E empty groups one of them isn't empty; the content of each filled
+   group is a signature. Sets with more empty groups also give the shingles of their prefix filter.
+   Sets that share a signature may link. Each is tied to the least one of its signature: first
+   within a task, which passes a signature on once, then within a range of signatures, so a
+   signature of very many sets costs each task a row. The ties' components bound what can link.
 3. In a component, cut into blocks of bounded size, the sets' shingles are counted by ``GROUPS``
    hash groups, and the counts are points in an R-tree. The summed coordinate minima of two points, or
    of a point and a box's upper corner, bound the overlap; a search gets the points whose bound
@@ -33,11 +34,13 @@ from folioscope.llm import common
 
 SHINGLE, PERCENT = 3, 90
 #: Coordinates of a point, and entries of a tree's node.
-GROUPS, FANOUT = 16, 32
+GROUPS, FANOUT = 64, 32
 #: A block's sets and shingles, about.
 BLOCK_SETS, BLOCK_SHINGLES = 2048, 4_000_000
 #: Signature levels: sizes grow by this ratio from one to the next.
 RATIO = 1.25
+#: Signatures that a task gathers before it passes them on.
+SIGNATURES_HELD = 4_000_000
 #: Distinct words whose hashes a task keeps.
 WORDS_KEPT = 1_000_000
 
@@ -88,20 +91,31 @@ class Levels:
 
     def __init__(self, percent: int = PERCENT):
         self.percent = percent
-        self.starts, self.groups = [1], []
+        self.starts, self.groups, self.spare = [1], [], []
 
     def _reach(self, n: int) -> None:
         while self.starts[-1] <= n:
             self.starts.append(max(self.starts[-1] + 1, int(self.starts[-1] * RATIO)))
-            self.groups.append(max(0, may_differ(2 * (self.starts[-1] - 1), self.percent)) + 1)
-
-    def of(self, n: int) -> list[tuple[int, int]]:
-        """(level, groups) at which a set of n shingles gives signatures: its own, and the next ones with sizes that may link."""
+            differ = max(0, may_differ(2 * (self.starts[-1] - 1), self.percent))
+            self.groups.append(differ + 1 + self._spare(differ, self.starts[-2] * self.percent / 100) if differ else 1)
+            self.spare.append(self.groups[-1] - differ - 1)
+
+    @staticmethod
+    def _spare(differ: int, least: float) -> int:
+        """E: as many empty groups as the smallest sets of a level have by chance, but for one set in a thousand."""
+        for e in range(differ + 2):
+            empty = (differ + 1 + e) * np.exp(-least / (differ + 1 + e))
+            if empty + 3 * np.sqrt(empty) <= e:
+                return e
+        return differ + 1
+
+    def of(self, n: int) -> list[tuple[int, int, int]]:
+        """(level, groups, E) at which a set of n shingles gives signatures: its own, and the next ones with sizes that may link."""
         self._reach(int(n * 100 / self.percent) + 2)
         own = int(np.searchsorted(self.starts, n, side="right")) - 1
         out = []
         while own < len(self.groups) and self.starts[own] * self.percent <= n * 100:
-            out.append((own, self.groups[own]))
+            out.append((own, self.groups[own], self.spare[own]))
             own += 1
         return out
 
@@ -110,7 +124,7 @@ def signatures(found: np.ndarray, levels: Levels) -> np.ndarray:
     """64-bit signatures of a set: linked sets share one, if they differ."""
     out = []
     spread, weight = mix(found, 11) >> np.uint64(8), mix(found, 12)
-    for level, groups in levels.of(len(found)):
+    for level, groups, spare in levels.of(len(found)):
         if groups == 1:
             continue  # no sets of these sizes link but equal ones
         group = spread % np.uint64(groups)
@@ -118,7 +132,7 @@ def signatures(found: np.ndarray, levels: Levels) -> np.ndarray:
         np.add.at(held, group, weight)
         filled = np.flatnonzero(np.bincount(group.astype(np.int64), minlength=groups))
         out.append(mix(held[filled] + mix(filled.astype(np.uint64), 1000 + level)))
-        if len(filled) < groups:
+        if groups - len(filled) > spare:
             prefix = len(found) - need_of_one(len(found), levels.percent) + 1
             out.append(mix(found[:prefix], 5000 + level))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
@@ -129,6 +143,28 @@ def need_of_one(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def _stars(signs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each signature once, with its least node; and ties (a, b) of its other nodes to that one, each once."""
+    order = np.lexsort((nodes, signs))
+    signs, nodes = signs[order], nodes[order]
+    new = np.ones(len(signs), bool)
+    new[1:] = signs[1:] != signs[:-1]
+    heads = np.flatnonzero(new)
+    least = np.repeat(nodes[heads], np.diff(np.append(heads, len(signs))))
+    tied = nodes != least
+    pairs = np.unique(np.column_stack([nodes[tied], least[tied]]), axis=0)
+    return signs[heads], nodes[heads], pairs[:, 0], pairs[:, 1]
+
+
+_DESCRIBED = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("range", pa.int32()), ("signs", pa.binary()), ("nodes", pa.binary()), ("tie_a", pa.int64()), ("tie_b", pa.int64())])
+
+
+def _described(**columns: object) -> pa.RecordBatch:
+    """Rows of which only some columns are filled."""
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _DESCRIBED], schema=_DESCRIBED)
+
+
 class CountTree:
     """An R-tree over points of group counts, packed by set size."""
 
@@ -166,7 +202,7 @@ def links(texts: list[bytes], labels: list[int], probes: list[bool], percent: in
     """
     sets = [shingles(t, size) for t in texts]
     sizes = np.array([len(s) for s in sets], np.int64)
-    points = np.stack([np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=GROUPS) for s in sets]) if sets else np.zeros((0, GROUPS), np.int64)
+    points = np.stack([np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS) for s in sets]) if sets else np.zeros((0, GROUPS), np.int64)
     tree = CountTree(points, sizes, percent)
     dense = np.unique(np.concatenate(sets), return_inverse=True)[1] if sets else np.zeros(0, np.int64)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
@@ -234,34 +270,73 @@ def classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Dat
     lowest = -(2**63)
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("node"), "text")
 
+    ranges = 2 * n_parts
+
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = Levels(percent)
+        signs: list[np.ndarray] = []
+        nodes: list[np.ndarray] = []
+        held = 0
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            sign, node, a, b = _stars(np.concatenate(signs), np.concatenate(nodes))
+            yield _described(tie_a=a, tie_b=b)
+            cuts = np.searchsorted(sign, (np.arange(ranges + 1, dtype=np.float64) / ranges * 2.0**64)[1:-1].astype(np.uint64)).tolist()
+            for k, (x, y) in enumerate(zip([0, *cuts], [*cuts, len(sign)], strict=True)):
+                if x < y:
+                    yield _described(range=[k], signs=[sign[x:y].tobytes()], nodes=[node[x:y].tobytes()])
+
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                n, d1, d2, signs = [], [], [], []
-                for text in part.column(1).cast(pa.binary()).to_pylist():
+            for at in range(0, len(batch), 1024):
+                part = batch.slice(at, 1024)
+                keys, n, d1, d2 = part.column(0).to_pylist(), [], [], []
+                for key, text in zip(keys, part.column(1).cast(pa.binary()).to_pylist(), strict=True):
                     found = shingles(text, size)
                     n.append(len(found))
                     d1.append(mix(found, 1).sum(dtype=np.uint64).astype(np.int64))
                     d2.append(mix(found, 2).sum(dtype=np.uint64).astype(np.int64))
-                    signs.append(signatures(found, levels).view(np.int64))
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in signs])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(signs)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists], names=["node", "n", "d1", "d2", "signs"])
+                    signs.append(signatures(found, levels))
+                    nodes.append(np.full(len(signs[-1]), key, np.int64))
+                    held += len(signs[-1])
+                yield _described(node=keys, n=n, d1=d1, d2=d2)
+                if held >= SIGNATURES_HELD:
+                    yield from passed_on()
+                    signs, nodes, held = [], [], 0
+        if held:
+            yield from passed_on()
+
+    def tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, signs, nodes = None, [], []
+
+        def out() -> pa.RecordBatch:
+            _, _, a, b = _stars(np.frombuffer(b"".join(signs), np.uint64), np.frombuffer(b"".join(nodes), np.int64))
+            return pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
 
-    described = common.table(ids.mapInArrow(describe, "node long, n long, d1 long, d2 long, signs array<long>"), "jaccard-sets")
+        for batch in batches:
+            for k, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != now and signs:
+                    yield out()
+                    signs, nodes = [], []
+                now = k
+                signs.append(x)
+                nodes.append(y)
+        if signs:
+            yield out()
+
+    made = common.table(ids.mapInArrow(describe, "node long, n long, d1 long, d2 long, range int, signs binary, nodes binary, tie_a long, tie_b long"), "jaccard-sets")
+    described = made.where("n is not null").select("node", "n", "d1", "d2")
     full = described.where("n > 0")
     equal = full.groupBy("n", "d1", "d2").agg(F.min("node").alias("least"), F.count("*").alias("copies"))
     equal = common.table(equal.where("copies > 1").drop("copies"), "jaccard-equal")
     # ties of rows to the least row of their set; only sets of several rows are joined
-    copies = full.join(common.small(equal), ["n", "d1", "d2"]).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    copies = full.join(common.small(equal), ["n", "d1", "d2"]).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     copies = common.table(copies, "jaccard-copies")
-    lone = full.join(common.small(copies.select(F.col("a").alias("node")).distinct()), "node", "left_anti")
-    signed = lone.select("node", "n", F.explode("signs").alias("sign"))
-    shared = signed.groupBy("sign").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("sign", "least")
-    ties = signed.join(shared, "sign").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    may = common.components(ties, "jaccard-may")
+    ranged = made.where("range is not null").select("range", "signs", "nodes").repartition(n_parts, "range").sortWithinPartitions("range")
+    ties = ranged.mapInArrow(tied, "a long, b long").union(made.where("tie_a is not null").select(F.col("tie_a").alias("a"), F.col("tie_b").alias("b"))).distinct()
+    for end in ("a", "b"):  # of equal sets the least one stands for all
+        least = common.small(copies.select(F.col("a").alias(end), F.col("b").alias("_least")))
+        ties = ties.join(least, end, "left").withColumn(end, F.coalesce("_least", end)).drop("_least")
+    may = common.components(ties.select("a", "b"), "jaccard-may")
     sizes = full.select("node", "n").groupBy("node").agg(F.max("n").alias("n"))
     may = common.table(may.join(sizes, may["id"] == sizes["node"]).select("node", "n", F.col("component").alias("within")), "jaccard-may-link")
     weight = may.groupBy("within").agg(F.expr(f"cast(ceil(greatest(count(*) / {BLOCK_SETS}, sum(n) / {BLOCK_SHINGLES})) as int)").alias("blocks"))
