@@ -19,8 +19,8 @@ from folioscope.llm import common
 
 MAX_REPEATS, BLOCK_TOKENS, SEED = 2.0, 1_000_000, "mix-1"
 WORDS = r"[^ \t\n\x0B\f\r]+"
-#: Exponents tried at once, and rounds: the bracket shrinks below 1e-14.
-TRIES, ROUNDS = 64, 8
+#: Exponents tried at once, and rounds: the bracket shrinks below 1e-12.
+TRIES, ROUNDS = 64, 7
 
 
 def n_tokens(text: str = "text") -> F.Column:
@@ -36,8 +36,9 @@ def exponent(totals: DataFrame, max_repeats: float | None, entropy: float | None
     shares = totals.where("tokens > 0").select((F.col("tokens") / F.sum("tokens").over(Window.partitionBy())).alias("p"), "tokens")
     low, high = 0.0, 1.0
     for _ in range(ROUNDS):
-        grid = [low + (high - low) * i / (TRIES - 1) for i in range(TRIES)]
-        at = shares.select("p", "tokens", F.posexplode(F.array(*[F.lit(a) for a in grid])).alias("i", "a")).withColumn("v", F.pow("p", "a"))
+        step = (high - low) / (TRIES - 1)
+        grid = [low + step * i for i in range(TRIES)]
+        at = shares.select("p", "tokens", F.explode(F.sequence(F.lit(0), F.lit(TRIES - 1))).alias("i")).withColumn("v", F.pow("p", F.lit(low) + F.lit(step) * F.col("i")))
         z = at.groupBy("i").agg(F.sum("v").alias("z"), F.sum(F.col("v") * F.log("v")).alias("vl"), F.max(F.col("v") / F.col("tokens")).alias("most"), F.max(F.col("tokens") / F.col("v")).alias("need"))
         tried = {r["i"]: r for r in z.collect()}
         if not tried:
@@ -63,11 +64,11 @@ def mix(docs: DataFrame, max_repeats: float = MAX_REPEATS, entropy: float | None
     once, so none is left out. Adds n_tokens (words), epoch (int, from 1), block (long, from 0)
     and mix_key, by which a block's rows are sorted to permute it. Null sources are one source;
     null texts have no tokens; sources without tokens pass once. Ties and repeated rows are
-    ordered by doc_id and text. Empty tables give no rows. Columns of those names are replaced.
+    ordered by doc_id and a hash of the text. Empty tables give no rows. Columns of those names are replaced.
     """
     spark = docs.sparkSession
     own = [c for c in docs.columns if c not in ("n_tokens", "epoch", "block", "mix_key")]
-    counted = docs.select(*[f"`{c}`" for c in own], n_tokens().alias("n_tokens"))
+    counted = docs.select(*[f"`{c}`" for c in own], n_tokens().alias("n_tokens"), F.xxhash64("text").alias("_tie"))
     totals = common.table(counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), "mix-totals", 1)
     a = round(exponent(totals, max_repeats, entropy, budget), 9)
     every = Window.partitionBy()
@@ -90,7 +91,7 @@ def mix(docs: DataFrame, max_repeats: float = MAX_REPEATS, entropy: float | None
     slim = passes.groupBy("_sid", "epoch", "_range").agg(F.sum("n_tokens").alias("_held"))
     before = F.sum("_held").over(Window.partitionBy("_sid", "epoch").orderBy("_range")) - F.col("_held")
     ranges = common.table(slim.select("_sid", "epoch", "_range", before.alias("_before")), "mix-ranges")
-    inside = Window.partitionBy("_sid", "epoch", "_range").orderBy("_key", "doc_id", "text")
+    inside = Window.partitionBy("_sid", "epoch", "_range").orderBy("_key", "doc_id", "_tie")
     placed = passes.withColumn("_inside", F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
     placed = placed.join(ranges, ["_sid", "epoch", "_range"])
     placed = placed.withColumn("_at", F.col("_before") + F.col("_inside")).where("epoch <= full or _at < rest")
