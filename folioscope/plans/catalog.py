@@ -433,3 +433,103 @@ def section_coverage_gate(spark, sf_dir):
     scored = _regions(spark, sf_dir).withColumn("best", F.max("score").over(Window.partitionBy("doc_id")))
     kept = scored.where("score >= 0.5 * best and best > 0").groupBy("doc_id").agg(F.array_sort(F.collect_list("pos")).alias("at"))
     return kept.join(docs, "doc_id").select("doc_id", F.when(F.size("at") <= F.col("n") * 0.4, F.array_join("at", ",")).alias("positions"))
+
+
+# --- regions, rendering and conversion -------------------------------------------------------------
+
+
+@query()
+def html_to_md(spark, sf_dir):
+    from folioscope.operators import sections
+
+    pages = read(spark, sf_dir, "pages")
+    title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
+    return pages.select("page_id", sections.html_to_md("html", title, F.lit("eng")).alias("markdown"))
+
+
+@query()
+def html_sections(spark, sf_dir):
+    from folioscope.operators import sections
+
+    return sections.sections(read(spark, sf_dir, "pages"), "html", ["page_id"])
+
+
+@query()
+def md_section_content(spark, sf_dir):
+    from folioscope.operators import sections
+
+    turns = read(spark, sf_dir, "conversations").select("conv_id", F.concat(F.lit("## "), F.col("turn"), F.lit("\n\n"), "text").alias("part"), "turn")
+    whole = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "part"))), lambda s: s["part"]), "\n\n").alias("md"))
+    return whole.select("conv_id", sections.md_section_content("md", F.lit("1")).alias("content"))
+
+
+@query("SELECT page_id, coalesce(trim(regexp_replace(regexp_extract(html, '(?s)<p[^>]*>(?:<b>)?([^<]*)', 1), '\\s+', ' ', 'g')), '') AS lead FROM pages")
+def html_lead(spark, sf_dir):
+    lead = F.regexp_extract("html", r"(?s)<p[^>]*>(?:<b>)?([^<]*)", 1)
+    return read(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_replace(lead, r"\s+", " ")).alias("lead"))
+
+
+@query()
+def html_unescape(spark, sf_dir):
+    from folioscope.operators import sections
+
+    return read(spark, sf_dir, "pages").select("page_id", sections.html_unescape(F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1)).alias("h1"))
+
+
+@query()
+def url_percent_decode(spark, sf_dir):
+    from folioscope.operators import sections
+
+    return read(spark, sf_dir, "pages").select("page_id", sections.percent_decode("url").alias("url"))
+
+
+def library_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as container entries of one archive."""
+    pages = read(spark, sf_dir, "pages")
+    url = F.concat(F.lit("page_"), "page_id")
+    return pages.select(
+        F.lit("web").alias("archive"),
+        (F.row_number().over(Window.orderBy("page_id")) - 1).cast("long").alias("entry_idx"),
+        F.lit("C").alias("namespace"),
+        url.alias("url"),
+        F.concat(F.lit("C/"), url).alias("full_path"),
+        F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"),
+        F.lit("text/html").alias("mime_type"),
+        F.lit("item").alias("kind"),
+        F.lit(None).cast("long").alias("redirect_idx"),
+        F.col("html").cast("binary").alias("content"),
+    )
+
+
+@query()
+def convert_articles(spark, sf_dir):
+    from folioscope.operators import conversion
+
+    return conversion.convert(library_entries(spark, sf_dir))["articles"]
+
+
+@query()
+def convert_full_text(spark, sf_dir):
+    from folioscope.operators import conversion
+
+    return conversion.convert(library_entries(spark, sf_dir))["full_text"]
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'text/html' WHEN doc_id % 4 = 1 THEN 'application/json' WHEN doc_id % 4 = 2 THEN 'image/png' ELSE 'image/svg+xml' END AS mime, doc_id % 4 <> 2 AS compressible FROM documents")
+def compressible_mime(spark, sf_dir):
+    mimes = F.array(*[F.lit(m) for m in ("text/html", "application/json", "image/png", "image/svg+xml")])
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.get(mimes, (F.col("doc_id") % 4).cast("int")).alias("mime"))
+    return docs.withColumn("compressible", fx.compressible(F.col("mime")))
+
+
+@query("SELECT page_id, page_id % 3 = 0 AS category FROM pages")
+def category_pages(spark, sf_dir):
+    body = F.when(F.col("page_id") % 3 == 0, F.lit('<body class="a ns-14 b">')).otherwise(F.lit('<body class="ns-140" id=x>'))
+    pages = read(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("<body>"), body).alias("html"))
+    return pages.select("page_id", fx.is_category_page(F.col("html")).alias("category"))
+
+
+@query("SELECT item_id, trim(c) AS code FROM (SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'fra' WHEN 1 THEN 'eng' WHEN 2 THEN 'fr' ELSE 'es' END AS c FROM benchmark)")
+def language_codes(spark, sf_dir):
+    values = F.array(*[F.lit(v) for v in ("fra, eng", "ENG", "fr-FR", " es_MX;en")])
+    return read(spark, sf_dir, "benchmark").select("item_id", fx.language_code(F.get(values, (F.col("item_id") % 4).cast("int"))).alias("code"))

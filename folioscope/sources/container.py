@@ -21,7 +21,7 @@ import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "archive string, entry_idx long, namespace string, url string, full_path string, title string, mime_type string, kind string, redirect_idx long, content binary"
 
@@ -182,22 +182,12 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = [p for p in options["path"].split(",") if p]
         self.with_content = str(options.get("content", "true")).lower() != "false"
-        self.only: str | None = None
-
-    def pushFilters(self, filters):
-        """A wanted archive's file alone is opened."""
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("archive",):
-                self.only = f.value
-            yield f
 
     def partitions(self) -> list[Range]:
         out = []
         for path in self.paths:
-            name = path.rpartition("/")[2]
-            if self.only in (None, name):
-                n = Container(path).header.entries
-                out += [Range(path, name, k, min(n, k + ENTRIES_A_PARTITION)) for k in range(0, n, ENTRIES_A_PARTITION)]
+            n = Container(path).header.entries
+            out += [Range(path, path.rpartition("/")[2], k, min(n, k + ENTRIES_A_PARTITION)) for k in range(0, n, ENTRIES_A_PARTITION)]
         return out or [Range("", "", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[tuple]:
@@ -222,7 +212,6 @@ class ContainerSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ContainerSource)
 
 

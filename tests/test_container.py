@@ -41,7 +41,7 @@ def test_split_files_and_codecs(spark, file, tmp_path):
     assert spark.read.format("zim").load(str(tmp_path / "b.zimaa")).drop("archive").collect() == whole
 
 
-def test_pushed_archive(spark, file, tmp_path):
+def test_content_option_and_bad_file(spark, file, tmp_path):
     (tmp_path / "bad.zim").write_bytes(b"not one")
     z.register(spark)
     both = f"{file},{tmp_path / 'bad.zim'}"
