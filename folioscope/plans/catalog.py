@@ -533,3 +533,11 @@ def category_pages(spark, sf_dir):
 def language_codes(spark, sf_dir):
     values = F.array(*[F.lit(v) for v in ("fra, eng", "ENG", "fr-FR", " es_MX;en")])
     return read(spark, sf_dir, "benchmark").select("item_id", fx.language_code(F.get(values, (F.col("item_id") % 4).cast("int"))).alias("code"))
+
+
+@query()
+def stemmed_search(spark, sf_dir):
+    """Postings of stems, by each archive's language: the documents with the stem of a queried word."""
+    from folioscope.functions import stem
+
+    return stem.stemmed(px.postings(articles(spark, sf_dir))).where(F.col("term") == stem.stem("en", "thing"))
