@@ -105,7 +105,7 @@ class Library:
         return conversion.convert(self.entries, **flags)
 
     def search(self, query: str, archive: str | None = None, limit: int = 10, tables: dict[str, DataFrame] | None = None) -> DataFrame:
-        """zim, path, title, preview of the best hits: exact titles and paths, then titles with all words, then full text.
+        """zim, path, title, preview and sections of the best hits: exact titles and paths, then titles with all words, then full text.
 
         ``tables`` are those of ``convert``, kept as Parquet by whoever searches often. Text is read for the
         winners alone. Ranks of archives' titles are interleaved; full-text weights use pooled statistics.
@@ -136,7 +136,16 @@ class Library:
         shown = self.entries.select("archive", F.col("full_path").alias("path"), "title", "content", "mime_type")
         joined = shown.join(F.broadcast(kept), ["archive", "path"])
         html = F.startswith("mime_type", F.lit("text/html"))
-        regions = F.when(html, sections.html_sections(F.col("content").cast("string"))).otherwise(sections.md_sections(F.col("content").cast("string")))
+        body = F.make_valid_utf8(F.col("content").cast("string"))
+        regions = F.when(html, sections.html_sections(body)).otherwise(sections.md_sections(body))
         title = F.when(F.col("title") == F.col("path"), fx.path_title(F.col("path"))).otherwise(F.col("title"))
-        out = joined.select(F.col("archive").alias("zim"), "path", title.alias("title"), sections.intro_preview(regions).alias("preview"), "tier", "rank")
-        return out.orderBy("tier", "rank", "zim", "path")
+        out = joined.select(F.col("archive").alias("zim"), "path", title.alias("title"), regions.alias("regions"), "tier", "rank")
+        out = out.withColumn("preview", sections.intro_preview(F.col("regions")))
+        if folded:  # at most ``limit`` articles, so their regions are few
+            key = ["zim", "path"]
+            parts = out.where("tier = 3").select(*key, F.explode("regions").alias("r")).select(*key, "r.pos", "r.name", F.concat_ws(" ", "r.name", F.array_join("r.paragraphs", " ")).alias("_text"))
+            found = sections.scored(parts, key, folded, fx.tokens(fx.fold(F.col("_text"))))
+            out = out.join(sections.relevant(found, key, F.col("name")).withColumnRenamed("shown", "sections"), key, "left")
+        else:
+            out = out.withColumn("sections", F.lit(None).cast("array<string>"))
+        return out.select("zim", "path", "title", "preview", "sections", "tier", "rank").orderBy("tier", "rank", "zim", "path")

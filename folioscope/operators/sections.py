@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,3 +62,40 @@ def intro_preview(regions: Column) -> Column:
 
     first = F.get(F.get(regions, 0)["paragraphs"], 0)
     return F.coalesce(fx.preview(first), F.lit(""))
+
+
+#: A region is shown from this share of the best score on, and regions are shown at all up to this share of them.
+KEPT_SCORE, KEPT_REGIONS = 0.5, 0.4
+
+
+def scored(regions: DataFrame, keys: list[str], terms: list[str], words: Column) -> DataFrame:
+    """keys, pos, score of the regions with any of the terms: BM25 among the regions of one document.
+
+    Statistics are windows over a document's regions, one exchange for all terms.
+    """
+    from folioscope.operators import ranking
+
+    own = Window.partitionBy(*keys)
+    each = regions.withColumn("_w", words).withColumn("_len", F.size("_w"))
+    each = each.withColumn("_n", F.count("*").over(own)).withColumn("_average", F.sum("_len").over(own) / F.col("_n"))
+    parts = []
+    for k, term in enumerate(dict.fromkeys(terms)):
+        each = each.withColumn(f"_wdf{k}", F.size(F.filter("_w", _equals(term))))
+        each = each.withColumn(f"_df{k}", F.count_if(F.col(f"_wdf{k}") > 0).over(own))
+        weight = ranking.bm25(F.col("_n"), F.col(f"_df{k}"), F.lit(terms.count(term)), F.col(f"_wdf{k}"), F.col("_len"), F.col("_average"))
+        parts.append(F.when(F.col(f"_wdf{k}") > 0, weight))
+    found = each.withColumn("_parts", F.array_compact(F.array(*parts))).where(F.size("_parts") > 0)
+    total = F.round(F.aggregate("_parts", F.lit(0.0), lambda a, x: a + x), 6)
+    return found.withColumn("score", total).drop(*[c for c in found.columns if c.startswith("_") and c != "_n"])
+
+
+def relevant(found: DataFrame, keys: list[str], shown: Column) -> DataFrame:
+    """keys, shown (array): the regions of ``scored`` worth showing, in order; null if they are too many."""
+    best = found.withColumn("_best", F.max("score").over(Window.partitionBy(*keys)))
+    kept = best.where((F.col("score") >= KEPT_SCORE * F.col("_best")) & (F.col("_best") > 0))
+    lists = kept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", shown.alias("s")))).alias("_l"), F.first("_n").alias("_n"))
+    return lists.select(*keys, F.when(F.size("_l") <= F.col("_n") * KEPT_REGIONS, F.transform("_l", lambda x: x["s"])).alias("shown"))
+
+
+def _equals(term: str):
+    return lambda t: t == term

@@ -398,29 +398,15 @@ def conversion_summary(spark, sf_dir):
     "SELECT doc_id, CAST(pos AS INT) AS pos, round(sum(ln(CASE WHEN r < 2 THEN r * 0.5 + 1 ELSE r END) * 2 * wdf / (greatest(len / average, 0.5) * 0.5 + 0.5 + wdf)), 6) AS score FROM x GROUP BY ALL"
 )
 def region_bm25(spark, sf_dir):
-    return _regions(spark, sf_dir)
-
-
-def equals(term: str) -> Callable:
-    return lambda t: t == term
+    return _regions(spark, sf_dir).select("doc_id", "pos", "score")
 
 
 def _regions(spark, sf_dir):
-    """Scores of a document's lines as regions, with the document's own statistics. Nothing leaves the row: a
-    document's regions are one array, so there is no exchange but the final grouping of its regions."""
-    wanted = ["the", "est", "la"]
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    words = docs.select("doc_id", "pos", fx.tokens(fx.fold(F.col("line"))).alias("w"))
-    own = Window.partitionBy("doc_id")
-    words = words.withColumn("len", F.size("w")).withColumn("n", F.count("*").over(own)).withColumn("average", F.sum("len").over(own) / F.count("*").over(own))
-    scores = []
-    for term in wanted:
-        words = words.withColumn(f"wdf_{term}", F.size(F.filter("w", equals(term))))
-        words = words.withColumn(f"df_{term}", F.count_if(F.col(f"wdf_{term}") > 0).over(own))
-        weight = rx.bm25(F.col("n"), F.col(f"df_{term}"), F.lit(1), F.col(f"wdf_{term}"), F.col("len"), F.col("average"))
-        scores.append(F.when(F.col(f"wdf_{term}") > 0, weight))
-    found = words.withColumn("parts", F.array_compact(F.array(*scores))).where(F.size("parts") > 0)
-    return found.select("doc_id", "pos", F.round(F.aggregate("parts", F.lit(0.0), lambda a, x: a + x), 6).alias("score"))
+    """Scores of a document's lines as regions, with the document's own statistics."""
+    from folioscope.operators import sections
+
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return sections.scored(lines, ["doc_id"], ["the", "est", "la"], fx.tokens(fx.fold(F.col("line"))))
 
 
 @query(
@@ -429,10 +415,10 @@ def _regions(spark, sf_dir):
 )
 def section_coverage_gate(spark, sf_dir):
     """Regions of at least half the best score, in order; none if they are over two fifths of the document."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n")).alias("n"))
-    scored = _regions(spark, sf_dir).withColumn("best", F.max("score").over(Window.partitionBy("doc_id")))
-    kept = scored.where("score >= 0.5 * best and best > 0").groupBy("doc_id").agg(F.array_sort(F.collect_list("pos")).alias("at"))
-    return kept.join(docs, "doc_id").select("doc_id", F.when(F.size("at") <= F.col("n") * 0.4, F.array_join("at", ",")).alias("positions"))
+    from folioscope.operators import sections
+
+    kept = sections.relevant(_regions(spark, sf_dir), ["doc_id"], F.col("pos").cast("string"))
+    return kept.select("doc_id", F.array_join("shown", ",").alias("positions"))
 
 
 # --- regions, rendering and conversion -------------------------------------------------------------

@@ -49,6 +49,8 @@ def test_search(library):
     assert hits == ["C/Apple", "C/Banana"]
     first = library.search("Apple fruit", tables=tables).first()
     assert first["path"] == "C/Apple" and first["preview"] == "An apple is the fruit of trees."
+    third = library.search("kazakhstan", tables=tables).first()
+    assert third["tier"] == 3 and third["sections"] is None  # one of two regions is over two fifths
     assert library.search("zzzz", tables=tables).count() == 0
     assert [r["zim"] for r in library.search("cherry", "b.zim", tables=tables).collect()] == ["b.zim"]
     with pytest.raises(engine.InvalidArgument):
