@@ -224,14 +224,15 @@ def encoder(path: str) -> Encoder:
 def write(docs: DataFrame, vocabulary: str, uri: str, end_id: int = END_ID, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Encodes ``docs`` (doc_id, text) and writes the shard files to ``uri``; returns their manifest.
 
-    Rows are dealt by ranges of doc_id and sorted, nulls first, ties by text, so files follow
+    Rows are dealt by ranges of doc_id and sorted, nulls first, ties by a hash of the text, so files follow
     doc_id order; a range is encoded as a stream, and a file is closed at ``file_tokens``. Null text
     counts as empty: its document holds the end id alone. No rows: no files, an empty manifest.
     Manifest: file, shard int, part int, documents long, tokens long.
     """
-    ordered = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    ordered = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     spark = docs.sparkSession
-    ordered = ordered.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]  # a sample of it goes to the driver, so texts are no part of it
+    ordered = ordered.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).drop("tie")
     end = np.array([end_id], "<u2").tobytes()
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
