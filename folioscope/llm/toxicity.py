@@ -250,6 +250,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Network:
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (common.crc_fold() != 0))
     picked = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
     rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").select("doc_id", F.left("text", F.lit(TRAIN_CHARS)).alias("text"), "toxic")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # of rows with one id, one
     return learn([(r["text"], int(r["toxic"] > 0)) for r in sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"]))])
 
 
