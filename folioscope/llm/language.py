@@ -125,8 +125,13 @@ def viterbi(scores: np.ndarray, lengths: list[int], penalty: float = PENALTY) ->
 def train(docs: DataFrame) -> Model:
     """Learns from a bounded sample of ``docs`` (doc_id, text, lang) outside the held-out fold."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (common.crc_fold() != 0))
-    picked = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.left("text", F.lit(TRAIN_CHARS)).alias("text"), "lang").orderBy("h", "doc_id", "lang").limit(TRAIN_DOCS)
-    return learn([(r["text"], r["lang"]) for r in picked.collect()])
+    rows = rows.select(F.xxhash64("doc_id", "text").alias("h"), "text", "lang")
+    # hashes alone are ordered, so that texts of the sample's size reach the driver and no more
+    last = rows.select("h").orderBy("h").limit(TRAIN_DOCS).agg(F.max("h")).first()[0]
+    if last is None:
+        return learn([])
+    picked = rows.where(F.col("h") <= last).select("h", F.left("text", F.lit(TRAIN_CHARS)).alias("text"), "lang").limit(TRAIN_DOCS)
+    return learn([(r["text"], r["lang"]) for r in sorted(picked.collect(), key=lambda r: (r["h"], r["lang"], r["text"]))])
 
 
 def label(docs: DataFrame, model: Model) -> DataFrame:
