@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from folioscope.llm import common, files
 
 WINDOW = 8
-SHARD_WORDS = 1 << 22
+SHARD_WORDS = 1 << 21
 #: Benchmark text that tasks hold at a time.
 BLOCK_BYTES = 8 << 20
 #: Word numbers of a shard below this many bits pack three to a sort key, others two; 0 parts documents.
@@ -169,6 +169,7 @@ def search(texts: list[bytes | None], blocks: Callable[[], Iterator[Block]]) ->
         sizes.append(len(found))
     starts = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64) + 1)])
     ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+    del parts
     array, cover = None, np.zeros(len(ids) + 1, np.int32)
     items: list[list[str]] = [[] for _ in texts]
     matches: list[list[tuple[str, int, int, int]]] = [[] for _ in texts]

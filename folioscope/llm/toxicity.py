@@ -178,7 +178,8 @@ def logits(net: Network, table: np.ndarray, rows: list[np.ndarray], chunk: int =
 def learn(rows: list[tuple[str, int]]) -> Network:
     """Trains on (text, toxic) rows. Without rows of both labels the network scores all texts by their share."""
     net, rng = Network(), np.random.default_rng(SEED)
-    texts, y = [words(t) for t, _ in rows], np.array([v for _, v in rows], np.int64)
+    pool: dict[str, str] = {}  # a word's occurrences share one string
+    texts, y = [[pool.setdefault(w, w) for w in words(t)] for t, _ in rows], np.array([v for _, v in rows], np.int64)
     kept = [i for i, t in enumerate(texts) if t]
     texts, y = [texts[i] for i in kept], y[kept]
     totals = np.bincount(y, minlength=2)

@@ -33,7 +33,7 @@ def grams(words: list[str], orders: tuple[int, ...]) -> tuple[np.ndarray, np.nda
 class WordTable:
     """Numbers of words, and their rows of features; cleared between batches when over ``limit`` words."""
 
-    def __init__(self, features: Callable[[list[str]], np.ndarray], limit: int = 1_000_000):
+    def __init__(self, features: Callable[[list[str]], np.ndarray], limit: int = 500_000):
         self.features, self.limit = features, limit
         self._clear()
 
