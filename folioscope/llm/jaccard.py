@@ -4,13 +4,21 @@ A document is the set of its distinct shingles of ``SHINGLE`` words; two link wh
 likeness is ``PERCENT`` / 100 or more. The join is exact (up to 64-bit hashes of shingles):
 
 1. Equal sets collapse into one, by a 128-bit digest.
-2. Routing. Linked sets differ in at most D shingles, where D follows from their sizes. At a level of
-   sizes the shingles are hashed into D + 1 + E groups, so 1 + E groups have the same shingles in both
-   sets, and in a set with at most E empty groups one of them isn't empty; the content of each filled
-   group is a signature. Sets with more empty groups also give the shingles of their prefix filter.
-   Sets that share a signature may link. Each is tied to the least one of its signature: first
-   within a task, which passes a signature on once, then within a range of signatures, so a
-   signature of very many sets costs each task a row. The ties' components bound what can link.
+2. Routing. From the likeness ``GROUPED_FROM`` / 100 on, by groups: linked sets differ in at most D
+   shingles, where D follows from their sizes. At a level of sizes the shingles are hashed into D + 1 + E
+   groups, so 1 + E groups are the same in both sets, and in a set with at most E empty groups one of
+   them isn't empty; the content of each filled group is a signature. Sets with more empty groups also
+   give the shingles of their prefix filter. Below that likeness, groups hold too few shingles to tell
+   texts apart, and sets are routed by a prefix filter: in any one order of all shingles, linked sets share one among the
+   first n - ceil(t n) + 1 of their n shingles. The order is by frequency, the rarest first, so a passage
+   that many documents repeat ties them only if it is nearly all they have. Frequencies come
+   from a sketch of ``CELLS`` counters over all shingles of the corpus; its chance hits cost vain comparisons, never a
+   link, as any order is exact. Sets that share a shingle of their prefixes may link. Each is tied to
+   the least one of that shingle: first within a task, which passes a shingle on once, then within
+   a range of hashes, so a shingle of very many sets costs each task a row. The ties' components
+   bound what can link. No set pairs are emitted. Components of more sets than a block holds are
+   tied anew, with the frequencies among their own sets, where a sketch of the same size is
+   sharper, as long as that makes them smaller.
 3. In a component, cut into blocks of bounded size, the sets' shingles are counted by ``GROUPS``
    hash groups, and the counts are points in an R-tree. The summed coordinate minima of two points, or
    of a point and a box's upper corner, bound the overlap; a search gets the points whose bound
@@ -27,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,12 +46,16 @@ SHINGLE, PERCENT = 3, 90
 GROUPS, FANOUT = 64, 32
 #: A block's sets and shingles, about.
 BLOCK_SETS, BLOCK_SHINGLES = 2048, 4_000_000
-#: Signature levels: sizes grow by this ratio from one to the next.
-RATIO = 1.25
+#: Signature levels: sizes grow by this ratio from one to the next. From this likeness on, groups hold enough shingles to route by.
+RATIO, GROUPED_FROM = 1.25, 85
+#: Counters of the frequency sketch, whatever the corpus, and slices that are summed apart.
+CELLS, SLICES = 1 << 24, 64
 #: Signatures that a task gathers before it passes them on.
 SIGNATURES_HELD = 4_000_000
+#: Bytes of a signature that travel, beside its range: chance hits cost a vain comparison, no more.
+SIGN_BYTES = 5
 #: Distinct words whose hashes a task keeps.
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 400_000
 
 
 class _WordHash(dict):
@@ -143,6 +156,44 @@ def need_of_one(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def prefix(found: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles of which sets that link share one: the rarest by the sketch, ties by hash."""
+    n = len(found)
+    first = n - need_of_one(n, percent) + 1
+    return found[np.lexsort((found, sketch[(found % np.uint64(CELLS)).astype(np.int64)]))[:first]] if n else found
+
+
+def frequencies(docs: DataFrame, size: int) -> np.ndarray:
+    """For each cell of the sketch how many sets have a shingle in it, in eighths of powers of two: CELLS bytes."""
+    cells = CELLS // SLICES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(CELLS, np.uint32)
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                np.add.at(seen, (shingles(text, size) % np.uint64(CELLS)).astype(np.int64), np.uint32(1))
+        _hash_of.clear()  # the worker lives on for later stages
+        press = zstandard.ZstdCompressor(level=1)
+        parts = [(k, press.compress(seen[k * cells : (k + 1) * cells].tobytes())) for k in range(SLICES) if seen[k * cells : (k + 1) * cells].any()]
+        yield pa.RecordBatch.from_pydict({"slice": pa.array([k for k, _ in parts], pa.int32()), "counts": pa.array([c for _, c in parts], pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        unpress = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for k, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                totals.setdefault(k, np.zeros(cells, np.uint64))
+                totals[k] += np.frombuffer(unpress.decompress(data), np.uint32)
+        scaled = {k: np.minimum(255, np.log2(t + 1.0) * 8).astype(np.uint8).tobytes() for k, t in totals.items()}
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(list(scaled), pa.int32()), "counts": pa.array(list(scaled.values()), pa.binary())})
+
+    made = docs.select("text").mapInArrow(count, "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(add, "slice int, counts binary")
+    out = np.zeros(CELLS, np.uint8)
+    for row in common.table(made, "jaccard-frequencies").collect():
+        out[row["slice"] * cells : (row["slice"] + 1) * cells] = np.frombuffer(row["counts"], np.uint8)
+    return out
+
+
 def _stars(signs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Each signature once, with its least node; and ties (a, b) of its other nodes to that one, each once."""
     order = np.lexsort((nodes, signs))
@@ -156,7 +207,19 @@ def _stars(signs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return signs[heads], nodes[heads], pairs[:, 0], pairs[:, 1]
 
 
-_DESCRIBED = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("range", pa.int32()), ("signs", pa.binary()), ("nodes", pa.binary()), ("tie_a", pa.int64()), ("tie_b", pa.int64())])
+def _planes(values: np.ndarray, width: int | None = None) -> bytes:
+    """The lowest bytes of numbers, all first ones, then all second ones: the widest one says how many."""
+    width = width or max(1, (int(values.max()).bit_length() + 7) // 8)
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _unplaned(data: bytes, n: int) -> np.ndarray:
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, : len(data) // n] = np.frombuffer(data, np.uint8).reshape(-1, n).T
+    return wide.reshape(-1).view("<u8")
+
+
+_DESCRIBED = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("range", pa.int32()), ("low", pa.int64()), ("signs", pa.binary()), ("nodes", pa.binary()), ("tie_a", pa.int64()), ("tie_b", pa.int64())])
 
 
 def _described(**columns: object) -> pa.RecordBatch:
@@ -202,7 +265,7 @@ def links(texts: list[bytes], labels: list[int], probes: list[bool], percent: in
     """
     sets = [shingles(t, size) for t in texts]
     sizes = np.array([len(s) for s in sets], np.int64)
-    points = np.stack([np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS) for s in sets]) if sets else np.zeros((0, GROUPS), np.int64)
+    points = np.stack([np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS) for s in sets]).astype(np.int32) if sets else np.zeros((0, GROUPS), np.int32)
     tree = CountTree(points, sizes, percent)
     dense = np.unique(np.concatenate(sets), return_inverse=True)[1] if sets else np.zeros(0, np.int64)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
@@ -251,6 +314,7 @@ def _verified(rows: DataFrame, percent: int, size: int) -> DataFrame:
                     task, held = row[0], []
                 held.append(row)
         out += run(held)
+        _hash_of.clear()
         yield batch()
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -258,22 +322,14 @@ def _verified(rows: DataFrame, percent: int, size: int) -> DataFrame:
     return dealt.mapInArrow(by_task, "a long, b long")
 
 
-def classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles and component_id, the least doc_id reachable by links.
-
-    Null and empty texts have no shingles and link with nothing. Rows with equal doc_id count as one
-    document, and null ids as one that is below all others; such rows' component_id is null unless a
-    link gives another. Equal sets link. Empty tables give no rows; other columns are ignored.
-    """
-    spark = docs.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lowest = -(2**63)
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("node"), "text")
-
-    ranges = 2 * n_parts
+def _described_sets(ids: DataFrame, percent: int, size: int, grouped: bool) -> DataFrame:
+    """A table of three kinds of rows: sets (node, n and a digest), packed signatures of a range, and ties within a task."""
+    spark = ids.sparkSession
+    ranges, shift, cut = _ranges(spark)
+    sketch = None if grouped else spark.sparkContext.broadcast(frequencies(ids, size))  # CELLS bytes
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = Levels(percent)
+        order, levels = None if grouped else sketch.value, Levels(percent)
         signs: list[np.ndarray] = []
         nodes: list[np.ndarray] = []
         held = 0
@@ -281,10 +337,11 @@ def classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Dat
         def passed_on() -> Iterator[pa.RecordBatch]:
             sign, node, a, b = _stars(np.concatenate(signs), np.concatenate(nodes))
             yield _described(tie_a=a, tie_b=b)
-            cuts = np.searchsorted(sign, (np.arange(ranges + 1, dtype=np.float64) / ranges * 2.0**64)[1:-1].astype(np.uint64)).tolist()
-            for k, (x, y) in enumerate(zip([0, *cuts], [*cuts, len(sign)], strict=True)):
+            cuts = [*np.searchsorted(sign >> shift, np.arange(0, ranges, dtype=np.uint64)).tolist(), len(sign)]
+            for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 if x < y:
-                    yield _described(range=[k], signs=[sign[x:y].tobytes()], nodes=[node[x:y].tobytes()])
+                    low = int(node[x:y].min())
+                    yield _described(range=[k], low=[low], signs=[_planes(sign[x:y] >> cut, SIGN_BYTES)], nodes=[_planes((node[x:y] - low).astype(np.uint64))])
 
         for batch in batches:
             for at in range(0, len(batch), 1024):
@@ -295,35 +352,92 @@ def classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Dat
                     n.append(len(found))
                     d1.append(mix(found, 1).sum(dtype=np.uint64).astype(np.int64))
                     d2.append(mix(found, 2).sum(dtype=np.uint64).astype(np.int64))
-                    signs.append(signatures(found, levels))
+                    signs.append(signatures(found, levels) if grouped else mix(prefix(found, order, percent), 7))
                     nodes.append(np.full(len(signs[-1]), key, np.int64))
                     held += len(signs[-1])
                 yield _described(node=keys, n=n, d1=d1, d2=d2)
                 if held >= SIGNATURES_HELD:
                     yield from passed_on()
                     signs, nodes, held = [], [], 0
+        _hash_of.clear()
         if held:
             yield from passed_on()
 
+    return common.table(ids.mapInArrow(describe, "node long, n long, d1 long, d2 long, range int, low long, signs binary, nodes binary, tie_a long, tie_b long"), "jaccard-sets")
+
+
+def _ranges(spark: SparkSession) -> tuple[int, np.uint64, np.uint64]:
+    """How many ranges of signatures there are, and the shifts that give a signature's range and what travels of it.
+
+    A range is that of the signatures' highest bits; of the others the next SIGN_BYTES are kept.
+    """
+    bits = (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    return 1 << bits, np.uint64(64 - bits), np.uint64(64 - bits - 8 * SIGN_BYTES)
+
+
+def _ties(made: DataFrame, copies: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets, enough to connect all sets that share a signature; of equal sets the least one stands for all."""
+
     def tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, signs, nodes = None, [], []
+        pairs = np.zeros((0, 2), np.int64)  # each once a task, however many signatures tie them
 
-        def out() -> pa.RecordBatch:
-            _, _, a, b = _stars(np.frombuffer(b"".join(signs), np.uint64), np.frombuffer(b"".join(nodes), np.int64))
-            return pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
+        def closed() -> np.ndarray:
+            _, _, a, b = _stars(np.concatenate(signs), np.concatenate(nodes))
+            return np.unique(np.concatenate([pairs, np.column_stack([a, b])]), axis=0)
 
         for batch in batches:
-            for k, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, low, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != now and signs:
-                    yield out()
-                    signs, nodes = [], []
+                    pairs, signs, nodes = closed(), [], []
                 now = k
-                signs.append(x)
-                nodes.append(y)
+                signs.append(_unplaned(x, len(x) // SIGN_BYTES))
+                nodes.append(_unplaned(y, len(signs[-1])).astype(np.int64) + low)
         if signs:
-            yield out()
+            pairs = closed()
+        yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    n = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = made.where("range is not null").select("range", "low", "signs", "nodes").repartition(n, "range").sortWithinPartitions("range")
+    ties = ranged.mapInArrow(tied, "a long, b long").union(made.where("tie_a is not null").select(F.col("tie_a").alias("a"), F.col("tie_b").alias("b"))).distinct()
+    for end in ("a", "b"):
+        least = common.small(copies.select(F.col("a").alias(end), F.col("b").alias("_least")))
+        ties = ties.join(least, end, "left").withColumn(end, F.coalesce("_least", end)).drop("_least")
+    return ties.select("a", "b")
+
 
-    made = common.table(ids.mapInArrow(describe, "node long, n long, d1 long, d2 long, range int, signs binary, nodes binary, tie_a long, tie_b long"), "jaccard-sets")
+def _refined(may: DataFrame, ids: DataFrame, copies: DataFrame, percent: int, size: int) -> DataFrame:
+    """The components ``may`` (id, component), of which large ones are tied anew among their own sets.
+
+    Any order of shingles is exact within a component, as nothing links out of it. It ends when no component
+    is larger than a block, or when the large ones keep over nine tenths of their sets.
+    """
+    before = None
+    while True:
+        large = may.groupBy("component").agg(F.count("*").alias("sets")).where(F.col("sets") > BLOCK_SETS)
+        inside = common.table(may.join(common.small(large), "component").select("id"), "jaccard-large")
+        held = inside.count()
+        if not held or before is not None and held > 0.9 * before:
+            return may
+        before = held
+        texts = common.table(ids.join(common.small(inside.select(F.col("id").alias("node"))), "node"), "jaccard-large-texts")
+        again = common.components(_ties(_described_sets(texts, percent, size, False), copies), "jaccard-again")
+        rest = may.join(common.small(inside), "id", "left_anti")
+        may = common.table(rest.unionByName(again), "jaccard-may-all")
+
+
+def classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles and component_id, the least doc_id reachable by links.
+
+    Null and empty texts have no shingles and link with nothing. Rows with equal doc_id count as one
+    document, and null ids as one that is below all others; such rows' component_id is null unless a
+    link gives another. Equal sets link. Empty tables give no rows; other columns are ignored.
+    """
+    spark = docs.sparkSession
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lowest = -(2**63)
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("node"), "text")
+    made = _described_sets(ids, percent, size, percent >= GROUPED_FROM)
     described = made.where("n is not null").select("node", "n", "d1", "d2")
     full = described.where("n > 0")
     equal = full.groupBy("n", "d1", "d2").agg(F.min("node").alias("least"), F.count("*").alias("copies"))
@@ -331,12 +445,8 @@ def classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Dat
     # ties of rows to the least row of their set; only sets of several rows are joined
     copies = full.join(common.small(equal), ["n", "d1", "d2"]).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     copies = common.table(copies, "jaccard-copies")
-    ranged = made.where("range is not null").select("range", "signs", "nodes").repartition(n_parts, "range").sortWithinPartitions("range")
-    ties = ranged.mapInArrow(tied, "a long, b long").union(made.where("tie_a is not null").select(F.col("tie_a").alias("a"), F.col("tie_b").alias("b"))).distinct()
-    for end in ("a", "b"):  # of equal sets the least one stands for all
-        least = common.small(copies.select(F.col("a").alias(end), F.col("b").alias("_least")))
-        ties = ties.join(least, end, "left").withColumn(end, F.coalesce("_least", end)).drop("_least")
-    may = common.components(ties.select("a", "b"), "jaccard-may")
+    may = common.table(common.components(_ties(made, copies), "jaccard-may"), "jaccard-may-all")
+    may = _refined(may, ids, copies, percent, size)
     sizes = full.select("node", "n").groupBy("node").agg(F.max("n").alias("n"))
     may = common.table(may.join(sizes, may["id"] == sizes["node"]).select("node", "n", F.col("component").alias("within")), "jaccard-may-link")
     weight = may.groupBy("within").agg(F.expr(f"cast(ceil(greatest(count(*) / {BLOCK_SETS}, sum(n) / {BLOCK_SHINGLES})) as int)").alias("blocks"))

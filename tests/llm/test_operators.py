@@ -270,6 +270,21 @@ def test_classes_of_odd_rows(spark, docs):
     assert jaccard.classes(docs.limit(0)).count() == 0
 
 
+def test_every_linked_pair_shares_a_prefix_shingle():
+    rng = np.random.default_rng(1)
+    sketch = rng.integers(0, 5, jaccard.CELLS).astype(np.uint8)
+    linked = 0
+    for _ in range(600):
+        percent, n = int(rng.choice([80, 90])), int(rng.integers(1, 120))
+        tokens = np.unique(rng.integers(1, 2**63, 2 * n).astype(np.uint64))
+        a, b = tokens[:n], tokens[int(rng.integers(0, n // 4 + 1)) : n + int(rng.integers(0, n // 6 + 1))]
+        both = len(np.intersect1d(a, b))
+        if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
+            linked += 1
+            assert len(np.intersect1d(jaccard.prefix(a, sketch, percent), jaccard.prefix(b, sketch, percent)))
+    assert linked > 50
+
+
 def test_every_linked_pair_shares_a_signature():
     rng, levels = np.random.default_rng(1), {90: jaccard.Levels(90), 80: jaccard.Levels(80)}
     for _ in range(400):
