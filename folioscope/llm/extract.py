@@ -3,16 +3,21 @@
 Pages of a host (in blocks of bounded size) are cut into tokens: tags, and words told apart by the
 path of elements they stand in. Tokens that occur equally often in every page of the block share an
 occurrence vector and form an equivalence class. A class is valid if its tokens come in the same
-order in every page. The class that occurs once in every page is the outer template; classes that
-repeat are nested in one of its gaps. Words of the template are the site's, not the page's; the gaps
-are slots. The main element is the innermost one that holds nearly all the slots' text, not
-counting slots in menus, notices and the like; its blocks are the page's text.
+order in every page. The class that occurs once in every page is the outer template; a valid class
+that repeats is nested in the gap of the outer one that holds all its rounds, and one that no single
+gap holds is dropped. Words of both are the site's, not the page's; what is left between them are the slots.
+The main element holds nearly all the slots' text, not counting slots in menus, footers and the like:
+an article or main element if one does, else the innermost that does. Its slots are the page's text.
+
+In blocks of fewer than ``FEW_PAGES`` pages chance makes classes too: there the main element's words
+all count as the page's, and class, id and role names tell menus, notices and the like.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -27,6 +32,10 @@ from folioscope.llm import common
 BLOCK_PAGES, BLOCK_BYTES = 256, 16 << 20
 #: Share of the slots' text that the main element holds.
 MAIN_SHARE = 0.9
+#: Pages from which on a block's classes alone tell the site's words; below it names of elements help.
+FEW_PAGES = 8
+#: What an element is beside the page's own text: not at all, by its class, id or role, by its tag or as it is hidden.
+OWN, NAMED, BESIDE = range(3)
 
 # Names of HTML elements by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,37 +59,38 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s/>]*(?
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _PARTS = re.compile(r"[a-z]+")
+_WORD = re.compile(r"\S+")
 _HIDDEN = re.compile(r"\shidden(?:[\s=>/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 
 @dataclass
 class Page:
-    """A page's tokens in order: (kind, value, path, aside). Kinds: '<' opens, '>' closes, 't' is text."""
+    """A page's tokens in order: (kind, value, path, aside). Kinds: '<' opens, '>' closes, 't' is text; aside: OWN, NAMED or BESIDE."""
 
-    tokens: list[tuple[str, str, str, bool]] = field(default_factory=list)
+    tokens: list[tuple[str, str, str, int]] = field(default_factory=list)
 
 
-def _is_aside(name: str, tag: str, inside_main: bool) -> bool:
+def _aside(name: str, tag: str, inside_main: bool) -> int:
     if name in UNSEEN or name in AROUND or name == "header" and not inside_main:
-        return True
+        return BESIDE
     if " " not in tag and "\n" not in tag and "\t" not in tag:
-        return False
+        return OWN
     if _HIDDEN.search(tag):
-        return True
+        return BESIDE
     if inside_main and name in ("article", "main", "body", "html", "p", "span", "b", "i", "a"):
-        return False
+        return OWN
     marks = " ".join("".join(m) for m in _MARK.findall(tag)).lower()
-    return bool(marks) and name not in ("article", "main", "body", "html") and not ASIDE_WORDS.isdisjoint(_PARTS.findall(marks))
+    return NAMED if marks and name not in ("article", "main", "body", "html") and not ASIDE_WORDS.isdisjoint(_PARTS.findall(marks)) else OWN
 
 
 def parse(source: str) -> Page:
     """Cuts a page into tokens. Elements left open are closed as HTML implies; stray end tags are ignored."""
     page = Page()
     add = page.tokens.append
-    stack: list[tuple[str, str, bool]] = []  # name, path, aside
+    stack: list[tuple[str, str, int]] = []  # name, path, aside
 
-    def top() -> tuple[str, bool]:
-        return (stack[-1][1], stack[-1][2]) if stack else ("", False)
+    def top() -> tuple[str, int]:
+        return (stack[-1][1], stack[-1][2]) if stack else ("", OWN)
 
     def close_to(k: int) -> None:
         while len(stack) > k:
@@ -122,7 +132,7 @@ def parse(source: str) -> Page:
                     break
         path, aside = top()
         inside_main = any(s[0] in ("article", "main") for s in stack)
-        aside = aside or _is_aside(name, value, inside_main)
+        aside = aside if aside == BESIDE else max(aside, _aside(name, value, inside_main))
         path = f"{path}/{name}"
         add(("<", name, path, aside))
         if name in VOID or value.endswith("/>") and name not in BLOCKS:
@@ -146,16 +156,25 @@ def _mix(x: int) -> int:
     return x ^ (x >> 31)
 
 
+Key = tuple[str, str, str]
+
+
 @dataclass
 class Template:
-    """The outer class in order, the nested classes by size, and the path of the main element."""
+    """The outer class in order, the nested classes, the gap of the outer class that holds each, the main element's path.
 
-    outer: list[tuple[str, str, str]]
-    nested: list[set[tuple[str, str, str]]]
-    main: str
+    Gap k comes before the k-th token of the outer class; the last one comes after all. ``few``: the block has too few pages.
+    """
 
+    outer: list[Key]
+    nested: list[set[Key]]
+    gaps: list[int]
+    main: str
+    few: bool
 
-Key = tuple[str, str, str]
+    def words(self) -> dict[str, set[str]]:
+        """The site's own words by path."""
+        return _words_by_path(set(self.outer).union(*self.nested))
 
 
 def _counts(page: Page, words: bool) -> Counter:
@@ -209,34 +228,74 @@ def deduce(pages: list[Page]) -> Template:
     for key, vector in vectors.items():
         if 2 * in_pages[key] >= len(pages):
             classes[vector].append(key)
-    # a class is valid if its tokens keep their order: those that don't are left out
+    # a class is valid if its tokens keep their order: of the outer class, those that don't are left out
     outer = set(classes.pop(once, []))
-    order: list[tuple[str, str, str]] | None = None
+    order: list[Key] | None = None
     for page in pages:
         found = _in_order(page, outer)
         if order is None:
             order = found
         elif found != order:
-            place = {k: i for i, k in enumerate(found)}
-            kept, last = [], -1
-            for k in order:
-                if k in place and place[k] > last:
-                    kept.append(k)
-                    last = place[k]
-            order = kept
-            outer = set(kept)
-    nested = [set(c) for c in classes.values() if len(c) > 1]
-    return Template(order or [], nested, _main(pages, set(order or [])))
-
-
-def _main(pages: list[Page], outer: set[tuple[str, str, str]]) -> str:
-    """The path of the innermost element of the template that holds nearly all text of slots beside asides."""
+            order = _kept(order, found)
+            outer = set(order)
+    found = Template(order or [], [], [], "", len(pages) < FEW_PAGES)
+    for keys, gap in _nested(pages, found.outer, [c for c in classes.values() if len(c) > 1]):
+        found.nested.append(keys)
+        found.gaps.append(gap)
+    found.main = _main(pages, found)
+    return found
+
+
+def _kept(order: list[Key], found: list[Key]) -> list[Key]:
+    """The longest run of ``order`` that comes in the same order in ``found``; each token is in it at most once."""
+    place = {k: i for i, k in enumerate(found)}
+    ends, last, before = [], [], {}  # by length: the least place that a run ends at, and its token
+    for k in order:
+        if k in place:
+            n = bisect_left(ends, place[k])
+            before[k] = last[n - 1] if n else None
+            ends[n:], last[n:] = [place[k], *ends[n + 1 :]], [k, *last[n + 1 :]]
+    out, k = [], last[-1] if last else None
+    while k is not None:
+        out.append(k)
+        k = before[k]
+    return out[::-1]
+
+
+def _nested(pages: list[Page], outer: list[Key], classes: list[list[Key]]) -> list[tuple[set[Key], int]]:
+    """The valid classes that repeat, with their gaps: in every page the same tokens in the same order, round by round, in one gap."""
+    place = {k: i + 1 for i, k in enumerate(outer)}
+    of = {k: c for c, keys in enumerate(classes) for k in keys}
+    keys = set(place) | set(of)
+    rounds: list[list[Key]] = [[] for _ in classes]  # the order of the first round
+    gaps: list[int | None] = [None] * len(classes)
+    valid = [True] * len(classes)
+    for page in pages:
+        gap, met = 0, [0] * len(classes)
+        for k in _in_order(page, keys):
+            if k in place:
+                gap = place[k]
+                continue
+            c = of[k]
+            at = met[c] % len(classes[c])
+            met[c] += 1
+            if len(rounds[c]) < len(classes[c]):
+                valid[c] = valid[c] and k not in rounds[c]
+                rounds[c].append(k)
+            if rounds[c][at] != k or gaps[c] not in (None, gap):
+                valid[c] = False
+            gaps[c] = gap
+    return [(set(keys), gap) for keys, gap, good in zip(classes, gaps, valid, strict=True) if good and gap is not None]
+
+
+def _main(pages: list[Page], found: Template) -> str:
+    """The path of the article or main element of the template, else of its innermost, that holds nearly all text of slots beside asides."""
     held: Counter = Counter()
     total = 0
-    template = _words_by_path(outer)
+    template, beside = found.words(), NAMED if found.few else BESIDE
     for page in pages:
         for kind, value, path, aside in page.tokens:
-            if kind == "t" and not aside:
+            if kind == "t" and aside < beside:
                 own = template.get(path, ())
                 size = sum(len(w) for w in value.split() if w not in own)
                 if size:
@@ -247,25 +306,31 @@ def _main(pages: list[Page], outer: set[tuple[str, str, str]]) -> str:
         parts = path.split("/")
         for k in range(1, len(parts) + 1):
             within["/".join(parts[:k])] += size
-    opens = {path for kind, _, path in outer if kind == "<"}
-    for name in ("/article", "/main"):  # what the site itself marks as the article, if all its pages do
-        marked = [p for p in opens if p.endswith(name) and within[p] > 0]
+    opens = {path for kind, _, path in found.outer if kind == "<"}
+    fits = [p for p in opens | {""} if p.rpartition("/")[2] in ("", "article", "main", "section", "div", "body", "html", "td", "center") and within[p] >= MAIN_SHARE * total]
+    for name in ("/article", "/main"):  # what the site itself marks as the article, if it holds as much
+        marked = [p for p in fits if p.endswith(name) and within[p] > 0]
         if marked:
             return max(marked, key=lambda p: (within[p], -len(p), p))
-    fits = [p for p in opens | {""} if p.rpartition("/")[2] in ("", "article", "main", "section", "div", "body", "html", "td", "center") and within[p] >= MAIN_SHARE * total]
     return max(fits, key=lambda p: (len(p), p), default="")
 
 
-def main_text(page: Page, main: str) -> str:
-    """The blocks of the main element, in order, a line each; of the whole page if it hasn't that element."""
+def main_text(page: Page, found: Template) -> str:
+    """The slots of the main element, in order, a line each block; of the whole page if it hasn't that element.
+
+    The template's words are left out; in a block of few pages they stay.
+    """
+    main, beside = found.main, NAMED if found.few else BESIDE
+    template = {} if found.few else found.words()
     if main and not any(kind == "<" and path == main for kind, _, path, _ in page.tokens):
-        main = next((path for kind, value, path, aside in page.tokens if kind == "<" and value in ("article", "main") and not aside), "")
+        main = next((path for kind, value, path, aside in page.tokens if kind == "<" and value in ("article", "main") and aside < beside), "")
     blocks: list[list[str]] = [[]]
     for kind, value, path, aside in page.tokens:
-        if aside or not (path == main or path.startswith(main + "/") or not main):
+        if aside >= beside or not (path == main or path.startswith(main + "/") or not main):
             continue
         if kind == "t":
-            blocks[-1].append(value)
+            own = template.get(path)
+            blocks[-1].append(_WORD.sub(lambda m: "" if m.group() in own else m.group(), value) if own else value)  # noqa: B023
         elif value in BLOCKS:
             blocks.append([])
         elif value == "br":
@@ -277,8 +342,8 @@ def main_text(page: Page, main: str) -> str:
 def extract_block(sources: list[str]) -> list[str]:
     """The main texts of pages of one site."""
     pages = [parse(s) for s in sources]
-    main = deduce(pages).main if pages else ""
-    return [main_text(p, main) for p in pages]
+    found = deduce(pages)
+    return [main_text(p, found) for p in pages]
 
 
 def extract(pages: DataFrame) -> DataFrame:

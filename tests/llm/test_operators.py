@@ -406,6 +406,23 @@ def test_template_classes():
     assert any({("<", "p", "/p"), (">", "p", "/p")} <= c for c in template.nested)
 
 
+def test_extraction_by_classes():
+    # the site's words go, also those of rows that repeat; a class name says nothing here; the article holds too little
+    row = "<li><b>User</b> {0}{1} <i>wrote</i></li>"
+    pages = ["<div class=widget><h1>Notes of <u>n{0}</u></h1><ul>{1}</ul><h6>Page end</h6></div><article>small</article>".format(i, "".join(row.format(i, j) for j in range(1 + i % 4))) for i in range(12)]
+    assert extract.extract_block(pages) == ["\n".join([f"n{i}", *[f"{i}{j}" for j in range(1 + i % 4)]]) for i in range(12)]
+
+
+def test_nested_classes_keep_order_and_gap():
+    pages = [extract.parse("<h1>a</h1>" + "<p><b>x</b><i>y</i></p>" * (1 + i % 3) + "<h2>b</h2>" + "<ol><li>l</ol>" * (1 + i % 2) + "<h3>c</h3>" + "<ol><li>l</ol>" * (1 + i % 2)) for i in range(12)]
+    found = extract.deduce(pages)
+    assert len(found.nested) == len(found.gaps) == 1 and ("t", "x", "/p/b") in found.nested[0]
+    assert found.outer[found.gaps[0]] == ("<", "h2", "/h2")  # the lists stand in two gaps
+    swapped = [extract.parse("<h1>a</h1>" + ("<b>x</b><i>y</i>" if i % 2 else "<i>y</i><b>x</b>") * (1 + i % 3)) for i in range(12)]
+    assert extract.deduce(swapped).nested == []
+    assert extract._kept(list("abcd"), list("bcda")) == list("bcd")  # one token astray costs no other
+
+
 def test_extraction_of_odd_pages(spark):
     rows = [(1, None, None), (2, "http://x/", "plain <b>a</b> & b"), (3, "HTTP://X/", "<p>yes <p>z<script>x"), (3, "HTTP://X/", "<p>yes <p>z<script>x"), (None, "zz", "<ul><li>a<li>b</ul></x>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
