@@ -28,9 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the least id, of each class that links of likeness connect."""
     ship(spark)
-    found = jaccard.classes(docs, PERCENT, SHINGLE)
-    others = common.table(found.where("component_id <> doc_id").select("doc_id").distinct(), "pipeline-copies")
-    return docs.join(common.small(others), "doc_id", "left_anti").select(*docs.columns)
+    return jaccard.unique(docs, PERCENT, SHINGLE)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

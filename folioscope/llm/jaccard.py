@@ -426,17 +426,75 @@ def _refined(may: DataFrame, ids: DataFrame, copies: DataFrame, percent: int, si
         may = common.table(rest.unionByName(again), "jaccard-may-all")
 
 
+def _noded(docs: DataFrame, name: str = "node") -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with a number of each document, its node, as ``name``, and of the nodes that aren't their doc_id (node, doc_id), if any are.
+
+    A row with an id of its own has that id as its node. One whose id is null or repeated is told from others by a 64-bit hash
+    of id and text, so that rows with both equal share a node.
+    """
+    key = F.col("doc_id").cast("long")
+    odd = docs.select(key.alias("_odd")).groupBy("_odd").agg(F.count("*").alias("_rows")).where("_rows > 1 or _odd is null")
+    odd = common.table(odd, "jaccard-odd-ids")
+    if odd.isEmpty():
+        return docs.withColumn(name, key), None
+    joined = docs.join(common.small(odd), key.eqNullSafe(F.col("_odd")), "left")
+    made = joined.withColumn(name, F.when(F.col("_rows").isNull(), key).otherwise(F.xxhash64(key, "text")))
+    names = made.where("_rows is not null").select(F.col(name).alias("node"), F.col("_odd").alias("doc_id")).distinct()
+    return made.drop("_odd", "_rows"), common.table(names, "jaccard-odd-nodes")
+
+
+def _named(nodes: DataFrame, names: DataFrame | None) -> DataFrame:
+    """``nodes`` (node, ...) with doc_id."""
+    if names is None:
+        return nodes.withColumn("doc_id", F.col("node"))
+    own = common.small(names.select(F.col("node").alias("_node"), F.col("doc_id").alias("_named")))
+    joined = nodes.join(own, F.col("node") == F.col("_node"), "left")
+    return joined.withColumn("doc_id", F.when(F.col("_node").isNull(), F.col("node")).otherwise(F.col("_named"))).drop("_node", "_named")
+
+
 def classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles and component_id, the least doc_id reachable by links.
 
-    Null and empty texts have no shingles and link with nothing. Rows with equal doc_id count as one
-    document, and null ids as one that is below all others; such rows' component_id is null unless a
-    link gives another. Equal sets link. Empty tables give no rows; other columns are ignored.
+    Null and empty texts have no shingles and link with nothing. Each row is a document of its own, whether
+    its doc_id is null, repeated or neither; component_id is null only if all of a class have null ids.
+    Equal sets link. Empty tables give no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lowest = -(2**63)
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("node"), "text")
+    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    noded, names = _noded(docs.select("doc_id", "text"))
+    described, ends = _linked(noded.select("node", "text"), percent, size)
+    ends = _named(ends, names)
+    least = ends.groupBy("component").agg(F.min("doc_id").alias("least")) if names is not None else None
+    if least is not None:
+        ends = common.table(ends.join(common.small(least), "component").select("node", "least"), "jaccard-least")
+    else:
+        ends = ends.select("node", F.col("component").alias("least"))
+    ends = ends.select(F.col("node").alias("id"), "least", F.lit(True).alias("linked"))
+    out = _named(described.select("node", "n"), names).join(common.small(ends), F.col("node") == F.col("id"), "left")
+    component = F.when(F.col("linked"), F.col("least")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).repartition(n_parts)
+
+
+def unique(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """One row of each class of ``docs``, the one with the least doc_id that isn't null; rows without shingles all stay."""
+    noded, names = _noded(docs, "_node")
+    described, ends = _linked(noded.select(F.col("_node").alias("node"), "text"), percent, size)
+    if names is None:
+        others = common.table(ends.where("component <> node").select("node"), "jaccard-others")
+        return noded.join(common.small(others.toDF("_node")), "_node", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    named = _named(ends, names)
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node"))["node"].alias("first"))
+    others = common.table(named.join(first, "component").where("node <> first").select("node"), "jaccard-others")
+    # rows that share a node have the same id and text: one stays
+    same = described.where("n > 0").groupBy("node").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("node").alias("_node"), F.lit(True).alias("_same"))
+    same = common.table(same, "jaccard-same")
+    left = noded.join(common.small(others.toDF("_node")), "_node", "left_anti").join(common.small(same), "_node", "left")
+    columns = [f"`{c}`" for c in docs.columns]
+    one = left.where("_same").groupBy("_node").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_row"))
+    return left.where("_same is null").select(*columns).union(one.select("_row.*"))
+
+
+def _linked(ids: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``ids`` (node, text): the sets (node, n, ...), a row each, and of nodes that link (node, component), the least node."""
     made = _described_sets(ids, percent, size, percent >= GROUPED_FROM)
     described = made.where("n is not null").select("node", "n", "d1", "d2")
     full = described.where("n > 0")
@@ -457,12 +515,8 @@ def classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Dat
     edges = common.table(_verified(each, percent, size), "jaccard-links")
     if not blocked.where("blocks > 1").isEmpty():
         edges = edges.union(_across(texts.where("blocks > 1"), edges, percent, size))
-    ends = common.components(edges.union(copies), "jaccard-classes")
-    ends = common.table(ends, "jaccard-labels")
-    out = described.select("node", "n").join(common.small(ends), described["node"] == ends["id"], "left")
-    out = out.withColumn("component", F.coalesce("component", "node"))
-    as_id = lambda c: F.when(F.col(c) != lowest, F.col(c))
-    return out.select(as_id("node").alias("doc_id"), F.col("n").alias("n_shingles"), as_id("component").alias("component_id")).repartition(n_parts)
+    ends = common.components(edges.union(copies), "jaccard-classes").withColumnRenamed("id", "node")
+    return described, common.table(ends, "jaccard-labels")
 
 
 def _across(texts: DataFrame, edges: DataFrame, percent: int, size: int) -> DataFrame:

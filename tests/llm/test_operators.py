@@ -270,6 +270,18 @@ def test_classes_of_odd_rows(spark, docs):
     assert jaccard.classes(docs.limit(0)).count() == 0
 
 
+def test_classes_of_null_and_repeated_ids(spark):
+    # a, b and c: texts that link with nothing else
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(None, a), (5, a), (9, a), (3, b), (4, c), (7, b), (7, c), (8, c + " more"), (7, c), (None, "z z z"), (None, "z z z"), (2, None), (2, None), (6, "alone")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["component_id"]) for r in jaccard.classes(frame, 80, 5).collect())
+    assert got == {(None, 5): 1, (5, 5): 1, (9, 5): 1, (3, 3): 1, (7, 3): 1, (4, 4): 1, (7, 4): 2, (8, 4): 1, (None, None): 2, (2, 2): 2, (6, 6): 1}
+    left = Counter(tuple(r) for r in jaccard.unique(frame, 80, 5).collect())
+    assert left == {(5, a): 1, (3, b): 1, (4, c): 1, (None, "z z z"): 1, (2, None): 2, (6, "alone"): 1}
+    assert jaccard.unique(frame.limit(0), 80, 5).count() == 0
+
+
 def test_every_linked_pair_shares_a_prefix_shingle():
     rng = np.random.default_rng(1)
     sketch = rng.integers(0, 5, jaccard.CELLS).astype(np.uint8)
