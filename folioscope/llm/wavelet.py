@@ -154,16 +154,17 @@ class Encoder:
 
     The vocabulary's splitting pattern never joins what a space begins with what stands before
     it, so a text's ids are those of its space-led pieces in a row, and pieces repeat. The ids of
-    ``memory`` pieces at most are kept. Texts with white space beside a space, or with white space
-    beyond space and line feed, go through the tokenizer whole.
+    ``memory`` pieces at most are kept. Texts that hold one of the vocabulary's added tokens, white space
+    beside a space, or white space beyond space and line feed go through the tokenizer whole.
     """
 
     def __init__(self, path: str, memory: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.memory = memory
+        added = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(sorted(added, key=len, reverse=True)) or r"(?!)")
         self.odd = re.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
         self.inner, self.first = _Pieces(self, " "), _Pieces(self, "")
 
@@ -173,7 +174,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if "  " in text or "\n " in text or " \n" in text or self.odd.search(text) or text[0] == " " or text[-1] == " ":
+        if "  " in text or "\n " in text or " \n" in text or self.odd.search(text) or self.added.search(text) or text[0] == " " or text[-1] == " ":
             return self.direct(text)
         head, *rest = text.split(" ")
         for pieces in (self.inner, self.first):
