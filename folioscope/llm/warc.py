@@ -24,6 +24,8 @@ from folioscope.llm import common, files
 
 ROLL_BYTES = 32 << 20
 LEVEL = 5
+#: Bytes of a file that the reader decompresses at a time.
+CHUNK = 16 << 10
 #: The capture date that all records carry, as the tables have none.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -127,12 +129,17 @@ def write(pages: DataFrame, uri: str, roll_bytes: int = ROLL_BYTES) -> DataFrame
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The headers and blocks of an archive's records, member by member."""
-    while data:
-        unpress = zlib.decompressobj(31)
-        whole = unpress.decompress(data)
-        data = unpress.unused_data
-        head, _, rest = whole.partition(b"\r\n\r\n")
+    """The headers and blocks of an archive's records, member by member; a chunk of the file at a time is fed."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        unpress, parts = zlib.decompressobj(31), []
+        while not unpress.eof:
+            if at >= len(view):
+                raise ValueError("the archive ends within a record")
+            chunk = view[at : at + CHUNK]
+            parts.append(unpress.decompress(chunk))
+            at += len(chunk) - len(unpress.unused_data)
+        head, _, rest = b"".join(parts).partition(b"\r\n\r\n")
         version, *lines = head.decode().split("\r\n")
         if version != "WARC/1.1":
             raise ValueError(f"not a WARC record: {version[:40]}")
