@@ -19,12 +19,16 @@ from pyspark.sql import types as T
 from folioscope.llm import common
 
 SHARDS, SEED = 8, 20240601
-#: Rows a block holds about, and the number of blocks that the matrix may have.
-BLOCK_ROWS, MAX_BLOCKS = 20_000, 65_536
+#: Rows a block holds about, and the number of blocks that the matrix may have; beyond their product blocks grow.
+BLOCK_ROWS, MAX_BLOCKS = 20_000, 1 << 20
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
-    """Good ones among ``drawn`` of good + bad. Totals beyond numpy's limit are inverted from the mode's tails."""
+    """Good ones among ``drawn`` of good + bad.
+
+    Totals beyond numpy's limit are drawn by inversion of the law within 12 standard deviations of its mode;
+    what lies beyond has less mass than the last bit of the uniform number that is inverted, so no draw would differ.
+    """
     if good + bad < 1_000_000_000:
         return int(rng.hypergeometric(good, bad, drawn)) if drawn and good else 0
     low, high = max(0, drawn - bad), min(drawn, good)
@@ -61,30 +65,32 @@ def shuffle(df: DataFrame, keys: list[str], shards: int = SHARDS, seed: int = SE
     Shard counts differ by one at most. The result follows from the rows, ``keys`` (columns that
     tell rows apart), ``shards`` and ``seed``, whatever the partitions, so repeated tasks agree. Null
     keys hash like any value; rows equal in all keys lie in one block and are interchangeable. An
-    empty table stays empty. Columns named like those added are replaced.
+    empty table stays empty. Columns named shard or slot are replaced, others are kept, whatever their names.
     """
     spark = df.sparkSession
-    df = df.drop("shard", "slot", "_h", "_block", "_piece", "_cuts", "_before", "_r")
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(f"`{k}`") for k in keys]))
+    own = [F.col(f"`{c}`") for c in df.columns if c not in ("shard", "slot")]
+    values = [F.col(f"row.`{k}`") for k in keys]
+    hashed = df.select(F.struct(*own).alias("row")).withColumn("h", F.xxhash64(F.lit(seed), *values))
     rows = df.count()
     blocks = min(MAX_BLOCKS, max(64, -(-rows // BLOCK_ROWS)))
-    blocked = hashed.withColumn("_block", F.pmod(F.xxhash64("_h", F.lit(0)), F.lit(blocks)).cast("int"))
-    sizes = {r["_block"]: r["count"] for r in blocked.groupBy("_block").count().collect()}
+    blocked = hashed.withColumn("block", F.pmod(F.xxhash64("h", F.lit(0)), F.lit(blocks)).cast("int"))
+    sizes = {r["block"]: r["count"] for r in blocked.groupBy("block").count().collect()}
     drawn = matrix([sizes.get(i, 0) for i in range(blocks)], shards, seed)
-    cuts = spark.createDataFrame([(i, np.cumsum(row).tolist()) for i, row in enumerate(drawn)], T.StructType([T.StructField("_block", T.IntegerType()), T.StructField("_cuts", T.ArrayType(T.LongType()))]))
+    cuts = spark.createDataFrame([(i, np.cumsum(row).tolist()) for i, row in enumerate(drawn)], T.StructType([T.StructField("block", T.IntegerType()), T.StructField("cuts", T.ArrayType(T.LongType()))]))
     cuts = common.table(cuts, "shuffle-matrix")
 
     def dealt(part: DataFrame) -> DataFrame:
-        local = Window.partitionBy("_block").orderBy(F.xxhash64("_h", F.lit(1)), *[F.col(f"`{k}`") for k in keys])
-        ranked = part.withColumn("_r", F.row_number().over(local)).join(cuts, "_block")
-        return ranked.withColumn("shard", F.expr("size(filter(_cuts, c -> c < _r))").cast("int")).withColumn("_piece", F.pmod(F.xxhash64("_h", F.lit(2)), F.lit(-(-blocks // shards))).cast("int")).drop("_r", "_cuts", "_block")
-
-    counts = dealt(blocked.select("_h", "_block", *[f"`{k}`" for k in keys])).groupBy("shard", "_piece").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("shard").orderBy("_piece")) - F.col("_n")
-    offsets = common.table(counts.select("shard", "_piece", before.alias("_before")), "shuffle-offsets", 1)
-    again = Window.partitionBy("shard", "_piece").orderBy(F.xxhash64("_h", F.lit(3)), *[F.col(f"`{k}`") for k in keys])
-    placed = dealt(blocked).withColumn("_r", F.row_number().over(again)).join(offsets, ["shard", "_piece"])
-    return placed.withColumn("slot", F.col("_before") + F.col("_r") - 1).select(*[f"`{c}`" for c in df.columns], "shard", "slot")
+        local = Window.partitionBy("block").orderBy(F.xxhash64("h", F.lit(1)), *values)
+        ranked = part.withColumn("r", F.row_number().over(local)).join(cuts, "block")
+        return ranked.withColumn("shard", F.expr("size(filter(cuts, c -> c < r))").cast("int")).withColumn("piece", F.pmod(F.xxhash64("h", F.lit(2)), F.lit(-(-blocks // shards))).cast("int")).drop("r", "cuts", "block")
+
+    slim = blocked.select(F.struct(*[v.alias(k) for v, k in zip(values, keys, strict=True)]).alias("row"), "h", "block")
+    counts = dealt(slim).groupBy("shard", "piece").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("piece")) - F.col("n")
+    offsets = common.table(counts.select("shard", "piece", before.alias("before")), "shuffle-offsets", 1)
+    again = Window.partitionBy("shard", "piece").orderBy(F.xxhash64("h", F.lit(3)), *values)
+    placed = dealt(blocked).withColumn("r", F.row_number().over(again)).join(offsets, ["shard", "piece"])
+    return placed.select("row.*", "shard", (F.col("before") + F.col("r") - 1).alias("slot"))
 
 
 def op4_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
