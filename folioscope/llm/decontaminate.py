@@ -4,7 +4,7 @@ A task gathers whole documents into a shard of up to ``SHARD_WORDS`` words and s
 positions by the words that follow: the shard's suffix array. Every suffix of every benchmark item
 is binary-searched in it, all at once, for the stretch of positions that begin with its first
 ``WINDOW`` words. The positions tell which document words a benchmark item covers; positions that follow
-each other in both texts merge into the longest verbatim matches.
+each other in both texts merge into verbatim matches, of which each item's longest in a document is kept.
 
 Words: A-Z is lower-cased; a word is a run of letters a-z, digits and characters from U+0080 on. An
 item of fewer words than a window, but not none, is one window itself.
@@ -28,8 +28,8 @@ from folioscope.llm import common, files
 
 WINDOW = 8
 SHARD_WORDS = 1 << 21
-#: Benchmark text that tasks hold at a time.
-BLOCK_BYTES = 8 << 20
+#: Benchmark text that tasks hold at a time, and pairs of places in texts and items that are joined at a time, about.
+BLOCK_BYTES, PAIRS = 8 << 20, 1 << 21
 #: Word numbers of a shard below this many bits pack three to a sort key, others two; 0 parts documents.
 WORD_BITS = 21
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -103,52 +103,81 @@ class SuffixArray:
 
 
 def benchmark_blocks(benchmark: DataFrame, uri: str) -> list[str]:
-    """Writes the items' words in blocks of bounded size to the shared folder; returns the files' names."""
-    names: list[str] = []
-    held: list[tuple[str, list[bytes]]] = []
-    size = 0
+    """Tasks write the items' windows in blocks of bounded size to the shared folder; returns the files' names."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
-    def close() -> None:
-        nonlocal size
-        if held:
-            names.append(f"benchmark-{len(names):06d}.npz")
-            out = io.BytesIO()
-            text = b"\n".join(b" ".join(w) for _, w in held)
-            np.savez(out, items=np.array([i for i, _ in held]), text=np.frombuffer(text, np.uint8))
-            files.put(uri, names[-1], out.getvalue())
-        held.clear()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, part = TaskContext.get().partitionId(), 0
+        held: list[tuple[str, list[bytes]]] = []
         size = 0
 
-    for row in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        if size > BLOCK_BYTES:
-            close()
-        found = words((row[1] or "").encode())
-        if found and row[0] is not None:
-            held.append((row[0], found))
-            size += sum(map(len, found)) + len(found)
-    close()
-    return names
+        def close() -> pa.RecordBatch:
+            nonlocal part, size
+            name = f"benchmark-{number:06d}-{part:06d}.npz"
+            files.put(uri, name, Block.of(held).dump())
+            held.clear()
+            part, size = part + 1, 0
+            return pa.RecordBatch.from_pydict({"file": [name]})
+
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                if size > BLOCK_BYTES:
+                    yield close()
+                found = words(text)
+                if found:
+                    held.append((item, found))
+                    size += len(text)
+        if held:
+            yield close()
 
+    dealt = items.repartition(1 + size // BLOCK_BYTES, F.xxhash64("item_id", "text")).sortWithinPartitions("item_id", "text")
+    return sorted(r["file"] for r in dealt.mapInArrow(run, "file string").collect())  # a name for 8 MB of items
 
-class Block:
-    """The windows of a block of items: distinct ones, and where they stand in items."""
 
-    def __init__(self, data: bytes):
+class Block:
+    """The distinct windows of a block of items, as rows of word numbers, and where they stand in items."""
+
+    def __init__(self, items: np.ndarray, vocabulary: bytes, windows: np.ndarray, starts: np.ndarray, item: np.ndarray, at: np.ndarray):
+        self.items, self.vocabulary, self.windows = items, vocabulary, windows  # -1 fills rows of short items
+        self.starts, self.item, self.at = starts, item, at  # places of window k: starts[k] to starts[k + 1]
+        self.lengths = (windows >= 0).sum(1)
+
+    @classmethod
+    def of(cls, held: list[tuple[str, list[bytes]]]) -> Block:
+        number: defaultdict[bytes, int] = defaultdict(count().__next__)
+        windows, item, at = [], [], []
+        for i, (_, found) in enumerate(held):
+            ids = np.fromiter(map(number.__getitem__, found), np.int32, len(found))
+            if len(ids) < WINDOW:
+                ids = np.concatenate([ids, np.full(WINDOW - len(ids), -1, np.int32)])
+            own = np.lib.stride_tricks.sliding_window_view(ids, WINDOW)
+            windows.append(own)
+            item.append(np.full(len(own), i))
+            at.append(np.arange(len(own)))
+        rows, which = np.unique(np.concatenate(windows), axis=0, return_inverse=True)
+        which = which.ravel()
+        order = np.argsort(which, kind="stable")
+        starts = np.searchsorted(which[order], np.arange(len(rows) + 1))
+        return cls(np.array([i for i, _ in held], "U"), b"\n".join(number), rows, starts, np.concatenate(item)[order], np.concatenate(at)[order])
+
+    def dump(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, items=self.items, vocabulary=np.frombuffer(self.vocabulary, np.uint8), windows=self.windows, starts=self.starts, item=self.item.astype(np.int32), at=self.at.astype(np.int32))
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, data: bytes) -> Block:
         with np.load(io.BytesIO(data)) as z:
-            self.items = z["items"].tolist()
-            lines = [line.split(b" ") for line in z["text"].tobytes().split(b"\n")]
-        numbers: dict[tuple[bytes, ...], int] = {}
-        self.window, self.item, self.at = [], [], []
-        self.depth = max(map(len, lines))
-        for i, line in enumerate(lines):
-            for j in range(max(1, len(line) - WINDOW + 1)):
-                self.window.append(numbers.setdefault(tuple(line[j : j + WINDOW]), len(numbers)))
-                self.item.append(i)
-                self.at.append(j)
-        self.windows = list(numbers)
-        order = np.argsort(self.window, kind="stable")
-        self.item, self.at = np.array(self.item)[order], np.array(self.at)[order]
-        self.starts = np.searchsorted(np.array(self.window)[order], np.arange(len(numbers) + 1))
+            return cls(z["items"], z["vocabulary"].tobytes(), *(z[k] for k in ("windows", "starts", "item", "at")))
+
+    def queries(self, vocabulary: dict[bytes, int]) -> np.ndarray:
+        """The windows in another vocabulary's numbers; words that it hasn't are the largest number."""
+        none = np.uint32(2**32 - 1)
+        own = np.fromiter((vocabulary.get(w, none) for w in self.vocabulary.split(b"\n")), np.uint32)
+        return np.append(own, none)[self.windows]
 
 
 def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,47 +199,68 @@ def search(texts: list[bytes | None], blocks: Callable[[], Iterator[Block]]) ->
     starts = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64) + 1)])
     ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
     del parts
+    vocabulary.default_factory = None
     array, cover = None, np.zeros(len(ids) + 1, np.int32)
     items: list[list[str]] = [[] for _ in texts]
     matches: list[list[tuple[str, int, int, int]]] = [[] for _ in texts]
     for block in blocks():
-        if array is None or array.depth < min(block.depth, WINDOW):
-            array = SuffixArray(ids, min(block.depth, WINDOW))
-            array.depth = min(block.depth, WINDOW)
-        lengths = np.array([len(w) for w in block.windows])
-        queries = np.full((len(lengths), WINDOW), np.uint32(2**32 - 1), np.uint32)
-        for q, w in enumerate(block.windows):
-            for k, x in enumerate(w):
-                queries[q, k] = vocabulary.get(x, 2**32 - 1)
-        low, high = array.stretch(queries, lengths)
+        depth = int(block.lengths.max())
+        if array is None or array.depth < depth:
+            array = SuffixArray(ids, depth)
+            array.depth = depth
+        low, high = array.stretch(block.queries(vocabulary), block.lengths)
         window, slots = _spread(low, high)
         if not len(window):
             continue
         place = array.order[slots]
         np.add.at(cover, place, 1)
-        np.add.at(cover, place + lengths[window], -1)
-        # every place of a window in the texts with every place of it in the items, as diagonals
-        hit, where = _spread(block.starts[window], block.starts[window + 1])
-        place, item, at, size = place[hit], block.item[where], block.at[where], lengths[window[hit]]
-        order = np.lexsort((place, place - at, item))
-        place, item, at, size = place[order], item[order], at[order], size[order]
-        new = np.ones(len(place), bool)
-        new[1:] = (item[1:] != item[:-1]) | (place[1:] != place[:-1] + 1) | (at[1:] != at[:-1] + 1)
-        head = np.flatnonzero(new)
-        run = np.diff(np.append(head, len(place))) + size[head] - 1
-        doc = np.searchsorted(starts, place[head], side="right") - 1
-        for d, i, p, j, n in zip(doc.tolist(), item[head].tolist(), place[head].tolist(), at[head].tolist(), run.tolist(), strict=True):
-            matches[d].append((block.items[i], p - int(starts[d]), j, n))
+        np.add.at(cover, place + block.lengths[window], -1)
+        for d, i, p, j, n in _longest(block, window, place, starts):
+            items[d].append(str(block.items[i]))
+            matches[d].append((str(block.items[i]), p, j, n))
     covered = np.cumsum(cover[:-1]) > 0
     before = np.concatenate([[0], np.cumsum(covered)])
     n_hit = before[starts[1:]] - before[starts[:-1]]
-    for d, found in enumerate(matches):
-        items[d] = sorted({m[0] for m in found})
-    return [(sizes[d], int(n_hit[d]), items[d], sorted(matches[d])) for d in range(len(texts))]
+    return [(sizes[d], int(n_hit[d]), sorted(set(items[d])), sorted(matches[d])) for d in range(len(texts))]
+
+
+def _longest(block: Block, window: np.ndarray, place: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    """Document, item, word in both and length of each item's longest match in a document, the first of those alike.
+
+    Windows at places of the texts meet their places in items for some texts at a time, so that no more than about
+    PAIRS are held, one text's at least.
+    """
+    doc = np.searchsorted(starts, place, side="right") - 1
+    order = np.argsort(place, kind="stable")
+    window, place, doc = window[order], place[order], doc[order]
+    ends = np.cumsum(block.starts[window + 1] - block.starts[window])
+    at = 0
+    while at < len(place):
+        stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right"))
+        if stop < len(doc):  # texts stay whole
+            stop = int(np.searchsorted(doc, doc[stop]))
+            if stop <= at:
+                stop = int(np.searchsorted(doc, doc[at], side="right"))
+        part = slice(at, stop)
+        at = stop
+        hit, where = _spread(block.starts[window[part]], block.starts[window[part] + 1])
+        p, d, n, i, j = place[part][hit], doc[part][hit], block.lengths[window[part]][hit], block.item[where], block.at[where]
+        by = np.lexsort((p, p - j, i, d))  # along the diagonals of each text and item
+        p, d, n, i, j = p[by], d[by], n[by], i[by], j[by]
+        new = np.ones(len(p), bool)
+        new[1:] = (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (p[1:] != p[:-1] + 1) | (j[1:] != j[:-1] + 1)
+        head = np.flatnonzero(new)
+        run = np.diff(np.append(head, len(p))) + n[head] - 1
+        best = np.lexsort((j[head], p[head], -run, i[head], d[head]))
+        pair = np.stack([d[head][best], i[head][best]])
+        first = best[np.concatenate([[True], (pair[:, 1:] != pair[:, :-1]).any(0)])]
+        at_head = head[first]
+        yield from zip(d[at_head].tolist(), i[at_head].tolist(), (p[at_head] - starts[d[at_head]]).tolist(), j[at_head].tolist(), run[first].tolist(), strict=True)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with n_words, n_hit, items (array<string>, sorted) and matches (array of item_id, doc_word, item_word, n_words).
+    """``docs`` with n_words, n_hit, items (array<string>, sorted) and matches (array of item_id, doc_word, item_word, n_words:
+    of each row of the benchmark that occurs, its longest verbatim match).
 
     Every row is kept, also ones that equal each other; null and empty texts have no words and no items. Null
     items or items without words match nothing; an empty benchmark matches nothing. Columns of those
@@ -227,10 +277,10 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     place = kept.index("text")
 
     def search_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = [Block(files.get(uri, names[0]))] if len(names) == 1 else None
+        one = [Block.load(files.get(uri, names[0]))] if len(names) == 1 else None
 
         def blocks() -> Iterator[Block]:
-            yield from one if one is not None else (Block(files.get(uri, name)) for name in names)
+            yield from one if one is not None else (Block.load(files.get(uri, name)) for name in names)
 
         kind = pa.list_(pa.struct([("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())]))
         for batch in shards(batches, place):
