@@ -63,12 +63,15 @@ def mix(docs: DataFrame, max_repeats: float = MAX_REPEATS, entropy: float | None
     Without ``budget`` the tokens to give are the fewest that take every document of every source
     once, so none is left out. Adds n_tokens (words), epoch (int, from 1), block (long, from 0)
     and mix_key, by which a block's rows are sorted to permute it. Null sources are one source;
-    null texts have no tokens; sources without tokens pass once. Ties and repeated rows are
-    ordered by doc_id and a hash of the text. Empty tables give no rows. Columns of those names are replaced.
+    null texts have no tokens; sources without tokens pass once. A pass orders rows by a hash of doc_id
+    and text; ties are equal rows. Empty tables give no rows. Columns of those four names are replaced,
+    others are kept, whatever their names.
     """
     spark = docs.sparkSession
     own = [c for c in docs.columns if c not in ("n_tokens", "epoch", "block", "mix_key")]
-    counted = docs.select(*[f"`{c}`" for c in own], n_tokens().alias("n_tokens"), F.xxhash64("text").alias("_tie"))
+    text = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    mark = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text)
+    counted = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), "source", n_tokens().alias("n_tokens"), mark.alias("_mark"))
     totals = common.table(counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), "mix-totals", 1)
     a = round(exponent(totals, max_repeats, entropy, budget), 9)
     every = Window.partitionBy()
@@ -82,7 +85,7 @@ def mix(docs: DataFrame, max_repeats: float = MAX_REPEATS, entropy: float | None
     plan = common.table(plan.select(F.col("source").alias("_source"), "_sid", "tokens", "full", "rest", "blocks"), "mix-plan", 1)
     passes = counted.join(plan, F.col("source").eqNullSafe(F.col("_source")))
     passes = passes.withColumn("epoch", F.explode(F.expr("sequence(1, int(full) + if(rest > 0, 1, 0))")) if budget is None else F.explode(F.expr("if(full + rest = 0, array(), sequence(1, int(full) + if(rest > 0, 1, 0)))")))
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("epoch").cast("string"), F.col("_mark")).cast("binary"))
     passes = passes.withColumn("_key", key)
     most = totals.agg(F.max("rows")).first()[0] or 1
     digits = max(1, math.ceil(math.log(max(1, most / 2000), 16)))
@@ -91,14 +94,14 @@ def mix(docs: DataFrame, max_repeats: float = MAX_REPEATS, entropy: float | None
     slim = passes.groupBy("_sid", "epoch", "_range").agg(F.sum("n_tokens").alias("_held"))
     before = F.sum("_held").over(Window.partitionBy("_sid", "epoch").orderBy("_range")) - F.col("_held")
     ranges = common.table(slim.select("_sid", "epoch", "_range", before.alias("_before")), "mix-ranges")
-    inside = Window.partitionBy("_sid", "epoch", "_range").orderBy("_key", "doc_id", "_tie")
+    inside = Window.partitionBy("_sid", "epoch", "_range").orderBy("_key")
     placed = passes.withColumn("_inside", F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
     placed = placed.join(ranges, ["_sid", "epoch", "_range"])
     placed = placed.withColumn("_at", F.col("_before") + F.col("_inside")).where("epoch <= full or _at < rest")
     stream = F.expr("full * tokens + rest")
     block = F.when(stream > 0, F.floor(((F.col("epoch") - 1) * F.col("tokens") + F.col("_at")) / stream * F.col("blocks"))).otherwise(0)
     block = F.least(block, F.col("blocks") - 1).cast("long")
-    return placed.select(*[f"`{c}`" for c in own], "n_tokens", "epoch", block.alias("block"), F.md5(F.concat(F.lit("in-block:"), F.col("_key")).cast("binary")).alias("mix_key"))
+    return placed.select("_row.*", "n_tokens", "epoch", block.alias("block"), F.md5(F.concat(F.lit("in-block:"), F.col("_key")).cast("binary")).alias("mix_key"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,8 +119,8 @@ f AS (SELECT source, tokens, give, budget, CAST(floor(give / tokens + 1e-9) AS B
 n AS (SELECT source, tokens, f, CAST(greatest(0, round(give - f * tokens)) AS BIGINT) AS rest, CAST(greatest(1, ceil(budget / {BLOCK_TOKENS})) AS BIGINT) AS blocks FROM f
       UNION ALL SELECT source, 0, 1, 0, (SELECT CAST(greatest(1, ceil(coalesce(max(budget), 0) / {BLOCK_TOKENS})) AS BIGINT) FROM g) FROM t WHERE tokens = 0),
 e AS (SELECT c.*, n.tokens, n.f, n.rest, n.blocks, CAST(unnest(range(1, n.f + CASE WHEN n.rest > 0 THEN 2 ELSE 1 END)) AS INT) AS epoch FROM c JOIN n ON c.source IS NOT DISTINCT FROM n.source),
-k AS (SELECT *, md5('{SEED}:' || epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM e),
-o AS (SELECT *, CAST(sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY k, doc_id, text ROWS UNBOUNDED PRECEDING) - n_tokens AS BIGINT) AS pos FROM k)
+k AS (SELECT *, md5('{SEED}:' || epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k FROM e),
+o AS (SELECT *, CAST(sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY k ROWS UNBOUNDED PRECEDING) - n_tokens AS BIGINT) AS pos FROM k)
 SELECT doc_id, source, n_tokens, epoch,
   CAST(least(CASE WHEN f * tokens + rest > 0 THEN floor(((epoch - 1) * tokens + pos) / (f * tokens + rest) * blocks) ELSE 0 END, blocks - 1) AS BIGINT) AS block,
   md5('in-block:' || k) AS mix_key
