@@ -1,13 +1,15 @@
 """Language of texts and of their parts: script ranges, word scores, and Viterbi with a switching penalty.
 
 A model is learned from labelled texts: which scripts a language uses, and how often it uses each
-character n-gram. The script of a word narrows its candidates; its n-grams give each candidate
-a log probability. Viterbi over a text's words finds the labelling with the best sum of word scores
-less ``PENALTY`` for each change, so stretches of mixed-language texts get labels of their own.
+character n-gram. The script of a word narrows its candidates to the languages that use it; its n-grams
+give each candidate a log probability. Viterbi over a text's words finds the labelling with the best sum
+of word scores less ``PENALTY`` for each change, so stretches of mixed-language texts get labels of their
+own. Training is one task of the cluster; the driver gets the finished model alone.
 """
 
 from __future__ import annotations
 
+import io
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -15,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm import common
@@ -23,10 +25,14 @@ from folioscope.llm.words import WordTable, grams
 
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
-#: Texts that the model is learned from at most, by the order of a hash of their id, and characters of each.
-TRAIN_DOCS, TRAIN_CHARS = 4000, 20_000
-#: Cost of a change of language between two words, and the least score of a word, in nats.
-PENALTY, FLOOR = 6.0, -4.0
+#: The model learns from at most so many texts, as many of each language as there are, in the order of a hash of their
+#: id and text, and from no further ones once they hold so many characters. Each is taken whole.
+TRAIN_DOCS, TRAIN_TEXT = 4000, 32_000_000
+#: Cost of a change of language between two words, the least score of a candidate, and that of a language which
+#: doesn't use the word's script, in nats.
+PENALTY, FLOOR, EXCLUDED = 6.0, -4.0, -1e4
+#: Words of texts that are labelled at once, about; one longer text is labelled alone.
+CHUNK_WORDS = 500_000
 #: A language uses a script if it has at least this share of the language's letters.
 SCRIPT_SHARE = 0.002
 #: First code points of ranges of scripts, ascending; a range ends where the next begins.
@@ -45,7 +51,12 @@ _SCRIPT = np.array([_NAMES.index(n) for _, n in SCRIPTS])
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters (Unicode category L), in lower case."""
+    found = _WORD.findall(text.lower()) if text else []
+    if not found or "".join(found).isalpha():
+        return found
+    # numbers such as ½ or Ⅷ count as letters in patterns
+    return [part for w in found for part in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def scripts(found: list[str]) -> np.ndarray:
@@ -61,14 +72,25 @@ class Model:
     allowed: np.ndarray  # scripts x languages
 
     def scores(self, found: list[str]) -> np.ndarray:
-        """Log of each language's share in the words' probability; FLOOR or more, candidates by script only."""
+        """Log of each candidate's share in the words' probability, FLOOR or more; EXCLUDED for languages that don't use the script."""
         h, owner = grams(found, ORDERS)
         bucket = (h % np.uint64(BUCKETS)).astype(np.int64)
         total = np.column_stack([np.bincount(owner, self.weights[bucket, k], len(found)) for k in range(len(self.languages))])
-        total = np.where(self.allowed[scripts(found)], total, -1e9)
+        candidate = self.allowed[scripts(found)]
+        total = np.where(candidate, total, -1e9)
         total -= total.max(1, keepdims=True)
         total -= np.log(np.exp(total).sum(1, keepdims=True))
-        return np.maximum(total, FLOOR).astype(np.float32)
+        return np.where(candidate, np.maximum(total, FLOOR), EXCLUDED).astype(np.float32)
+
+    def dump(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, languages=np.array(self.languages, "U"), weights=self.weights, allowed=self.allowed)
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, data: bytes) -> Model:
+        with np.load(io.BytesIO(data)) as z:
+            return cls(z["languages"].tolist(), z["weights"], z["allowed"])
 
 
 def learn(rows: list[tuple[str, str]]) -> Model:
@@ -94,7 +116,7 @@ def learn(rows: list[tuple[str, str]]) -> Model:
 def viterbi(scores: np.ndarray, lengths: list[int], penalty: float = PENALTY) -> np.ndarray:
     """The best label of each word. ``scores``: the words of all texts in a row; all texts advance together."""
     n = np.array(lengths, np.int64)
-    labels = np.zeros(len(scores), np.uint8)
+    labels = np.zeros(len(scores), np.int32)
     order = np.argsort(-n, kind="stable")
     starts = (np.cumsum(n) - n)[order]
     n = n[order]
@@ -109,7 +131,7 @@ def viterbi(scores: np.ndarray, lengths: list[int], penalty: float = PENALTY) ->
         top = before.argmax(1)
         jump = before[np.arange(k), top] - penalty
         stays = before >= jump[:, None]
-        came.append((stays, top.astype(np.uint8)))
+        came.append((stays, top.astype(np.int32)))
         best[:k] = np.where(stays, before, jump[:, None]) + emitted
     state = best.argmax(1) if best is not None else np.zeros(0, np.int64)
     for t in range(len(active) - 1, -1, -1):
@@ -125,13 +147,29 @@ def viterbi(scores: np.ndarray, lengths: list[int], penalty: float = PENALTY) ->
 def train(docs: DataFrame) -> Model:
     """Learns from a bounded sample of ``docs`` (doc_id, text, lang) outside the held-out fold."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (common.crc_fold() != 0))
-    rows = rows.select(F.xxhash64("doc_id", "text").alias("h"), "text", "lang")
-    # hashes alone are ordered, so that texts of the sample's size reach the driver and no more
-    last = rows.select("h").orderBy("h").limit(TRAIN_DOCS).agg(F.max("h")).first()[0]
-    if last is None:
+    rows = rows.select(F.xxhash64("doc_id", "text").alias("h"), F.col("lang").cast("string").alias("lang"), "text")
+    counts = common.table(rows.groupBy("lang").agg(F.count("*").alias("n")), "language-counts", 1)
+    languages = counts.count()
+    if not languages:
         return learn([])
-    picked = rows.where(F.col("h") <= last).select("h", F.left("text", F.lit(TRAIN_CHARS)).alias("text"), "lang").limit(TRAIN_DOCS)
-    return learn([(r["text"], r["lang"]) for r in sorted(picked.collect(), key=lambda r: (r["h"], r["lang"], r["text"]))])
+    quota = max(1, TRAIN_DOCS // languages)
+    # by their hashes some three times the quota of a language come near; of those the quota is taken exactly
+    near = F.pmod("h", F.lit(1 << 32)) < F.lit(3.0 * quota * (1 << 32)) / F.col("n")
+    drawn = rows.join(common.small(counts, 100_000), "lang").where(near).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    taken = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= quota)
+    taken = taken.select("h", "text", "lang").repartition(1).sortWithinPartitions("h", "lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample, held = [], 0
+        for batch in batches:
+            for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if held < TRAIN_TEXT:
+                    sample.append((text, lang))
+                    held += len(text)
+        yield pa.RecordBatch.from_pydict({"model": pa.array([learn(sample).dump()], pa.binary())})
+
+    found = taken.mapInArrow(run, "model binary").collect()
+    return Model.load(bytes(found[0]["model"])) if found else learn([])
 
 
 def label(docs: DataFrame, model: Model) -> DataFrame:
@@ -145,42 +183,57 @@ def label(docs: DataFrame, model: Model) -> DataFrame:
     span = "array<struct<first_word: long, n_words: long, lang: string>>"
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # BUCKETS x languages numbers, whatever the corpus
+    kind = pa.list_(pa.struct([("first_word", pa.int64()), ("n_words", pa.int64()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         table = _table(m)
         for batch in batches:
-            texts = [words(t) if m.languages else [] for t in batch.column(1).to_pylist()]
-            rows = table.look_up(texts)
-            lengths = [len(r) for r in rows]
-            flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-            scores = table.table[flat][:, : len(m.languages)] if len(flat) else np.zeros((0, max(1, len(m.languages))), np.float32)
-            letters = table.table[flat][:, -1] if len(flat) else np.zeros(0, np.float32)
-            labels = viterbi(scores, lengths)
-            langs, values, spans = [], [], []
-            end = 0
-            for size in lengths:
-                at, end = end, end + size
-                own = labels[at:end]
-                if not size:
-                    langs.append("und")
-                    values.append(0.0)
-                    spans.append([])
-                    continue
-                weight = np.bincount(own, letters[at:end], len(m.languages))
-                best = int(weight.argmax())
-                mine = own == best
-                langs.append(m.languages[best])
-                values.append(float(min(1.0, max(0.0, np.exp(scores[at:end, best][mine], dtype=np.float64).mean() * weight[best] / weight.sum()))))
-                heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                sizes = np.diff(np.append(heads, size))
-                spans.append([{"first_word": int(h), "n_words": int(s), "lang": m.languages[own[h]]} for h, s in zip(heads, sizes, strict=True)])
-            kind = pa.list_(pa.struct([("first_word", pa.int64()), ("n_words", pa.int64()), ("lang", pa.string())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(values, pa.float64()), pa.array(spans, kind)], names=["doc_id", "lang_pred", "score", "spans"])
+            for ids, texts in _chunks(batch):
+                found = _label(texts if m.languages else [[] for _ in texts], m, table)
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(list(c), k) for c, k in zip(zip(*found, strict=True), (pa.string(), pa.float64(), kind), strict=True))], names=["doc_id", "lang_pred", "score", "spans"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, lang_pred string, score double, spans {span}")
 
 
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[list[str]]]]:
+    """Runs of a batch's rows (doc_id, text): their ids, and the words of their texts, about CHUNK_WORDS at most."""
+    start, held, total = 0, [], 0
+    for row in range(len(batch)):
+        own = words(batch.column(1)[row].as_py())
+        if held and total + len(own) > CHUNK_WORDS:
+            yield batch.column(0).slice(start, row - start), held
+            start, held, total = row, [], 0
+        held.append(own)
+        total += len(own)
+    if held:
+        yield batch.column(0).slice(start), held
+
+
+def _label(texts: list[list[str]], model: Model, table: WordTable) -> list[tuple[str, float, list[dict]]]:
+    """lang_pred, score and spans of texts given as words."""
+    rows, languages = table.look_up(texts), model.languages
+    lengths = [len(r) for r in rows]
+    flat = np.concatenate(rows)
+    known = table.table[flat] if len(flat) else np.zeros((0, len(languages) + 1), np.float32)
+    scores, letters = known[:, :-1], known[:, -1]
+    labels = viterbi(scores, lengths)
+    out, end = [], 0
+    for size in lengths:
+        at, end = end, end + size
+        own = labels[at:end]
+        if not size:
+            out.append(("und", 0.0, []))
+            continue
+        weight = np.bincount(own, letters[at:end], len(languages))
+        best = int(weight.argmax())
+        share = np.exp(scores[at:end, best][own == best], dtype=np.float64).mean() * weight[best] / weight.sum()
+        heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        spans = [{"first_word": int(h), "n_words": int(n), "lang": languages[own[h]]} for h, n in zip(heads, np.diff(np.append(heads, size)), strict=True)]
+        out.append((languages[best], float(min(1.0, max(0.0, share))), spans))
+    return out
+
+
 def _table(model: Model) -> WordTable:
     def features(found: list[str]) -> np.ndarray:
         return np.column_stack([model.scores(found), [len(w) for w in found]])
