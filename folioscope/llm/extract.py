@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
@@ -30,12 +31,16 @@ from folioscope.llm import common
 
 #: Pages and bytes of a block, about.
 BLOCK_PAGES, BLOCK_BYTES = 256, 16 << 20
+#: Blocks of a task, about.
+TASK_BLOCKS = 4
 #: Share of the slots' text that the main element holds.
 MAIN_SHARE = 0.9
 #: Pages from which on a block's classes alone tell the site's words; below it names of elements help.
 FEW_PAGES = 8
 #: What an element is beside the page's own text: not at all, by its class, id or role, by its tag or as it is hidden.
 OWN, NAMED, BESIDE = range(3)
+#: Levels of elements that a path names; below, a hash of the names stands for them, so paths stay short in pages nested without end.
+LEVELS = 48
 
 # Names of HTML elements by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,7 +60,10 @@ ASIDE_WORDS = frozenset(
     "breadcrumbs header footer masthead sidebar aside widget related recommended share sharing social comment comments respond disqus newsletter subscribe signup login search "
     "toolbar pagination pager complementary contentinfo hidden".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:>|\Z)|[^<]+|<", re.S)
+#: Those of them that an article has of its own.
+ARTICLE_WORDS = frozenset("header masthead".split())
+#: Tags with a quote that never closes end at the next angle bracket.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:>|\Z)|</?[a-zA-Z][^<>]*>?|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _PARTS = re.compile(r"[a-z]+")
@@ -80,7 +88,16 @@ def _aside(name: str, tag: str, inside_main: bool) -> int:
     if inside_main and name in ("article", "main", "body", "html", "p", "span", "b", "i", "a"):
         return OWN
     marks = " ".join("".join(m) for m in _MARK.findall(tag)).lower()
-    return NAMED if marks and name not in ("article", "main", "body", "html") and not ASIDE_WORDS.isdisjoint(_PARTS.findall(marks)) else OWN
+    named = ASIDE_WORDS.intersection(_PARTS.findall(marks)) if marks and name not in ("article", "main", "body", "html") else ()
+    return NAMED if named and not (inside_main and ARTICLE_WORDS.issuperset(named)) else OWN
+
+
+def _below(path: str, name: str) -> str:
+    """The path of an element ``name`` in the element of ``path``."""
+    if "~" in path or path.count("/") >= LEVELS:
+        top, _, deep = path.partition("/~")
+        return f"{top}/~{_mix(zlib.crc32(name.encode('utf-8', 'surrogatepass')) ^ int(deep or '0', 16)):016x}"
+    return f"{path}/{name}"
 
 
 def parse(source: str) -> Page:
@@ -88,13 +105,12 @@ def parse(source: str) -> Page:
     page = Page()
     add = page.tokens.append
     stack: list[tuple[str, str, int]] = []  # name, path, aside
-
-    def top() -> tuple[str, int]:
-        return (stack[-1][1], stack[-1][2]) if stack else ("", OWN)
+    open_: Counter = Counter()  # elements on the stack by name
 
     def close_to(k: int) -> None:
         while len(stack) > k:
             name, path, aside = stack.pop()
+            open_[name] -= 1
             add((">", name, path, aside))
 
     at, end = 0, len(source)
@@ -102,8 +118,8 @@ def parse(source: str) -> Page:
         m = _TOKEN.match(source, at)
         value = m.group()
         at = m.end()
+        _, path, aside = stack[-1] if stack else ("", "", OWN)
         if value[0] != "<" or value == "<":
-            path, aside = top()
             add(("t", value, path, aside))
             continue
         named = _NAME.match(value)
@@ -111,34 +127,32 @@ def parse(source: str) -> Page:
             continue
         name = named.group(1).lower()
         if value[1] == "/":
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close_to(k)
-                    break
+            if open_[name]:
+                close_to(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
             continue
-        if name in CLOSES_P:
+        if name in CLOSES_P and open_["p"]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "p":
                     close_to(k)
                     break
                 if stack[k][0] in BLOCKS:
                     break
-        if name in ITEMS:
+        if name in ITEMS and any(open_[x] for x in ITEMS[name]):
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in KEEPS_ITEMS:
                     break
                 if stack[k][0] in ITEMS[name]:
                     close_to(k)
                     break
-        path, aside = top()
-        inside_main = any(s[0] in ("article", "main") for s in stack)
-        aside = aside if aside == BESIDE else max(aside, _aside(name, value, inside_main))
-        path = f"{path}/{name}"
+        _, path, aside = stack[-1] if stack else ("", "", OWN)
+        aside = aside if aside == BESIDE else max(aside, _aside(name, value, bool(open_["article"] or open_["main"])))
+        path = _below(path, name)
         add(("<", name, path, aside))
         if name in VOID or value.endswith("/>") and name not in BLOCKS:
             add((">", name, path, aside))
             continue
         stack.append((name, path, aside))
+        open_[name] += 1
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}", re.I).search(source, at)
             if stop is None:
@@ -307,7 +321,7 @@ def _main(pages: list[Page], found: Template) -> str:
         for k in range(1, len(parts) + 1):
             within["/".join(parts[:k])] += size
     opens = {path for kind, _, path in found.outer if kind == "<"}
-    fits = [p for p in opens | {""} if p.rpartition("/")[2] in ("", "article", "main", "section", "div", "body", "html", "td", "center") and within[p] >= MAIN_SHARE * total]
+    fits = [p for p in opens | {""} if "~" not in p and p.rpartition("/")[2] in ("", "article", "main", "section", "div", "body", "html", "td", "center") and within[p] >= MAIN_SHARE * total]
     for name in ("/article", "/main"):  # what the site itself marks as the article, if it holds as much
         marked = [p for p in fits if p.endswith(name) and within[p] > 0]
         if marked:
@@ -340,17 +354,19 @@ def main_text(page: Page, found: Template) -> str:
 
 
 def extract_block(sources: list[str]) -> list[str]:
-    """The main texts of pages of one site."""
-    pages = [parse(s) for s in sources]
-    found = deduce(pages)
-    return [main_text(p, found) for p in pages]
+    """The main texts of pages of one site. Equal pages count once: words don't become the site's by being copied."""
+    pages = {s: parse(s) for s in sources}
+    found = deduce(list(pages.values()))
+    texts = {s: main_text(p, found) for s, p in pages.items()}
+    return [texts[s] for s in sources]
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, url, html) as page_id, url, text and n_chars, one row for each row.
 
     Null html counts as empty; empty pages have the text ''. A null url, or one without a host, belongs to the
-    site ''. Sites of many pages are dealt to blocks by a hash of the row, so that no task holds one whole.
+    site ''. Equal pages have equal texts within a block, and count once in its template. Pages may nest without
+    end, and tags may be left open. Other columns are ignored, whatever their names. Sites of many pages are dealt to blocks by a hash of the row, so that no task holds one whole.
     """
     spark = pages.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -359,6 +375,8 @@ def extract(pages: DataFrame) -> DataFrame:
     sizes = sited.groupBy("host").agg(F.expr(f"cast(ceil(greatest(count(*) / {BLOCK_PAGES}, sum(octet_length(html)) / {BLOCK_BYTES}, 1)) as int)").alias("blocks"))
     sizes = common.table(sizes, "extract-hosts")
     dealt = sited.join(common.small(sizes, 200_000), "host").withColumn("block", F.pmod(F.xxhash64("page_id", "url"), F.col("blocks")))
+    blocks = sizes.agg(F.sum("blocks")).first()[0] or 0
+    n = max(n, -(-blocks // TASK_BLOCKS))  # so that the longest task doesn't grow with the input
     dealt = dealt.select("host", "block", "page_id", "url", "html").repartition(n, "host", "block").sortWithinPartitions("host", "block", "page_id", "url")
     kind = pages.schema["page_id"].dataType.simpleString()
 
