@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
-FALLBACK_SCRATCH = "file:///tmp/checkpoints/folioscope"
+#: Used only where one machine runs all and names no folder, as in tests.
+LOCAL_SCRATCH = "file:///tmp/checkpoints/folioscope"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,7 +18,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which every executor can reach."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_SCRATCH
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = LOCAL_SCRATCH
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -36,6 +41,12 @@ def delete(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(df: DataFrame, n: int) -> list[str]:
+    """Names for ``n`` helper columns that ``df`` hasn't."""
+    taken = {c.lower() for c in df.columns}
+    return list(itertools.islice((x for x in (f"_helper_{i}" for i in itertools.count()) if x not in taken), n))
+
+
 def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """``df``, a table of narrow rows, with the hint to broadcast it if a count finds at most ``rows``."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -42,20 +42,22 @@ def shingle_hashes(text: str) -> str:
 def fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """``df`` with the column ``name``: the fingerprint of ``text``, '' where it has no word or is null.
 
-    The stages are columns of their own, each used twice or more: Catalyst copies a column that
-    is used once into its use, here the body of a lambda, where it would be computed for each bin.
+    A column of that name is replaced, others are kept, whatever their names. The stages are columns of
+    their own, each used twice or more: Catalyst copies a column that is used once into its use, here the
+    body of a lambda, where it would be computed for each bin.
     """
-    first = f"filter(_sorted, (x, i) -> i = 0 or shiftrightunsigned(x, {_SHIFT}) <> shiftrightunsigned(_sorted[i - 1], {_SHIFT}))"
+    ordered, least, bins, full = common.unused(df, 4)
+    first = f"filter({ordered}, (x, i) -> i = 0 or shiftrightunsigned(x, {_SHIFT}) <> shiftrightunsigned({ordered}[i - 1], {_SHIFT}))"
     orders = ", ".join("array(" + ", ".join(map(str, order)) + ")" for order in _orders(BINS))
-    out = df.withColumn("_sorted", F.expr(f"sort_array({shingle_hashes(f'coalesce({text}, {chr(39) * 2})')})"))
-    out = out.withColumn("_least", F.expr(first)).drop("_sorted")
-    out = out.withColumn("_bins", F.expr(f"map_from_arrays(transform(_least, x -> int(shiftrightunsigned(x, {_SHIFT}))), _least)")).drop("_least")
-    out = out.withColumn("_full", F.expr(f"if(size(_bins) = 0, array(), transform(sequence(0, {BINS - 1}), b -> try_element_at(_bins, b)))")).drop("_bins")
-    filled = f"transform(array({orders}), (o, b) -> coalesce(_full[b], xxhash64(element_at(transform(filter(o, x -> _full[x] is not null), x -> _full[x]), 1), b)))"
+    out = df.withColumn(ordered, F.expr(f"sort_array({shingle_hashes(f'coalesce({text}, {chr(39) * 2})')})"))
+    out = out.withColumn(least, F.expr(first)).drop(ordered)
+    out = out.withColumn(bins, F.expr(f"map_from_arrays(transform({least}, x -> int(shiftrightunsigned(x, {_SHIFT}))), {least})")).drop(least)
+    out = out.withColumn(full, F.expr(f"if(size({bins}) = 0, array(), transform(sequence(0, {BINS - 1}), b -> try_element_at({bins}, b)))")).drop(bins)
+    filled = f"transform(array({orders}), (o, b) -> coalesce({full}[b], xxhash64(element_at(transform(filter(o, x -> {full}[x] is not null), x -> {full}[x]), 1), b)))"
     digits = f"array_join(transform({{}}, v -> lower(hex(v & {2**LOW - 1}))), '')"
-    has = "exists(_full, v -> v is not null)"
-    whole = "forall(_full, v -> v is not null)"
-    return out.withColumn(name, F.expr(f"case when not {has} then '' when {whole} then {digits.format('_full')} else {digits.format(filled)} end")).drop("_full")
+    has = f"exists({full}, v -> v is not null)"
+    whole = f"forall({full}, v -> v is not null)"
+    return out.withColumn(name, F.expr(f"case when not {has} then '' when {whole} then {digits.format(full)} else {digits.format(filled)} end")).drop(full)
 
 
 def likeness(a: str, b: str) -> F.Column:
