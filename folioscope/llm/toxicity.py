@@ -1,14 +1,19 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-Inputs of a word are of two kinds: the word's own log odds of toxic texts, and the log odds of its
-character n-grams (the highest, the mean), so forms of a word that training never saw still speak. The
-network reads windows of ``WINDOW`` words, one every ``STRIDE``; attention pools its states into one
-logit a window. A text's logit is the highest of all its windows, and a final logistic step, fitted on
-texts, turns it into the score.
+A word enters by its characters and as a whole: a learned vector of the word, the mean of learned vectors
+of its character n-grams, and the log odds of toxic texts of both (the word's, the n-grams' highest and
+mean), so forms of a word that training never saw still speak. The network reads windows of ``WINDOW``
+words, one every ``STRIDE``; attention pools its states into one logit a window. A text's logit is the
+highest of all its windows, and a final logistic step, fitted on texts, turns it into the score.
+
+Log odds that a text's own words took part in would say too much in training, so each part of the
+training texts sees the odds of the other ``PARTS`` - 1. Training is one task of the cluster; the driver gets
+the finished network alone.
 """
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -18,19 +23,27 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.llm import common
 from folioscope.llm.words import WordTable, grams
 
 ORDERS = (3, 4, 5, 6)
-BUCKETS = 1 << 18
+#: Buckets of the log odds, rows of the learned vectors, and numbers in a vector.
+BUCKETS, ROWS, WIDTH = 1 << 18, 1 << 16, 4
 WINDOW, STRIDE = 64, 32
-INPUTS, STATE = 4, 8
-#: Labelled texts that the model is learned from at most, by the order of a hash of their id, and characters of each.
-TRAIN_DOCS, TRAIN_CHARS = 8000, 8000
-EPOCHS, BATCH, RATE, SEED = 4, 256, 0.01, 7
+ODDS, STATE = 4, 8
+INPUTS = ODDS + 2 * WIDTH
+#: The model learns from at most so many labelled texts, half of each label if there are so many, in the order of a
+#: hash of their ids, and from no further ones once they hold so many characters. Each is taken whole.
+TRAIN_DOCS, TRAIN_TEXT = 6000, 48_000_000
+#: Rounds over the training windows, more where they are too few for so many steps.
+EPOCHS, STEPS = 3, 150
+BATCH, RATE, VECTOR_RATE, SEED = 128, 0.01, 0.004, 7
 #: Weight, in texts, of the belief that an n-gram says nothing.
 PRIOR = 4.0
+#: Parts of the training texts.
+PARTS = 4
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -38,53 +51,100 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def _buckets(found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of the words, and of their n-grams with the number of each one's word."""
+def _hashed(found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words, and of their n-grams with the number of each one's word."""
     h, owner = grams(found, ORDERS)
-    whole = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in found), np.uint64, len(found))
-    return (whole % np.uint64(BUCKETS)).astype(np.int64), (h % np.uint64(BUCKETS)).astype(np.int64), owner
-
-
-def _used(texts: list[list[str]]) -> tuple[Iterator[np.ndarray], Iterator[np.ndarray]]:
-    """For each text the buckets of its words, and of their n-grams, once each."""
-    vocabulary = list(set().union(*texts))
-    number = dict(zip(vocabulary, range(len(vocabulary)), strict=True))
-    own, held, sizes = [], [], []
-    for at in range(0, len(vocabulary), 20_000):
-        whole, buckets, owner = _buckets(vocabulary[at : at + 20_000])
-        own.append(whole.astype(np.int32))
-        held.append(buckets[np.argsort(owner, kind="stable")].astype(np.int32))
-        sizes.append(np.bincount(owner, minlength=len(whole)))
-    whole, buckets = np.concatenate(own), np.concatenate(held)
-    ends = np.cumsum(np.concatenate(sizes))
-    starts = ends - np.concatenate(sizes)
-    ids = [np.fromiter({number[w] for w in found}, np.int64) for found in texts]
-
-    def of(i: np.ndarray) -> np.ndarray:
-        n = ends[i] - starts[i]
-        flags = np.zeros(BUCKETS, bool)
-        flags[buckets[np.arange(n.sum()) + np.repeat(starts[i] - np.cumsum(n) + n, n)]] = True
-        return np.flatnonzero(flags)
-
-    return (np.unique(whole[i]) for i in ids), (of(i) for i in ids)
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in found), np.uint64, len(found)), h, owner
+
+
+def _bucket(h: np.ndarray, of: int = BUCKETS) -> np.ndarray:
+    return (h % np.uint64(of)).astype(np.int32)
+
+
+class Vocabulary:
+    """Distinct words of the training texts: buckets of each, and of its n-grams in a row a word."""
+
+    def __init__(self, texts: list[list[str]]):
+        found = list(set().union(*texts))
+        number = dict(zip(found, range(len(found)), strict=True))
+        whole, held, sizes = [], [], []
+        for at in range(0, len(found), 20_000):
+            h, g, owner = _hashed(found[at : at + 20_000])
+            whole.append(_bucket(h))
+            held.append(_bucket(g[np.argsort(owner, kind="stable")]))
+            sizes.append(np.bincount(owner, minlength=len(h)))
+        self.word, self.gram, self.sizes = np.concatenate(whole), np.concatenate(held), np.concatenate(sizes)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.ids = [np.fromiter(map(number.__getitem__, t), np.int32, len(t)) for t in texts]
+
+    def grams(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of the n-grams of ``ids`` (with the place of each one's word there)."""
+        n = self.sizes[ids]
+        places = np.arange(n.sum()) + np.repeat(self.starts[ids] - np.cumsum(n) + n, n)
+        return self.gram[places], np.repeat(np.arange(len(ids)), n)
+
+    def odds(self, y: np.ndarray, part: np.ndarray) -> list[np.ndarray]:
+        """Log odds of both kinds (words, n-grams) by bucket: of the texts outside each part, and of all of them."""
+        seen = np.zeros((PARTS, 2, 2, BUCKETS), np.float32)
+        totals = np.zeros((PARTS, 2))
+        for i, (v, k) in enumerate(zip(y.tolist(), part.tolist(), strict=True)):
+            own = np.unique(self.ids[i])
+            flags = np.zeros(BUCKETS, bool)
+            flags[self.grams(own)[0]] = True
+            seen[k, 0, v, np.unique(self.word[own])] += 1
+            seen[k, 1, v] += flags
+            totals[k, v] += 1
+        every, n = seen.sum(0), totals.sum(0)
+        out = []
+        for without, m in [*((every - seen[k], n - totals[k]) for k in range(PARTS)), (every, n)]:
+            if m.all():
+                share = m / m.sum()
+                out.append((np.log((without[:, 1] + PRIOR * share[1]) / (without[:, 0] + PRIOR * share[0])) - np.log(m[1] / m[0])).astype(np.float32))
+            else:
+                out.append(np.zeros((2, BUCKETS), np.float32))
+        return out
+
+
+def _spoken(odds: np.ndarray, word: np.ndarray, gram: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The four numbers by which words speak through log odds: their own, the n-grams' highest and mean, and 1."""
+    found, n = odds[1][gram], len(word)
+    top = np.full(n, -9.0, np.float32)
+    np.maximum.at(top, owner, found)
+    mean = np.bincount(owner, found, n) / np.maximum(1, np.bincount(owner, minlength=n))
+    return np.column_stack([odds[0][word], np.where(top > -9, top, 0), mean, np.ones(n)]).astype(np.float32)
 
 
 @dataclass
 class Network:
-    """Weights of both directions (first axis), attention and output, and the inputs' log odds."""
+    """Weights of both directions (first axis), attention and output; learned vectors; the inputs' log odds."""
 
-    word_odds: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS, np.float32))
-    gram_odds: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS, np.float32))
+    odds: np.ndarray = field(default_factory=lambda: np.zeros((2, BUCKETS), np.float32))
+    vectors: np.ndarray = field(default_factory=lambda: np.zeros((2, ROWS, WIDTH), np.float32))
     w: dict[str, np.ndarray] = field(default_factory=dict)
     scale: tuple[float, float] = (1.0, 0.0)
 
+    def dump(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, odds=self.odds, vectors=self.vectors, scale=np.array(self.scale), **{f"w_{k}": v for k, v in self.w.items()})
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, data: bytes) -> Network:
+        with np.load(io.BytesIO(data)) as z:
+            return cls(z["odds"], z["vectors"], {k[2:]: z[k] for k in z.files if k.startswith("w_")}, tuple(z["scale"].tolist()))
+
     def features(self, found: list[str]) -> np.ndarray:
-        whole, buckets, owner = _buckets(found)
-        odds = self.gram_odds[buckets]
-        top = np.full(len(found), -9.0, np.float32)
-        np.maximum.at(top, owner, odds)
-        mean = np.bincount(owner, odds, len(found)) / np.maximum(1, np.bincount(owner, minlength=len(found)))
-        return np.column_stack([self.word_odds[whole], np.where(top > -9, top, 0), mean, np.ones(len(found))]).astype(np.float32)
+        """A row a word: its log odds, its vector, the mean of its n-grams' vectors."""
+        h, g, owner = _hashed(found)
+        word, gram = _bucket(h), _bucket(g)
+        return np.column_stack([_spoken(self.odds, word, gram, owner), self.read(word, gram, owner)])
+
+    def read(self, word: np.ndarray, gram: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """The learned part of the inputs."""
+        n, rows = len(word), self.vectors[1][gram % ROWS]
+        each = np.maximum(1, np.bincount(owner, minlength=n))
+        mean = [np.bincount(owner, rows[:, k], n) / each for k in range(WIDTH)]
+        return np.column_stack([self.vectors[0][word % ROWS], *mean]).astype(np.float32)
 
     def forward(self, x: np.ndarray, mask: np.ndarray | None, keep: list | None = None) -> np.ndarray:
         """Logits of windows ``x`` (windows, words, inputs); ``keep`` gets what the gradients need."""
@@ -117,8 +177,8 @@ class Network:
             keep.append((both, seen, out, p, pooled))
         return pooled @ w["wo"] + w["bo"][0]
 
-    def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradients of the mean logistic loss, by backpropagation through time."""
+    def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Gradients of the mean logistic loss in the weights and in ``x``, by backpropagation through time."""
         w, keep = self.w, []
         logit = self.forward(x, mask, keep)
         both, seen, out, p, pooled = keep.pop()
@@ -133,6 +193,8 @@ class Network:
         t = x.shape[1]
         d_states = np.stack([d_out[:, :, :STATE], d_out[:, ::-1, STATE:]])
         d_h = np.zeros((2, len(y), STATE), np.float32)
+        d_both = np.zeros_like(both)
+        back = w["wx"].transpose(0, 2, 1)
         for i in range(t - 1, -1, -1):
             h, u, r, z, c = keep[i]
             d_h = d_h + d_states[:, :, i]
@@ -146,8 +208,9 @@ class Network:
             grad["wh"] += np.matmul(h.transpose(0, 2, 1), d_u)
             grad["wx"] += np.matmul(both[:, :, i].transpose(0, 2, 1), d_a)
             grad["b"] += d_a.sum(1)
+            d_both[:, :, i] = np.matmul(d_a, back)
             d_h = d_h * ~on + d_new * z + np.matmul(d_u, w["wh"].transpose(0, 2, 1))
-        return grad
+        return grad, d_both[0] + d_both[1][:, ::-1]
 
 
 def windows(lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,9 +238,14 @@ def logits(net: Network, table: np.ndarray, rows: list[np.ndarray], chunk: int =
     return text, first, out
 
 
-def learn(rows: list[tuple[str, int]]) -> Network:
-    """Trains on (text, toxic) rows. Without rows of both labels the network scores all texts by their share."""
+def learn(rows: list[tuple[str, int]], weights: tuple[float, float] = (1.0, 1.0)) -> Network:
+    """Trains on (text, toxic) rows. Without rows of both labels the network scores all texts by their share.
+
+    ``weights``: how many texts of each label a row stands for.
+    """
     net, rng = Network(), np.random.default_rng(SEED)
+    shapes = {"wx": (2, INPUTS, 3 * STATE), "wh": (2, STATE, 3 * STATE), "b": (2, 3 * STATE), "va": (2 * STATE,), "wo": (2 * STATE,), "bo": (1,)}
+    net.w = {k: (rng.normal(0, 0.3, s) if k not in ("b", "bo") else np.zeros(s)).astype(np.float32) for k, s in shapes.items()}
     pool: dict[str, str] = {}  # a word's occurrences share one string
     texts, y = [[pool.setdefault(w, w) for w in words(t)] for t, _ in rows], np.array([v for _, v in rows], np.int64)
     kept = [i for i, t in enumerate(texts) if t]
@@ -185,39 +253,61 @@ def learn(rows: list[tuple[str, int]]) -> Network:
     totals = np.bincount(y, minlength=2)
     if not totals.all():
         net.scale = (0.0, 9.0 if totals[1] else -9.0)
-    else:
-        seen = np.zeros((2, 2, BUCKETS), np.float32)
-        for v, whole, buckets in zip(y.tolist(), *_used(texts), strict=True):
-            seen[0, v, whole] += 1
-            seen[1, v, buckets] += 1
-        share = totals / totals.sum()
-        odds = np.log((seen[:, 1] + PRIOR * share[1]) / (seen[:, 0] + PRIOR * share[0])) - np.log(totals[1] / totals[0])
-        net.word_odds, net.gram_odds = odds.astype(np.float32)
-    shapes = {"wx": (2, INPUTS, 3 * STATE), "wh": (2, STATE, 3 * STATE), "b": (2, 3 * STATE), "va": (2 * STATE,), "wo": (2 * STATE,), "bo": (1,)}
-    net.w = {k: (rng.normal(0, 0.3, s) if k not in ("b", "bo") else np.zeros(s)).astype(np.float32) for k, s in shapes.items()}
-    if not totals.all():
         return net
-    table = WordTable(net.features)
-    rows_ = table.look_up(texts)
-    text, first, size = windows([len(r) for r in rows_])
-    flat = np.concatenate([*rows_, np.zeros(WINDOW, np.int32)])
-    starts = np.cumsum([0, *[len(r) for r in rows_]])[:-1][text] + first
+    known, lengths = Vocabulary(texts), [len(t) for t in texts]
+    del texts, pool
+    # parts hold texts of both labels where there are enough
+    part_of = np.zeros(len(y), np.int64)
+    for v in (0, 1):
+        part_of[y == v] = np.arange(totals[v]) % PARTS
+    whole = np.arange(len(y))
+    *other, net.odds = known.odds(y, part_of)
+    net.vectors = rng.normal(0, 0.1, net.vectors.shape).astype(np.float32)
+    spoken = np.zeros((PARTS, len(known.word), ODDS), np.float32)
+    for at in range(0, len(known.word), 20_000):
+        ids = np.arange(at, min(at + 20_000, len(known.word)))
+        gram, owner = known.grams(ids)
+        for k in range(PARTS):
+            spoken[k, ids] = _spoken(other[k], known.word[ids], gram, owner)
+
+    def all_logits() -> np.ndarray:
+        """Logits of all windows, each text seen through the other parts' odds."""
+        learned = np.concatenate([net.read(known.word[ids], *known.grams(ids)) for ids in np.array_split(np.arange(len(known.word)), -(-len(known.word) // 20_000))])
+        out = np.zeros(len(text), np.float32)
+        for k in range(PARTS):
+            own = [known.ids[i] for i in np.flatnonzero(part_of == k)]
+            out[part_of[text] == k] = logits(net, np.concatenate([spoken[k], learned], 1), own)[2]
+        return out
+
+    text, first, size = windows(lengths)
+    flat = np.concatenate([*known.ids, np.zeros(WINDOW, np.int32)])
+    starts = np.cumsum([0, *lengths])[:-1][text] + first
     # of a toxic text, the window that speaks most for it; of others, that one and one at random
-    speaks = np.array([table.table[flat[s : s + n], :2].max() for s, n in zip(starts, size, strict=True)])
+    speaks = np.zeros(len(text), np.float32)
+    for k in range(PARTS):
+        loud = spoken[k, :, :2].max(1)
+        for j in np.flatnonzero(part_of[text] == k).tolist():
+            speaks[j] = loud[flat[starts[j] : starts[j] + size[j]]].max()
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items()}
-    step = 0
-    for epoch in range(EPOCHS):
-        if epoch in (1, 2):
-            speaks = logits(net, table.table, rows_)[2]
+    sums = np.full_like(net.vectors, 1e-6)
+    step = epoch = 0
+    while epoch < EPOCHS or step < STEPS:
+        if epoch in (1, EPOCHS):
+            speaks = all_logits()
         order = np.lexsort((-speaks, text))
-        top = order[np.searchsorted(text[order], np.arange(len(texts)))]
-        one = order[np.searchsorted(text[order], np.arange(len(texts))) + rng.integers(0, np.bincount(text, minlength=len(texts)))]
+        top = order[np.searchsorted(text[order], whole)]
+        one = order[np.searchsorted(text[order], whole) + rng.integers(0, np.bincount(text, minlength=len(y)))]
         bad = np.tile(top[y == 1], max(1, int(totals[0] // totals[1])))
         picked = rng.permutation(np.concatenate([bad, top[y == 0], one[y == 0]]))
         for at in range(0, len(picked) - len(picked) % BATCH or len(picked), BATCH):
             part = picked[at : at + BATCH]
-            x = table.table[flat[starts[part][:, None] + np.arange(WINDOW)]]
-            grad = net.gradients(x, np.arange(WINDOW) < size[part][:, None], y[text[part]])
+            places = flat[starts[part][:, None] + np.arange(WINDOW)]
+            mask = np.arange(WINDOW) < size[part][:, None]
+            ids, where = np.unique(places, return_inverse=True)
+            where = where.reshape(places.shape)
+            gram, owner = known.grams(ids)
+            x = np.concatenate([spoken[part_of[text[part]][:, None], places], net.read(known.word[ids], gram, owner)[where]], -1)
+            grad, d_x = net.gradients(x, mask, y[text[part]])
             step += 1
             norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
             for k, g in grad.items():
@@ -226,20 +316,29 @@ def learn(rows: list[tuple[str, int]]) -> Network:
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 net.w[k] = (net.w[k] - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    at, _, found = logits(net, table.table, rows_)
-    best = np.full(len(texts), -np.inf)
-    np.maximum.at(best, at, found)
-    net.scale = _logistic(best, y)
+            d_x = (d_x * mask[..., None]).reshape(-1, INPUTS)
+            each = np.maximum(1, known.sizes[ids])
+            for c in range(WIDTH):
+                d_word = np.bincount(where.ravel(), d_x[:, ODDS + c], len(ids))
+                d_mean = np.bincount(where.ravel(), d_x[:, ODDS + WIDTH + c], len(ids)) / each
+                for kind, g in enumerate((np.bincount(known.word[ids] % ROWS, d_word, ROWS), np.bincount(gram % ROWS, d_mean[owner], ROWS))):
+                    sums[kind, :, c] += g * g
+                    net.vectors[kind, :, c] -= (VECTOR_RATE * g / np.sqrt(sums[kind, :, c])).astype(np.float32)
+        epoch += 1
+    best = np.full(len(y), -np.inf)
+    np.maximum.at(best, text, all_logits())
+    net.scale = _logistic(best, y, np.array(weights)[y])
     return net
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic fit of labels to values, lightly held to 1 and 0."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the weighted logistic fit of labels to values, lightly held to 1 and 0."""
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        s = np.maximum(p * (1 - p), 1e-9)
-        grad = np.array([((p - y) * x).sum() + 0.1 * (a - 1), (p - y).sum() + 0.1 * b])
+        s = np.maximum(p * (1 - p), 1e-9) * weight
+        d = (p - y) * weight
+        grad = np.array([(d * x).sum() + 0.1 * (a - 1), d.sum() + 0.1 * b])
         hess = np.array([[(s * x * x).sum() + 0.1, (s * x).sum()], [(s * x).sum(), s.sum() + 0.1]])
         move = np.clip(np.linalg.solve(hess, grad), -1, 1)
         a, b = a - move[0], b - move[1]
@@ -247,12 +346,28 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Network:
-    """Learns from a bounded sample of labelled texts outside the held-out fold."""
+    """Learns from a bounded sample of labelled texts outside the held-out fold, in one task of the cluster."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (common.crc_fold() != 0))
-    picked = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-    rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").select("doc_id", F.left("text", F.lit(TRAIN_CHARS)).alias("text"), "toxic")
-    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # of rows with one id, one
-    return learn([(r["text"], int(r["toxic"] > 0)) for r in sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"]))])
+    known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("_toxic")).withColumn("_h", F.xxhash64("doc_id"))
+    there = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}
+    wanted = {v: min(there.get(v, 0), max(TRAIN_DOCS // 2, TRAIN_DOCS - there.get(1 - v, 0))) for v in (0, 1)}
+    picked = known.where("_toxic = 0").orderBy("_h", "doc_id").limit(wanted[0]).union(known.where("_toxic = 1").orderBy("_h", "doc_id").limit(wanted[1]))
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id", "_h", "_toxic").agg(F.min("text").alias("text"))  # of rows with one id, one
+    rows = rows.select("_h", "doc_id", "text", "_toxic").repartition(1).sortWithinPartitions("_h", "doc_id")
+    weights = tuple(there.get(v, 0) / max(1, wanted[v]) for v in (0, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken, held = [], 0
+        for batch in batches:
+            for text, toxic in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if held < TRAIN_TEXT:
+                    taken.append((text, toxic))
+                    held += len(text)
+        yield pa.RecordBatch.from_pydict({"net": pa.array([learn(taken, weights).dump()], pa.binary())})
+
+    found = rows.mapInArrow(run, "net binary").collect()
+    return Network.load(bytes(found[0]["net"])) if found else learn([])
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
@@ -261,8 +376,6 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     Whole texts are scored. Null texts and texts without words score 0 and have a null ``at``. Rows are kept
     as they are, repeated ones too; columns of those names are replaced.
     """
-    from pyspark.sql import types as T
-
     shared = docs.sparkSession.sparkContext.broadcast(net)  # of one size, whatever the corpus
     kept = [c for c in docs.columns if c not in ("score", "at")]
     place = kept.index("text")

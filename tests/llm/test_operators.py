@@ -39,8 +39,7 @@ def docs(spark):
 
 def test_tokens_round_trip(docs):
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
-    got = [r.asDict() for r in wavelet.tokens(docs).collect()]
+    got = [r.asDict() for r in wavelet.tokens(docs.withColumn("ids", F.lit(1)).withColumn("start", F.lit("clash"))).collect()]
     ordered = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     assert len(got) == len(ROWS)
     start = 0
@@ -115,6 +114,24 @@ def test_matrix_margins_and_large_draws():
     assert shuffle.hypergeometric(rng, 5, 2_000_000_000, 0) == 0
 
 
+def test_shuffle_keeps_columns_of_any_name(spark, docs):
+    odd = docs
+    for c in ("_h", "h", "row", "block", "piece", "cuts", "before", "r", "slot"):
+        odd = odd.withColumn(c, F.lit(c))
+    got = shuffle.shuffle(odd, ["doc_id", "text"], shards=4)
+    assert got.columns == [*[c for c in odd.columns if c != "slot"], "shard", "slot"]
+    assert got.where("r = 'r' and block = 'block' and row = 'row' and _h = '_h'").count() == len(ROWS)
+
+
+def test_shuffle_query_by_hand(spark, data):
+    texts = {r["doc_id"]: r["text"] or "" for r in common.read(spark, data, "documents").collect()}
+    rows = shuffle.op4_shuffle(spark, data).collect()
+    assert {r["doc_id"]: (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) for r in rows} == {k: (len(t.encode()) + 1, zlib.crc32(t.encode()), "rows", None) for k, t in texts.items()}
+    held = Counter(r["shard"] for r in rows)
+    assert len(rows) == len(texts) and max(held.values()) - min(held.values()) <= 1 and set(held) == set(range(8))
+    assert all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(n)) for s, n in held.items())
+
+
 # --- mixing ---------------------------------------------------------------------------------------
 
 
@@ -128,6 +145,22 @@ def test_mixing_gives_all_and_meets_the_limit(spark, docs):
     assert mixing.mix(docs.withColumn("epoch", F.lit("clash"))).schema["epoch"].dataType.simpleString() == "int"
 
 
+def test_mixing_keeps_columns_of_any_name(spark, docs):
+    odd = docs
+    for c in ("tokens", "blocks", "full", "rest", "_row", "_mark", "_key", "_range", "_sid", "_source", "give"):
+        odd = odd.withColumn(c, F.lit(c))
+    got = mixing.mix(odd)
+    assert got.columns == [*odd.columns, "n_tokens", "epoch", "block", "mix_key"]
+    assert got.where("tokens = 'tokens' and rest = 'rest' and _row = '_row'").count() == got.count() == mixing.mix(docs).count()
+
+
+def test_mixing_of_odd_rows_equals_sql(spark, docs):
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    got = mixing.mix(docs).select("doc_id", "source", "n_tokens", "epoch", "block", "mix_key").collect()
+    assert Counter(map(tuple, got)) == Counter(con.sql(mixing.OP6_SQL).fetchall())
+
+
 def test_mixing_entropy(spark):
     rows = [(i, "w " * 10, "en", "big" if i < 90 else "small") for i in range(100)]
     frame = spark.createDataFrame(rows, SCHEMA)
@@ -159,6 +192,59 @@ def test_fingerprints(spark):
     assert near[10] == 1.0 and near[0] == 0.0
 
 
+def _by_hand(text):
+    """The fingerprint of a text's shingle hashes, bin by bin; hashes come from Spark."""
+    orders, bins = fingerprint._orders(fingerprint.BINS), {}
+    for h in text:
+        b = (h % 2**64) >> fingerprint._SHIFT
+        bins[b] = min(h, bins.get(b, h))
+    return bins, orders
+
+
+def test_fingerprint_by_hand(spark):
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(n)) for n in (1, 4, 5, 6, 40, 300, 2000)]
+    rows = [*enumerate(texts), (50, texts[4]), (51, None), (52, " \t ")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_helper_0", F.lit("clash")).withColumn("_full", F.lit("clash")).withColumn("f", F.lit("clash"))
+    got = fingerprint.fingerprint(frame, "text", "f")
+    assert set(got.columns) == {"doc_id", "text", "_helper_0", "_full", "f"}
+    found = {r["doc_id"]: r["f"] for r in got.collect()}
+    assert found[50] == found[4] and found[51] == found[52] == ""
+    for key, text in enumerate(texts):
+        w = text.split()
+        pieces = [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))]
+        frame = spark.createDataFrame([tuple([*p, *[None] * (5 - len(p))]) for p in pieces], "a string, b string, c string, d string, e string")
+        bins, orders = _by_hand([r[0] for r in frame.select(F.xxhash64("a", "b", "c", "d", "e")).collect()])
+        digits = []
+        for b in range(fingerprint.BINS):
+            if b in bins:
+                value = bins[b]
+            else:
+                own = next(bins[x] for x in orders[b] if x in bins)
+                value = spark.range(1).select(F.xxhash64(F.lit(own), F.lit(b))).first()[0] if key < 3 else None
+            digits.append(None if value is None else f"{value & 15:x}")
+        assert len(found[key]) == fingerprint.BINS
+        assert all(d is None or d == f for d, f in zip(digits, found[key], strict=True))
+    assert fingerprint.fingerprint(frame.limit(0), "a", "f").count() == 0
+
+
+def test_fingerprint_query_by_hand(spark, data):
+    texts = sorted(((r["doc_id"], r["text"] or "") for r in common.read(spark, data, "documents").collect()), reverse=True)
+    got = {r["doc_id"]: r for r in fingerprint.op10_fingerprint(spark, data).collect()}
+    assert len(got) == len(texts)
+    sets = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t.split() else set()
+    off = []
+    for at, (key, text) in enumerate(texts):
+        follows, half = texts[(at + 1) % len(texts)][1], len(text) // 2
+        edited = text[: len(text) - half] + follows[:half]
+        assert (got[key]["n_chars"], got[key]["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert 0 <= got[key]["near_edited"] <= 1 and 0 <= got[key]["near_next"] <= 1
+        a, b = sets(text), sets(edited)
+        if a and b:
+            off.append(abs(got[key]["near_edited"] - len(a & b) / len(a | b)))
+    assert np.mean(off) < 0.05
+
+
 def test_next_document_wraps(spark):
     rows = [(5, "five"), (9, "nine"), (1, "one"), (None, "null"), (7, "")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
@@ -187,6 +273,13 @@ def test_warc_round_trip(spark):
     assert warc.read(warc.write(pages.limit(0), uri + "e"), uri + "e").count() == 0
 
 
+def test_warc_reader_is_linear_and_whole():
+    data = b"".join(warc.record(i, "u", f"page {i} ".encode() * (1 + i % 7 * 4000), None) for i in range(60))
+    assert [int(f["X-Page-ID"]) for f, _ in warc.records(data)] == list(range(60))
+    with pytest.raises((ValueError, zlib.error)):
+        list(warc.records(data[:-20]))
+
+
 # --- decontamination ------------------------------------------------------------------------------
 
 
@@ -222,6 +315,39 @@ def test_blocks_of_the_benchmark_agree(spark, monkeypatch):
     assert decontaminate.scan(frame, items).collect() == whole and whole[0]["items"] == [str(i) for i in range(9)]
 
 
+def test_common_passages_stay_bounded(monkeypatch):
+    line = b"one common line of exactly eight words here".split()
+    held = [(str(i), [*line, b"tail%d" % i, *line]) for i in range(40)]
+    block = decontaminate.Block.load(decontaminate.Block.of(held).dump())
+    texts = [b" ".join([*line, b"x", *line, b"tail3"]) for _ in range(30)] + [None, b"none of it"]
+    whole = decontaminate.search(texts, lambda: iter([block]))
+    assert all(n_hit == 17 and len(items) == 40 and len(matches) == 40 for _, n_hit, items, matches in whole[:30])
+    assert ("3", 9, 0, 9) in whole[0][3] and ("4", 0, 0, 8) in whole[0][3] and whole[30][1:3] == (0, [])
+    monkeypatch.setattr(decontaminate, "PAIRS", 7)
+    assert decontaminate.search(texts, lambda: iter([block])) == whole
+
+
+def test_longest_matches_equal_brute_force():
+    rng = random.Random(3)
+    held = [(str(i), [b"ab"[k : k + 1] for k in (rng.randrange(2) for _ in range(rng.choice([3, 9, 14])))]) for i in range(8)]
+    texts = [b" ".join(b"ab"[k : k + 1] for k in (rng.randrange(2) for _ in range(n))) for n in (0, 5, 30, 60)]
+    found = decontaminate.search(texts, lambda: iter([decontaminate.Block.of(held)]))
+    for text, (_, _, _, matches) in zip(texts, found, strict=True):
+        w, wanted = text.split(), []
+        for item, own in held:
+            least, best = min(len(own), decontaminate.WINDOW), None
+            for p in range(len(w)):
+                for j in range(len(own)):
+                    n = 0
+                    while p + n < len(w) and j + n < len(own) and w[p + n] == own[j + n]:
+                        n += 1
+                    if n >= least and (best is None or n > best[2]):
+                        best = (p, j, n)
+            if best:
+                wanted.append((item, *best))
+        assert matches == sorted(wanted)
+
+
 # --- near duplicates ------------------------------------------------------------------------------
 
 
@@ -339,6 +465,53 @@ def test_language_spans(spark, docs):
     assert {r["lang_pred"] for r in language.label(docs, language.learn([])).collect()} == {"und"}
 
 
+def test_scripts_that_a_language_lacks_are_closed_to_it(spark):
+    model = language.learn([("the cat and the dog were in the house with that", "en"), ("кот и собака были в доме", "ru")] * 3)
+    rows = [(1, "the the собака доме the"), (2, "½ ² Ⅷ ①"), (3, "½the²"), (4, "日本 the")]
+    got = {r["doc_id"]: r for r in language.label(spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash")), model).collect()}
+    assert [(s["lang"], s["n_words"]) for s in got[1]["spans"]] == [("en", 2), ("ru", 2), ("en", 1)] and got[1]["lang_pred"] == "ru"
+    assert got[2]["lang_pred"] == "und" and got[3]["lang_pred"] == got[4]["lang_pred"] == "en"
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_labels_beyond_a_byte():
+    scores = np.full((3, 300), -5.0, np.float32)
+    scores[:, 299] = 0
+    assert language.viterbi(scores, [3]).tolist() == [299] * 3
+
+
+def test_chunks_of_long_texts_agree(spark, monkeypatch):
+    model = language.learn([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 3)
+    frame = spark.createDataFrame([(i, "the dog " * (50 * i) + "der hund und " * 20) for i in range(6)], "doc_id long, text string")
+    whole = sorted(language.label(frame, model).collect())
+    monkeypatch.setattr(language, "CHUNK_WORDS", 90)
+    batch = __import__("pyarrow").RecordBatch.from_pydict({"doc_id": [r[0] for r in whole], "text": [r["text"] for r in frame.orderBy("doc_id").collect()]})
+    found = [x for _, texts in language._chunks(batch) for x in language._label(texts, model, language._table(model))]
+    assert [x[0] for x in found] == [r["lang_pred"] for r in whole] and [x[2] for x in found] == [[s.asDict() for s in r["spans"]] for r in whole]
+
+
+def test_language_scores_by_hand():
+    model = language.learn([("aba", "x"), ("bab", "y")])
+    marked, logs = "\x02abb\x03", []
+    for k in range(2):
+        total = 0.0
+        for n in language.ORDERS:
+            for i in range(len(marked) - n + 1):
+                h, _ = language.grams(["abb"], (n,))
+                total += model.weights[int(h[i] % np.uint64(language.BUCKETS)), k]
+        logs.append(total)
+    logs = np.array(logs) - max(logs)
+    share = np.log(np.exp(logs) / np.exp(logs).sum())
+    assert np.allclose(model.scores(["abb"])[0], np.maximum(share, language.FLOOR), atol=1e-4)
+
+
+def test_language_training_sample_is_whole_and_even(spark):
+    rows = [(i, "une phrase " + "mot " * 30_000 if i % 10 == 0 else "the cat sat", "fr" if i % 10 == 0 else "en") for i in range(200)]
+    model = language.train(spark.createDataFrame([*rows, (None, None, None), (1, "x", None)], "doc_id long, text string, lang string"))
+    assert model.languages == ["en", "fr"]
+    assert language.train(spark.createDataFrame([], "doc_id long, text string, lang string")).languages == []
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     lengths = [3, 0, 5, 1]
@@ -367,7 +540,9 @@ def test_gradients():
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
     x, mask, y = rng.normal(size=(3, 5, toxicity.INPUTS)), np.arange(5) < np.array([[5], [3], [1]]), np.array([1, 0, 1])
     loss = lambda: np.logaddexp(0, np.where(y, -1, 1) * net.forward(x, mask)).mean()
-    for key, g in net.gradients(x, mask, y).items():
+    grad, d_x = net.gradients(x, mask, y)
+    grad["x"], net.w["x"] = d_x * mask[..., None], x
+    for key, g in grad.items():
         for at in [tuple(rng.integers(0, s) for s in g.shape) for _ in range(4)]:
             old = net.w[key][at]
             net.w[key][at] = old + 1e-3
@@ -403,6 +578,32 @@ def test_toxicity_learns(spark, docs):
     assert toxicity.score(docs.limit(0), net).count() == 0
 
 
+def test_toxicity_trains_on_the_cluster(spark):
+    rng, plain = random.Random(1), [f"w{i}" for i in range(200)]
+    texts = [(i, " ".join(rng.choice(plain) for _ in range(30)) + (" vile" if i % 4 == 0 else "")) for i in range(240)]
+    docs = spark.createDataFrame([*texts, (900, None), (None, "vile")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(240)] + [(900, 1), (None, 1), (5, None)], "doc_id long, toxic int")
+    net = toxicity.train(docs, labels)
+    kept = sorted((i for i, _ in texts if zlib.crc32(str(i).encode()) % 5), key=lambda i: (spark.range(1).select(F.xxhash64(F.lit(i).cast("long"))).first()[0], i))
+    by_hand = toxicity.learn([(texts[i][1], int(i % 4 == 0)) for i in kept])
+    assert np.allclose(net.odds, by_hand.odds) and all(np.allclose(net.w[k], by_hand.w[k]) for k in net.w) and np.allclose(net.scale, by_hand.scale)
+    again = toxicity.Network.load(net.dump())
+    assert (again.vectors == net.vectors).all() and again.scale == net.scale
+    assert toxicity.train(docs.limit(0), labels).scale[0] == 0.0
+
+
+def test_score_is_that_of_the_loudest_window(spark):
+    rng, plain = random.Random(2), [f"w{i}" for i in range(80)]
+    net = toxicity.learn([(" ".join(rng.choice(plain) for _ in range(20)) + (" vile" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(90)])
+    text = [rng.choice(plain) for _ in range(300)]
+    text[217] = "vile"
+    got = toxicity.score(spark.createDataFrame([(1, " ".join(text))], "doc_id long, text string"), net).first()
+    x = net.features(text)
+    each = [float(net.forward(x[None, at : at + toxicity.WINDOW], None)[0]) for at in range(0, 300 - toxicity.WINDOW + toxicity.STRIDE, toxicity.STRIDE)]
+    assert abs(got["score"] - 1 / (1 + np.exp(-(net.scale[0] * max(each) + net.scale[1])))) < 1e-4
+    assert got["at"] == toxicity.STRIDE * int(np.argmax(each))
+
+
 # --- extraction -----------------------------------------------------------------------------------
 
 
@@ -435,6 +636,36 @@ def test_nested_classes_keep_order_and_gap():
     assert extract._kept(list("abcd"), list("bcda")) == list("bcd")  # one token astray costs no other
 
 
+def test_equal_pages_count_once():
+    page = "<html><body><nav>Menu of the site</nav><div><h1>Title</h1><p>Body text here</p><p>Inner</p></div></body></html>"
+    assert extract.extract_block([page] * 40) == ["Title\nBody text here\nInner"] * 40 == extract.extract_block([page]) * 40
+    other = [page.replace("Title", f"T{i}").replace("Body", f"B{i}").replace("Inner", f"In{i} own words") for i in range(20)]
+    both = extract.extract_block([*other, *[page] * 300])
+    assert both[:20] == extract.extract_block([*other, page])[:20] and len(set(both[20:])) == 1
+
+
+def test_tags_left_open_and_headers_of_articles():
+    assert extract.extract_block(['A0 <a href="x>bad']) == ["A0 bad"]
+    assert extract.extract_block(["A0 <a href='x <b>bold</b> end"]) == ["A0 bold end"]
+    page = '<body><header>Site</header><article><div class="entry-header"><h1>Headline</h1></div><p>Text</p><div class="share-links">Tell all</div></article></body>'
+    assert extract.extract_block([page]) == ["Headline\nText"]
+
+
+@pytest.mark.parametrize("tag", ["div", "b", "ul><li"])
+def test_pages_nested_without_end(tag):
+    deep = f"<{tag}>" * 50_000
+    began = __import__("time").perf_counter()
+    assert extract.extract_block([f"top <p>one</p>{deep}inmost" + "<div>x</div></i>" * 20_000])[0].count("\nx") == 20_000
+    assert __import__("time").perf_counter() - began < 20
+
+
+def test_very_long_pages_stay_whole(spark):
+    body = "".join(f"<p>line {i} of it</p>" for i in range(30_000))
+    rows = [(i, "http://h/", f"<body><div class='menu'>home</div><article>{body if i == 0 else f'<p>short {i}</p>'}</article></body>") for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0].split("\n") == [f"line {i} of it" for i in range(30_000)] and got[1] == "short 1"
+
+
 def test_extraction_of_odd_pages(spark):
     rows = [(1, None, None), (2, "http://x/", "plain <b>a</b> & b"), (3, "HTTP://X/", "<p>yes <p>z<script>x"), (3, "HTTP://X/", "<p>yes <p>z<script>x"), (None, "zz", "<ul><li>a<li>b</ul></x>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
