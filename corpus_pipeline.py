@@ -14,6 +14,8 @@ from folioscope.session import ship
 
 #: Near duplicates: shingles of five words, a likeness of 0.8 or more.
 SHINGLE, PERCENT = 5, 80
+#: Decontamination: a verbatim match of so many words with an item, or so many items that occur, as those of few words do.
+MATCH_WORDS, MATCH_ITEMS = decontaminate.WINDOW, 2
 
 #: Iterative stages and trained models have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -32,9 +34,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents without a match of MATCH_WORDS words with a benchmark item, and with fewer than MATCH_ITEMS items."""
     found = decontaminate.scan(docs, common.read(ship(spark), sf_dir, "benchmark"))
-    return found.where(F.size("items") == 0).select(*docs.columns)
+    leaked = F.exists("matches", lambda m: m["n_words"] >= MATCH_WORDS) | (F.size("items") >= MATCH_ITEMS)
+    return found.where(~leaked).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
