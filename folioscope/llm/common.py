@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import itertools
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +46,21 @@ def delete(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def light(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` for ``mapInArrow``; after a task what it freed goes back to the system, as workers are used again."""
+
+    def wrapped(batches: Batches) -> Batches:
+        yield from run(batches)
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def unused(df: DataFrame, n: int) -> list[str]:
     """Names for ``n`` helper columns that ``df`` hasn't."""
     taken = {c.lower() for c in df.columns}

@@ -134,7 +134,7 @@ def benchmark_blocks(benchmark: DataFrame, uri: str) -> list[str]:
             yield close()
 
     dealt = items.repartition(1 + size // BLOCK_BYTES, F.xxhash64("item_id", "text")).sortWithinPartitions("item_id", "text")
-    return sorted(r["file"] for r in dealt.mapInArrow(run, "file string").collect())  # a name for 8 MB of items
+    return sorted(r["file"] for r in dealt.mapInArrow(common.light(run), "file string").collect())  # a name for 8 MB of items
 
 
 class Block:
@@ -293,7 +293,7 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*kept, *added])
 
-    return out.mapInArrow(search_all, schema)
+    return out.mapInArrow(common.light(search_all), schema)
 
 
 def shards(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[pa.RecordBatch]:

@@ -403,7 +403,7 @@ def extract(pages: DataFrame) -> DataFrame:
         if ids:
             yield out()
 
-    return dealt.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return dealt.mapInArrow(common.light(run), f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op9_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -187,7 +187,7 @@ def frequencies(docs: DataFrame, size: int) -> np.ndarray:
         scaled = {k: np.minimum(255, np.log2(t + 1.0) * 8).astype(np.uint8).tobytes() for k, t in totals.items()}
         yield pa.RecordBatch.from_pydict({"slice": pa.array(list(scaled), pa.int32()), "counts": pa.array(list(scaled.values()), pa.binary())})
 
-    made = docs.select("text").mapInArrow(count, "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(add, "slice int, counts binary")
+    made = docs.select("text").mapInArrow(common.light(count), "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(common.light(add), "slice int, counts binary")
     out = np.zeros(CELLS, np.uint8)
     for row in common.table(made, "jaccard-frequencies").collect():
         out[row["slice"] * cells : (row["slice"] + 1) * cells] = np.frombuffer(row["counts"], np.uint8)
@@ -319,7 +319,7 @@ def _verified(rows: DataFrame, percent: int, size: int) -> DataFrame:
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select("task", "node", "label", "probe", "text").repartition(n, "task").sortWithinPartitions("task", "node")
-    return dealt.mapInArrow(by_task, "a long, b long")
+    return dealt.mapInArrow(common.light(by_task), "a long, b long")
 
 
 def _described_sets(ids: DataFrame, percent: int, size: int, grouped: bool) -> DataFrame:
@@ -363,7 +363,7 @@ def _described_sets(ids: DataFrame, percent: int, size: int, grouped: bool) -> D
         if held:
             yield from passed_on()
 
-    return common.table(ids.mapInArrow(describe, "node long, n long, d1 long, d2 long, range int, low long, signs binary, nodes binary, tie_a long, tie_b long"), "jaccard-sets")
+    return common.table(ids.mapInArrow(common.light(describe), "node long, n long, d1 long, d2 long, range int, low long, signs binary, nodes binary, tie_a long, tie_b long"), "jaccard-sets")
 
 
 def _ranges(spark: SparkSession) -> tuple[int, np.uint64, np.uint64]:
@@ -399,7 +399,7 @@ def _ties(made: DataFrame, copies: DataFrame) -> DataFrame:
 
     n = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = made.where("range is not null").select("range", "low", "signs", "nodes").repartition(n, "range").sortWithinPartitions("range")
-    ties = ranged.mapInArrow(tied, "a long, b long").union(made.where("tie_a is not null").select(F.col("tie_a").alias("a"), F.col("tie_b").alias("b"))).distinct()
+    ties = ranged.mapInArrow(common.light(tied), "a long, b long").union(made.where("tie_a is not null").select(F.col("tie_a").alias("a"), F.col("tie_b").alias("b"))).distinct()
     for end in ("a", "b"):
         least = common.small(copies.select(F.col("a").alias(end), F.col("b").alias("_least")))
         ties = ties.join(least, end, "left").withColumn(end, F.coalesce("_least", end)).drop("_least")

@@ -168,7 +168,7 @@ def train(docs: DataFrame) -> Model:
                     held += len(text)
         yield pa.RecordBatch.from_pydict({"model": pa.array([learn(sample).dump()], pa.binary())})
 
-    found = taken.mapInArrow(run, "model binary").collect()
+    found = taken.mapInArrow(common.light(run), "model binary").collect()
     return Model.load(bytes(found[0]["model"])) if found else learn([])
 
 
@@ -193,7 +193,7 @@ def label(docs: DataFrame, model: Model) -> DataFrame:
                 found = _label(texts if m.languages else [[] for _ in texts], m, table)
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(list(c), k) for c, k in zip(zip(*found, strict=True), (pa.string(), pa.float64(), kind), strict=True))], names=["doc_id", "lang_pred", "score", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, lang_pred string, score double, spans {span}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(common.light(run), f"doc_id long, lang_pred string, score double, spans {span}")
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[list[str]]]]:

@@ -366,7 +366,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Network:
                     held += len(text)
         yield pa.RecordBatch.from_pydict({"net": pa.array([learn(taken, weights).dump()], pa.binary())})
 
-    found = rows.mapInArrow(run, "net binary").collect()
+    found = rows.mapInArrow(common.light(run), "net binary").collect()
     return Network.load(bytes(found[0]["net"])) if found else learn([])
 
 
@@ -398,7 +398,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
                 at[text[heads]] = first[heads]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array(at, mask=at < 0)], names=[*kept, "score", "at"])
 
-    return out.mapInArrow(run, schema)
+    return out.mapInArrow(common.light(run), schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

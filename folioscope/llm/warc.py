@@ -125,7 +125,7 @@ def write(pages: DataFrame, uri: str, roll_bytes: int = ROLL_BYTES) -> DataFrame
         if held:
             yield close()
 
-    return common.table(ranged.mapInArrow(shard, "file string, shard int, part int, records long, bytes long, sha1 string"), "warc-manifest")
+    return common.table(ranged.mapInArrow(common.light(shard), "file string, shard int, part int, records long, bytes long, sha1 string"), "warc-manifest")
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -188,7 +188,7 @@ def read(manifest: DataFrame, uri: str) -> DataFrame:
                     yield out(rows)
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("file", "sha1").repartition(n, "file").mapInArrow(parse, columns)
+    return manifest.select("file", "sha1").repartition(n, "file").mapInArrow(common.light(parse), columns)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

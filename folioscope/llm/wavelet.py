@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,6 +151,13 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
     return ids, ends, WaveletMatrix(n, header["zeros"], planes, counts)
 
 
+def _packed(ids: list[int]) -> bytes:
+    out = array("H", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Encoder:
     """The tokenizer's ids of whole texts, as little-endian uint16 bytes.
 
@@ -158,7 +167,7 @@ class Encoder:
     beside a space, or white space beyond space and line feed go through the tokenizer whole.
     """
 
-    def __init__(self, path: str, memory: int = 1_000_000):
+    def __init__(self, path: str, memory: int = 400_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -169,7 +178,7 @@ class Encoder:
         self.inner, self.first = _Pieces(self, " "), _Pieces(self, "")
 
     def direct(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        return _packed(self.whole.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -201,12 +210,12 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         before, feed, after = piece.partition("\n")
         if feed and before and after and after[0] != "\n":
-            return self[before] + self.encoder.direct("\n") + self.encoder.first[after]
+            return self[before] + self.encoder.first["\n"] + self.encoder.first[after]
         if piece.isalpha():  # one unit of the splitting pattern, so the merges alone are left
             spelled = (self.lead + piece).encode().decode("latin-1").translate(self.LETTERS)
-            ids = np.array([t.id for t in self.model(spelled)], "<u2").tobytes()
+            ids = _packed([t.id for t in self.model(spelled)])
         elif len(piece) > 1 and piece[-1] in ".," and piece[-2].isalpha():
-            ids = self[piece[:-1]] + self.encoder.direct(piece[-1])
+            ids = self[piece[:-1]] + self.encoder.first[piece[-1]]
         else:
             ids = self.encoder.direct(self.lead + piece)
         self[piece] = ids
@@ -268,7 +277,7 @@ def write(docs: DataFrame, vocabulary: str, uri: str, end_id: int = END_ID, file
         if ids:
             yield close()
 
-    manifest = ordered.mapInArrow(shard, "file string, shard int, part int, documents long, tokens long")
+    manifest = ordered.mapInArrow(common.light(shard), "file string, shard int, part int, documents long, tokens long")
     return common.table(manifest, "wavelet-manifest")
 
 
@@ -301,7 +310,7 @@ def documents(manifest: DataFrame, uri: str) -> DataFrame:
                     )
 
     dealt = placed.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
-    return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return dealt.mapInArrow(common.light(read), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
