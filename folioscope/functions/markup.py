@@ -10,7 +10,7 @@ from urllib.parse import unquote
 INTRO = "_intro"
 #: Elements whose text is no prose, and elements that end a paragraph when they open.
 SKIPPED = "style script table figure sup title h1".split()
-CLOSERS = frozenset("h1 h2 h3 h4 h5 h6 ul ol div section table blockquote figure pre dl".split())
+CLOSERS = frozenset("div ul ol dl li table blockquote pre hr h2 h3 h4 h5 h6".split())
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[\s/][^>]*)?)>")
 _HEADING = re.compile(r"<h([1-6])(?:[\s/][^>]*)?>(.*?)</h\1\s*>", re.I | re.S)
 _HATNOTE = re.compile(r"class\s*=\s*[\"'][^\"']*\bhatnote\b|role\s*=\s*[\"']?note\b", re.I)
@@ -37,11 +37,8 @@ def unescape(text: str) -> str:
 
 
 def percent_decode(text: str) -> str:
-    """UTF-8 percent escapes; invalid ones stay, plus signs too."""
-    try:
-        return unquote(text, errors="strict")
-    except UnicodeDecodeError:
-        return text
+    """UTF-8 percent escapes; signs that begin none stay, bytes that are no UTF-8 become U+FFFD, plus signs stay."""
+    return unquote(text, errors="replace")
 
 
 def _flat(text: str) -> str:

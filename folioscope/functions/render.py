@@ -7,20 +7,35 @@ from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 from folioscope.functions.markup import percent_decode
+from folioscope.functions.text import SHORT_CODES
 
 # Names of elements, and what the conversion leaves out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style noscript template head title nav footer aside form iframe object svg button input select textarea audio video canvas map figure img link meta".split())
-DROPPED_CLASSES = frozenset("navbox vertical-navbox noprint mw-editsection reference reflist references metadata mw-empty-elt thumb gallery toc catlinks printfooter".split())
-DROPPED_SECTIONS = frozenset(
-    ["references", "external links", "see also", "further reading", "notes", "bibliography", "sources", "citations", "footnotes"]
-    + ["références", "notes et références", "liens externes", "voir aussi", "bibliographie", "articles connexes", "annexes", "lien externe"]
-    + ["referencias", "enlaces externos", "véase también", "bibliografía", "notas", "notas y referencias", "lecturas adicionales", "fuentes", "citas"]
+DROPPED = frozenset("style script link figcaption figure img gallery input button audio video source".split())
+DROPPED_CLASSES = frozenset(
+    "reference noprint mw-editsection metadata shortdescription mw-jump-link mw-indicators catlinks printfooter mw-references-wrap reflist refbegin navbox sistersitebox sidebar "
+    "side-box ambox mw-empty-elt toc navbox-styles thumb mw-editsection-bracket mw-ref referencetooltip mw-cite-backlink hatnote-dummy ext-phonos ext-phonos-PhonosButton "
+    "ext-phonos-attribution mwo-cat-pagination".split()
 )
-CATEGORY_HEADING = {"en": "Categories", "fr": "Catégories", "es": "Categorías"}
+#: Elements that stand before the body, or that browsers keep apart from it.
+BESIDE_BODY = frozenset("head title meta template".split())
+DROPPED_SECTIONS = frozenset(["references", "notes", "footnotes", "notes and references", "references and notes", "works cited", "external links", "further reading", "family tree"])
+DROPPED_SECTIONS_OF = {
+    "fr": frozenset(["références", "notes et références", "notes et sources", "notes, sources et références", "sources et références", "liens externes", "bibliographie", "webographie"]),
+    "es": frozenset(["referencias", "notas", "notas y referencias", "notas y fuentes", "notas, fuentes y referencias", "fuentes y referencias", "enlaces externos", "bibliografía", "webografía"]),
+}
+EDIT_MARKERS = {"fr": ["[edit]", "[modifier]"], "es": ["[edit]", "[editar]"]}
+KEY_FACTS = {"fr": "Données clés", "es": "Datos clave"}
+FENCES = {
+    "c++": "cpp", "cxx": "cpp", "py": "python", "js": "javascript", "ts": "typescript", "c#": "csharp", "cs": "csharp", "yml": "yaml", "sh": "bash", "shell": "bash", "zsh": "bash",
+    "dockerfile": "docker", "tex": "latex", "plain": "", "text": "", "wikitext": "", "wiki": "", "output": "text",
+}
+CATEGORY_HEADING = {"fr": "Catégories", "es": "Categorías"}
 BLOCKS = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption h1 h2 h3 h4 h5 h6 header html li main ol p pre section table tbody td tfoot th thead tr ul hr caption".split())
 CLOSES_P = frozenset("address article blockquote center details div dl fieldset h1 h2 h3 h4 h5 h6 header hr main ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements nested deeper become siblings at this level, so no page exhausts the stack.
+DEEPEST = 120
 LINK_NAMESPACES = frozenset("file image media category".split())
 
 
@@ -38,10 +53,13 @@ class Node:
         return "".join(c if isinstance(c, str) else c.text() for c in self.children)
 
     def walk(self):
-        for c in self.children:
+        """The elements within, in the order of the page."""
+        left = self.children[::-1]
+        while left:
+            c = left.pop()
             if isinstance(c, Node):
                 yield c
-                yield from c.walk()
+                left.extend(c.children[::-1])
 
     def find(self, test) -> Node | None:
         return next((n for n in self.walk() if test(n)), None)
@@ -69,6 +87,8 @@ class _Builder(HTMLParser):
         node = Node(tag, {})
         for k, v in attrs:
             node.attrs.setdefault(k, v or "")
+        if len(self.stack) > DEEPEST:
+            self.stack.pop()
         self.stack[-1].children.append(node)
         if tag not in VOID:
             self.stack.append(node)
@@ -93,7 +113,7 @@ def parse(source: str) -> Node:
 
 
 def is_dropped(n: Node) -> bool:
-    if n.tag in DROPPED or n.classes & DROPPED_CLASSES or n.attrs.get("role") == "navigation" or n.attrs.get("typeof", "").startswith("mw:File"):
+    if n.tag in DROPPED or n.tag in BESIDE_BODY or n.classes & DROPPED_CLASSES or n.attrs.get("role") == "navigation" or n.attrs.get("typeof", "").startswith("mw:File"):
         return True
     if re.search(r"display\s*:\s*none", n.attrs.get("style", "")) and n.find(lambda c: c.tag == "math") is None:
         return True
@@ -188,16 +208,19 @@ def table(n: Node) -> list[str]:
     return [*named, "\n".join([lines[0], "|" + " --- |" * width, *lines[1:]])]
 
 
+def _number(value: str, other: int) -> int:
+    return int(value) if re.fullmatch(r"-?[0-9]{1,9}", value) else other
+
+
 def listing(n: Node, depth: int = 0) -> list[str]:
-    out, number = [], int(n.attrs["start"]) if n.attrs.get("start", "").lstrip("-").isdigit() else 1
+    out, number = [], _number(n.attrs.get("start", ""), 1)
     for item in n.children:
         if not isinstance(item, Node) or is_dropped(item):
             continue
         if item.tag in ("ul", "ol"):
             out += listing(item, depth + 1)
             continue
-        value = item.attrs.get("value", "")
-        number = int(value) if value.isdigit() else number
+        number = _number(item.attrs.get("value", ""), number)
         kind = n.attrs.get("type", "1")
         mark = "-" if n.tag != "ol" else f"{chr(ord(kind) + (number - 1) % 26)}." if kind in ("a", "A") else f"{number}."
         nested = [c for c in item.children if isinstance(c, Node) and c.tag in ("ul", "ol")]
@@ -211,9 +234,16 @@ def listing(n: Node, depth: int = 0) -> list[str]:
 
 
 def definitions(n: Node) -> list[str]:
+    """Terms and what defines them; lists within a definition follow it, a level deeper."""
     out: list[str] = []
-    for c in n.walk():
-        text = _line("".join(inline(x) for x in c.children)) if c.tag in ("dt", "dd") else ""
+    for c in n.children:
+        if not isinstance(c, Node) or is_dropped(c):
+            continue
+        if c.tag not in ("dt", "dd"):
+            out += definitions(c)
+            continue
+        lists = [x for x in c.children if isinstance(x, Node) and x.tag in ("dl", "ul", "ol")]
+        text = _line("".join(inline(x) for x in c.children if x not in lists))
         if c.tag == "dt" and text:
             out.append(f"- **{text}**")
         elif c.tag == "dd" and text:
@@ -221,6 +251,8 @@ def definitions(n: Node) -> list[str]:
                 out[-1] += f": {text}"
             else:
                 out.append(f"  - {text}" if out else f"- {text}")
+        for x in lists:
+            out += ["  " + line for line in (definitions(x) if x.tag == "dl" else listing(x))]
     return out
 
 
@@ -269,7 +301,8 @@ def blocks(n: Node) -> list[str]:
         elif c.tag == "table":
             out += table(c)
         elif c.tag == "pre":
-            out.append("```\n" + "".join(inline(x, True) for x in c.children).strip("\n") + "\n```")
+            marked = next((x.removeprefix("lang-").lower() for x in c.attrs.get("class", "").split() if x.startswith("lang-")), "")
+            out.append(f"```{FENCES.get(marked, marked)}\n" + "".join(inline(x, True) for x in c.children).strip("\n") + "\n```")
         elif c.tag == "blockquote":
             out.append("\n".join("> " + line if line else ">" for line in "\n\n".join(blocks(c)).split("\n")))
         elif c.tag == "hr":
@@ -285,13 +318,20 @@ def _level(block: str) -> int:
     return len(m[1]) if m else 0
 
 
-def without_dropped_sections(parts: list[str]) -> list[str]:
+def language(lang: str | None) -> str:
+    """The first code of a list, without subtag; French and Spanish by their codes of two letters."""
+    code = re.split(r"[,;\s]", lang or "", maxsplit=1)[0].partition("-")[0].lower()
+    return SHORT_CODES.get(code, code)
+
+
+def without_dropped_sections(parts: list[str], lang: str | None = None) -> list[str]:
     """Leaves out sections of no prose, with what they nest, then headings that have nothing below them."""
     kept, skip = [], 0
+    gone = DROPPED_SECTIONS | DROPPED_SECTIONS_OF.get(language(lang), frozenset())
     for b in parts:
         level = _level(b)
         if level and (not skip or level <= skip):
-            skip = level if b.lstrip("# ").lower() in DROPPED_SECTIONS else 0
+            skip = level if " ".join(b.lstrip("# ").split()).lower() in gone else 0
         if not skip:
             kept.append(b)
     out: list[str] = []
@@ -317,12 +357,14 @@ def html_to_md(source: str, title: str | None = None, lang: str | None = None, c
     parts = blocks(main)
     if facts:
         at = next((k for k, b in enumerate(parts) if _level(b)), len(parts))
-        parts[at:at] = ["## Key facts", "\n".join(facts)]
+        parts[at:at] = ["## " + KEY_FACTS.get(language(lang), "Key facts"), "\n".join(facts)]
     bar = by_id("mw-normal-catlinks")
     if categories and bar is not None:
         found = [_line(n.text()) for n in bar.walk() if n.tag == "li"]
         if found:
-            parts += ["## " + CATEGORY_HEADING.get((lang or "en")[:2], "Categories"), "\n".join(f"- {c}" for c in found)]
-    text = "\n\n".join(([f"# {named}"] if named else []) + without_dropped_sections(parts))
+            parts += ["## " + CATEGORY_HEADING.get(language(lang), "Categories"), "\n".join(f"- {c}" for c in found)]
+    text = "\n\n".join(([f"# {named}"] if named else []) + without_dropped_sections(parts, lang))
+    for marker in EDIT_MARKERS.get(language(lang), ["[edit]"]):
+        text = text.replace(marker, "")
     text = text.replace(" ", " ").replace("﻿", "").replace("​", "")
     return re.sub(r"\n{3,}", "\n\n", text).strip("\n") + "\n"

@@ -58,7 +58,7 @@ def title_boost(folded: Column) -> Column:
 def preview(text: Column, limit: int = PREVIEW_CHARS) -> Column:
     """At most ``limit`` characters, cut at the last white space if there is one."""
     head = F.left(text, F.lit(limit))
-    cut = F.rtrim(F.regexp_extract(head, r"(?s)^(.*)\s", 1))
+    cut = F.regexp_replace(F.regexp_extract(head, r"(?s)^(.*)\s", 1), r"\s+$", "")
     return F.when(F.char_length(text) <= limit, text).when(head.rlike(r"\s"), cut).otherwise(head)
 
 
@@ -114,10 +114,14 @@ def strip_inline(text: Column) -> Column:
 
 
 def content(data: Column) -> tuple[Column, Column]:
-    """(encoding, content) of bytes: UTF-8 text as it is, anything else in base64."""
+    """(encoding, content) of bytes: UTF-8 text as it is, anything else in base64, on one line."""
     as_text = data.cast("string")
     good = F.is_valid_utf8(as_text)
-    return F.when(good, "utf-8").otherwise("base64"), F.when(good, as_text).otherwise(F.base64(data))
+    return F.when(good, "utf-8").otherwise("base64"), F.when(good, as_text).otherwise(F.replace(F.base64(data), F.lit("\r\n"), F.lit("")))
+
+
+#: Three-letter codes and the codes they stand for.
+SHORT_CODES = {"fra": "fr", "fre": "fr", "spa": "es", "esp": "es"}
 
 
 def language_code(value: Column) -> Column:
@@ -126,8 +130,15 @@ def language_code(value: Column) -> Column:
     return F.lower(F.get(F.split(first, "[-_]"), 0))
 
 
+def short_language(value: Column) -> Column:
+    """``language_code``, with French and Spanish by their codes of two letters."""
+    code = language_code(value)
+    known = F.create_map(*[F.lit(x) for pair in SHORT_CODES.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, code), code)
+
+
 def compressible(mime: Column) -> Column:
-    return mime.rlike(r"^text/|\+xml$|\+json$") | mime.isin("application/javascript", "application/json")
+    return mime.startswith("text") | mime.contains("+xml") | mime.contains("+json") | mime.isin("application/javascript", "application/json")
 
 
 def is_category_page(html: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,27 +18,36 @@ def term_weight(n: Column, df: Column) -> Column:
     return F.log(F.when(odds < 2, odds * 0.5 + 1).otherwise(odds))
 
 
-def bm25(n: Column, df: Column, wqf: Column, wdf: Column, doclen: Column, average: Column) -> Column:
-    relative = F.greatest(doclen / average, F.lit(0.5))
-    return term_weight(n, df) * wqf * 2 * wdf / (relative * 0.5 + 0.5 + wdf)
+Weigh = Callable[..., Column]
 
 
-def trad(n: Column, df: Column, wqf: Column, wdf: Column, doclen: Column, average: Column, k: float = 1.0) -> Column:
-    """BM25 with k1 = k, b = 1 and no influence of the query's frequencies beyond their number."""
-    return term_weight(n, df) * wqf * wdf / (F.lit(k) * doclen / average + wdf)
+def saturating(k1: float, k2: float, k3: float, b: float, least: float) -> Weigh:
+    """BM25 weights. A term's count in the query enters linearly, as each is a term of its own, so ``k3`` changes
+    nothing; ``k2`` doesn't either. ``least`` is the least relative length; an average length of 0 counts as that."""
 
+    def weigh(n: Column, df: Column, wqf: Column, wdf: Column, doclen: Column, average: Column) -> Column:
+        relative = F.greatest(F.coalesce(F.try_divide(doclen, average), F.lit(0.0)), F.lit(least))
+        return term_weight(n, df) * wqf * (k1 + 1) * wdf / ((relative * b + (1 - b)) * k1 + wdf)
 
-def boolean(*_: Column) -> Column:
-    return F.lit(0.0)
+    return weigh
 
 
-SCHEMES = {"bm25": bm25, "trad": trad, "bool": boolean}
+#: Parameters of the schemes by default; bm25 takes k1, k2, k3, b and the least relative length, trad takes k.
+DEFAULTS = {"bm25": (1.0, 0.0, 1.0, 0.5, 0.5), "trad": (1.0,), "bool": ()}
+bm25 = saturating(*DEFAULTS["bm25"])
 
 
-def scheme(name: str):
-    if name not in SCHEMES:
-        raise ValueError(f"unknown weighting scheme {name!r}; there are {', '.join(sorted(SCHEMES))}")
-    return SCHEMES[name]
+def scheme(name: str, parameters: Sequence[float] | None = None) -> Weigh:
+    """The weights of a scheme, whatever the case of its name; without ``parameters`` the default ones."""
+    known = name.lower()
+    if known not in DEFAULTS:
+        raise ValueError(f"unknown weighting scheme {name!r}; there are {', '.join(sorted(DEFAULTS))}")
+    given = DEFAULTS[known] if parameters is None else tuple(parameters)
+    if len(given) != len(DEFAULTS[known]):
+        raise ValueError(f"{known} takes {len(DEFAULTS[known])} parameters, not {len(given)}")
+    if known == "bool":
+        return lambda *_: F.lit(0.0)
+    return saturating(*(given if known == "bm25" else (given[0], 0.0, 0.0, 1.0, 0.0)))
 
 
 def query_terms(spark: SparkSession, terms: list[str]) -> DataFrame:

@@ -97,7 +97,7 @@ def per_archive_top50(spark, sf_dir):
     return rx.top(rx.search(articles(spark, sf_dir), WORDS), rx.LOCAL_TOP, ["archive"])
 
 
-@query(sql.weights(count_of(WORDS), False, "ln(CASE WHEN r < 2 THEN r * 0.5 + 1 ELSE r END) * wqf * wdf / (doclen / average + wdf)") + f" SELECT * FROM s {TOP}")
+@query(sql.weights(count_of(WORDS), False, "ln(CASE WHEN r < 2 THEN r * 0.5 + 1 ELSE r END) * wqf * 2 * wdf / (doclen / average + wdf)") + f" SELECT * FROM s {TOP}")
 def trad_weighting_topk(spark, sf_dir):
     return rx.top(rx.search(articles(spark, sf_dir), WORDS, weigh=rx.scheme("trad")), 10)
 
@@ -127,7 +127,7 @@ def round_robin_merge(spark, sf_dir):
 
 
 @query(
-    "WITH q AS (SELECT item_id, unnest(list_distinct(list_slice(" + sql.tokens("text") + ", 1, 4))) AS term FROM benchmark), "
+    "WITH q AS (SELECT item_id, unnest(list_distinct(" + sql.tokens("text") + ")) AS term FROM benchmark), "
     f"a AS ({sql.ARTICLES}), t AS (SELECT archive, doc_id, len(w) AS doclen, unnest(w) AS term FROM (SELECT archive, doc_id, {sql.tokens('text')} AS w FROM a)), "
     "m AS (SELECT archive, doc_id, doclen, term, count(*) AS wdf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL), "
     "n AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS average FROM (SELECT " + sql.tokens("text") + " AS w FROM a)), f AS (SELECT term, count(*) AS df FROM m GROUP BY term), "
@@ -136,8 +136,8 @@ def round_robin_merge(spark, sf_dir):
     "SELECT item_id, archive, doc_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, archive, doc_id) AS rank FROM s) WHERE rank <= 10"
 )
 def search_batch_benchmark(spark, sf_dir):
-    """All benchmark items as queries of their first four words, in one plan."""
-    asked = read(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(F.slice(fx.tokens(fx.fold(F.col("text"))), 1, 4))).alias("term"))
+    """All benchmark items as queries of all their words, in one plan."""
+    asked = read(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(fx.tokens(fx.fold(F.col("text"))))).alias("term"))
     docs = articles(spark, sf_dir)
     words = docs.select(*px.KEYS, fx.tokens(fx.fold(F.col("text"))).alias("w"))
     each = words.select(*px.KEYS, F.size("w").cast("long").alias("doclen"), F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
@@ -263,9 +263,9 @@ def whitespace_collapse(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", fx.collapse(F.col("text")).alias("collapsed"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'base64' ELSE 'utf-8' END AS encoding, CASE WHEN doc_id % 3 = 0 THEN to_base64(unhex('FF' || hex(left(text, 20)))) ELSE left(text, 20) END AS content FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'base64' ELSE 'utf-8' END AS encoding, CASE WHEN doc_id % 3 = 0 THEN to_base64(unhex('FF' || hex(text))) ELSE text END AS content FROM documents")
 def content_encoding(spark, sf_dir):
-    head = F.left("text", F.lit(20)).cast("binary")
+    head = F.col("text").cast("binary")
     data = F.when(F.col("doc_id") % 3 == 0, F.concat(F.unhex(F.lit("FF")), head)).otherwise(head)
     encoding, content = fx.content(F.col("data"))
     return read(spark, sf_dir, "documents").select("doc_id", data.alias("data")).select("doc_id", encoding.alias("encoding"), content.alias("content"))
@@ -292,7 +292,7 @@ def cjk_ngrams(spark, sf_dir):
 
 #: Elements whose text is skipped, and elements that end a paragraph when they open.
 _SKIP = "style script table figure sup title h1".split()
-_CLOSERS = "h[1-6]|ul|ol|div|section|table|blockquote|figure|pre|dl"
+_CLOSERS = "div|ul|ol|dl|li|table|blockquote|pre|hr|h[2-6]"
 
 
 def _stripped_sql() -> str:
@@ -462,20 +462,30 @@ def html_unescape(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", sections.html_unescape(F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1)).alias("h1"))
 
 
-@query()
+@query("SELECT page_id, url_decode(replace(url, '+', '%2B')) AS url FROM pages")
 def url_percent_decode(spark, sf_dir):
     from folioscope.operators import sections
 
     return read(spark, sf_dir, "pages").select("page_id", sections.percent_decode("url").alias("url"))
 
 
+#: Ids of a range that is numbered by one task.
+ID_RANGE = 1_000_000
+
+
 def library_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as container entries of one archive."""
     pages = read(spark, sf_dir, "pages")
     url = F.concat(F.lit("page_"), "page_id")
+    # ids alone are numbered: how many come before a range of them, and their ranks within it
+    ids = pages.select("page_id").withColumn("part", F.floor(F.col("page_id") / ID_RANGE))
+    before = ids.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("page_id")) - 1
+    numbers = ids.withColumn("inside", inside).join(F.broadcast(before), "part").select("page_id", (F.col("before") + F.col("inside")).cast("long").alias("entry_idx"))
+    pages = pages.join(numbers, "page_id")
     return pages.select(
         F.lit("web").alias("archive"),
-        (F.row_number().over(Window.orderBy("page_id")) - 1).cast("long").alias("entry_idx"),
+        "entry_idx",
         F.lit("C").alias("namespace"),
         url.alias("url"),
         F.concat(F.lit("C/"), url).alias("full_path"),
@@ -501,24 +511,25 @@ def convert_full_text(spark, sf_dir):
     return conversion.convert(library_entries(spark, sf_dir))["full_text"]
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'text/html' WHEN doc_id % 4 = 1 THEN 'application/json' WHEN doc_id % 4 = 2 THEN 'image/png' ELSE 'image/svg+xml' END AS mime, doc_id % 4 <> 2 AS compressible FROM documents")
+@query("SELECT doc_id, mime, starts_with(mime, 'text') OR contains(mime, '+xml') OR contains(mime, '+json') OR mime IN ('application/javascript', 'application/json') AS compressible FROM (SELECT doc_id, ['text/html', 'application/json', 'image/png', 'image/svg+xml', 'text', 'image/svg+xml; charset=utf-8', 'application/ld+json', 'application/javascript', 'application/pdf'][doc_id % 9 + 1] AS mime FROM documents)")
 def compressible_mime(spark, sf_dir):
-    mimes = F.array(*[F.lit(m) for m in ("text/html", "application/json", "image/png", "image/svg+xml")])
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.get(mimes, (F.col("doc_id") % 4).cast("int")).alias("mime"))
+    mimes = F.array(*[F.lit(m) for m in ("text/html", "application/json", "image/png", "image/svg+xml", "text", "image/svg+xml; charset=utf-8", "application/ld+json", "application/javascript", "application/pdf")])
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.get(mimes, (F.col("doc_id") % 9).cast("int")).alias("mime"))
     return docs.withColumn("compressible", fx.compressible(F.col("mime")))
 
 
-@query("SELECT page_id, page_id % 3 = 0 AS category FROM pages")
+@query("""SELECT page_id, list_contains(string_split_regex(regexp_extract(replace(html, '<body>', CASE WHEN page_id % 3 = 0 THEN '<body class="a ns-14 b">' ELSE '<body class="ns-140" id=x>' END), '<body[^>]*class="([^"]*)"', 1), '\\s+'), 'ns-14') AS category FROM pages""")
 def category_pages(spark, sf_dir):
     body = F.when(F.col("page_id") % 3 == 0, F.lit('<body class="a ns-14 b">')).otherwise(F.lit('<body class="ns-140" id=x>'))
     pages = read(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("<body>"), body).alias("html"))
     return pages.select("page_id", fx.is_category_page(F.col("html")).alias("category"))
 
 
-@query("SELECT item_id, trim(c) AS code FROM (SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'fra' WHEN 1 THEN 'eng' WHEN 2 THEN 'fr' ELSE 'es' END AS c FROM benchmark)")
+@query("SELECT item_id, code, CASE WHEN code IN ('fra', 'fre') THEN 'fr' WHEN code IN ('spa', 'esp') THEN 'es' ELSE code END AS short FROM (SELECT item_id, lower(regexp_extract(['fra, eng', 'ENG', 'fr-FR', ' es_MX;en', 'spa;en', 'fre'][item_id % 6 + 1], '[^ ,;_-]+')) AS code FROM benchmark)")
 def language_codes(spark, sf_dir):
-    values = F.array(*[F.lit(v) for v in ("fra, eng", "ENG", "fr-FR", " es_MX;en")])
-    return read(spark, sf_dir, "benchmark").select("item_id", fx.language_code(F.get(values, (F.col("item_id") % 4).cast("int"))).alias("code"))
+    values = F.array(*[F.lit(v) for v in ("fra, eng", "ENG", "fr-FR", " es_MX;en", "spa;en", "fre")])
+    given = F.get(values, (F.col("item_id") % 6).cast("int"))
+    return read(spark, sf_dir, "benchmark").select("item_id", fx.language_code(given).alias("code"), fx.short_language(given).alias("short"))
 
 
 @query()

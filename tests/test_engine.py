@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope import engine
 from folioscope.sources import container
@@ -67,3 +68,32 @@ def test_convert(library):
     assert made["summary"][0]["failures"] == 1 and made["summary"][0]["categories"] == 1
     plain = library.convert(exclude_categories=True)
     assert {r["path"] for r in plain["titles"].collect()} == {"C/Apple", "C/Banana", "C/Cherry"}
+
+
+def test_weighting_schemes(spark):
+    import pytest
+
+    from folioscope.operators import ranking as rx
+
+    filler = lambda a, n: " ".join(f"f{i}" for i in range(a, a + n))
+    texts = ["zebra", "zebra zebra zebra zebra " + filler(0, 36), "zebra " + filler(36, 14), filler(50, 20), filler(70, 8)]
+    docs = spark.createDataFrame([("x", i + 1, t) for i, t in enumerate(texts)], "archive string, doc_id long, text string")
+    found = lambda s: [(r["doc_id"], r["score"]) for r in rx.search(docs, ["zebra"], weigh=s).orderBy(F.desc("score"), "doc_id").collect()]
+    bm25, trad, bool_ = found(rx.scheme("BM25")), found(rx.scheme("trad", [1.0])), found(rx.scheme("bool", []))
+    assert [d for d, _ in bm25] == [2, 1, 3] and all(abs(s - e) < 1e-3 for (_, s), e in zip(bm25, (0.4293, 0.3490, 0.3138), strict=True))
+    assert [d for d, _ in trad] == [1, 2, 3] and abs(trad[0][1] - 0.5765) < 1e-3
+    assert bool_ == [(1, 0.0), (2, 0.0), (3, 0.0)] and found(rx.scheme("bm25", [1, 0, 1, 0.5, 0.5])) == bm25
+    for name, parameters in (("trad", []), ("trad", [1.0, 0.5]), ("bm25", [1.0]), ("bool", [1.0]), ("tfidf", None)):
+        with pytest.raises(ValueError, match="parameters|weighting"):
+            rx.scheme(name, parameters)
+
+
+def test_scalar_rules(spark):
+    from folioscope.functions import text as fx
+
+    cut = lambda t: spark.createDataFrame([(t,)], "t string").select(fx.preview(F.col("t"))).first()[0]
+    assert cut("lorem ipsum " * 29 + "wordthatislong! now more text").endswith("ipsum") and cut("x" * 400) == "x" * 360
+    assert cut("a" * 350 + " \n\n" + "b" * 90) == "a" * 350
+    mimes = {"text": True, "image/svg+xml; charset=utf-8": True, "application/ld+json": True, "image/png": False, "application/json": True, "application/json; x": False}
+    got = spark.createDataFrame([(k,) for k in mimes], "m string").select("m", fx.compressible(F.col("m")).alias("c")).collect()
+    assert {r["m"]: r["c"] for r in got} == mimes

@@ -25,7 +25,7 @@ def test_simple_unescape(given, expected):
 
 
 def test_percent_decode():
-    assert m.percent_decode("a%20b+c%zz") == "a b+c%zz" and m.percent_decode("%FF") == "%FF" and m.percent_decode("%C3%A9") == "é"
+    assert m.percent_decode("a%20b+c%zz") == "a b+c%zz" and m.percent_decode("%FF%41") == "\ufffdA" and m.percent_decode("%C3%A9") == "é"
 
 
 MD = "# Zinc\n\n*For other uses, see X.*\n\nZinc is [[Metal|a metal]].\n\n## History\n\nOld.\n\n### India\n\nSmelting.\n\n```\n## no\n```\n\n## **Uses**\n\n- one\n- two\n\nText."
@@ -61,6 +61,33 @@ def test_render(source, expected):
     assert r.html_to_md(source) == expected
 
 
+def test_dropped_sections_follow_the_language():
+    page = "<h2>See also</h2><p>a<h2>Family tree</h2><p>b<h2>Works  cited</h2><p>c<h2>Notas</h2><p>d<h2>Bibliographie</h2><p>e<h2>Véase también</h2><p>f"
+    assert [line for line in r.html_to_md(page).split("\n") if line.startswith("#")] == ["## See also", "## Notas", "## Bibliographie", "## Véase también"]
+    assert "## Notas" not in r.html_to_md(page, lang="spa") and "## Bibliographie" in r.html_to_md(page, lang="es-ES")
+    assert "## Bibliographie" not in r.html_to_md(page, lang="fra, eng")
+
+
+def test_odd_pages_render():
+    assert r.html_to_md('<ol start="²"><li value="³">a<li>b</ol>') == "1. a\n2. b\n"
+    assert r.html_to_md('<pre class="x lang-py">a</pre>') == "```python\na\n```\n" and r.html_to_md('<pre class="lang-Zig">a</pre>').startswith("```zig")
+    deep = r.html_to_md("<div>" * 3000 + "<p>in</p>" + "</div>" * 3000 + "<p>after</p>")
+    assert "in" in deep and "after" in deep
+    assert "inmost" in r.html_to_md("<b>" * 5000 + "inmost")
+    assert r.html_to_md("<dl><dt>t<dd>d<dl><dt>u<dd>e</dl></dl>") == "- **t**: d\n  - **u**: e\n"
+    spanish = '<body><div id="mw-content-text"><p>x [edit][editar]</p></div><div id="mw-normal-catlinks"><ul><li>M</li></ul></div>'
+    assert r.html_to_md(spanish, lang="spa") == "x \n\n## Categorías\n\n- M\n"
+    assert r.html_to_md("<nav><p>a</nav><aside><p>b</aside><p class=ambox>d</p><p class=sidebar>e</p>") == "a\n\nb\n"
+
+
+def test_language():
+    assert [r.language(x) for x in ("fra", "fre", "fr-FR", "fra, eng", "spa", "esp", "es-ES", "eng", "", None)] == ["fr"] * 4 + ["es"] * 3 + ["eng", "", ""]
+
+
+def test_paragraph_closers():
+    assert m.html_paragraphs("<p>a<li>b<p>c<hr>d<p>e<section>f") == ["a", "c", "ef"]
+
+
 def test_render_wiki_page():
     page = '<body><h1 id="firstHeading">Zinc</h1><div id="mw-content-text"><div class="mw-parser-output"><div class="hatnote">See <i>X</i></div><p>Zinc</p></div></div><div id="mw-normal-catlinks"><ul><li>Metals</li></ul></div>'
     assert r.html_to_md(page, lang="fr") == "# Zinc\n\n*See X*\n\nZinc\n\n## Catégories\n\n- Metals\n"
