@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc": warc.OP3_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op8_jaccard_join": jaccard.OP8_SQL,

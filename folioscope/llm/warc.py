@@ -195,3 +195,14 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = common.scratch(spark, "warc")
     manifest = write(common.read(spark, sf_dir, "pages"), uri)
     return read(manifest, uri).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+OP3_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages),
+m AS (SELECT s, max(page_id) AS last FROM p GROUP BY s)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda j: substr('{_LETTERS}', CAST((CAST('0x' || substr(s, j // 4 * 5 + 1, 5) AS BIGINT) >> (15 - 5 * (j % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
+FROM p JOIN m USING (s)
+"""

@@ -273,6 +273,16 @@ def test_warc_round_trip(spark):
     assert warc.read(warc.write(pages.limit(0), uri + "e"), uri + "e").count() == 0
 
 
+def test_warc_equals_sql(spark, data):
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{data}/pages.parquet' union all select 900000 + page_id, url, html from '{data}/pages.parquet' where page_id % 3 = 0 union all select 1900000, null, null")
+    rows = con.sql("select page_id, url, html from pages").fetchall()
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    uri = common.scratch(spark, "warc")
+    got = warc.read(warc.write(pages, uri), uri).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").orderBy("page_id").collect()
+    assert list(map(tuple, got)) == con.sql(warc.OP3_SQL + " ORDER BY page_id").fetchall()
+
+
 def test_warc_reader_is_linear_and_whole():
     data = b"".join(warc.record(i, "u", f"page {i} ".encode() * (1 + i % 7 * 4000), None) for i in range(60))
     assert [int(f["X-Page-ID"]) for f, _ in warc.records(data)] == list(range(60))
