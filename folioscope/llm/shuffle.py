@@ -68,9 +68,11 @@ def shuffle(df: DataFrame, keys: list[str], shards: int = SHARDS, seed: int = SE
     empty table stays empty. Columns named shard or slot are replaced, others are kept, whatever their names.
     """
     spark = df.sparkSession
-    own = [F.col(f"`{c}`") for c in df.columns if c not in ("shard", "slot")]
-    values = [F.col(f"row.`{k}`") for k in keys]
-    hashed = df.select(F.struct(*own).alias("row")).withColumn("h", F.xxhash64(F.lit(seed), *values))
+    own = [c for c in df.columns if c not in ("shard", "slot")]
+    # columns have numbers on the way, so that helper columns clash with none and unused ones are pruned
+    flat = df.select(*[F.col(f"`{c}`").alias(f"u{i}") for i, c in enumerate(own)])
+    values = [F.col(f"u{own.index(k)}") for k in keys]
+    hashed = flat.withColumn("h", F.xxhash64(F.lit(seed), *values))
     rows = df.count()
     blocks = min(MAX_BLOCKS, max(64, -(-rows // BLOCK_ROWS)))
     blocked = hashed.withColumn("block", F.pmod(F.xxhash64("h", F.lit(0)), F.lit(blocks)).cast("int"))
@@ -84,13 +86,12 @@ def shuffle(df: DataFrame, keys: list[str], shards: int = SHARDS, seed: int = SE
         ranked = part.withColumn("r", F.row_number().over(local)).join(cuts, "block")
         return ranked.withColumn("shard", F.expr("size(filter(cuts, c -> c < r))").cast("int")).withColumn("piece", F.pmod(F.xxhash64("h", F.lit(2)), F.lit(-(-blocks // shards))).cast("int")).drop("r", "cuts", "block")
 
-    slim = blocked.select(F.struct(*[v.alias(k) for v, k in zip(values, keys, strict=True)]).alias("row"), "h", "block")
-    counts = dealt(slim).groupBy("shard", "piece").agg(F.count("*").alias("n"))
+    counts = dealt(blocked.select("h", "block", *values)).groupBy("shard", "piece").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("piece")) - F.col("n")
     offsets = common.table(counts.select("shard", "piece", before.alias("before")), "shuffle-offsets", 1)
     again = Window.partitionBy("shard", "piece").orderBy(F.xxhash64("h", F.lit(3)), *values)
     placed = dealt(blocked).withColumn("r", F.row_number().over(again)).join(offsets, ["shard", "piece"])
-    return placed.select("row.*", "shard", (F.col("before") + F.col("r") - 1).alias("slot"))
+    return placed.select(*[F.col(f"u{i}").alias(c) for i, c in enumerate(own)], "shard", (F.col("before") + F.col("r") - 1).alias("slot"))
 
 
 def op4_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
