@@ -71,7 +71,8 @@ def mix(docs: DataFrame, max_repeats: float = MAX_REPEATS, entropy: float | None
     own = [c for c in docs.columns if c not in ("n_tokens", "epoch", "block", "mix_key")]
     text = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     mark = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text)
-    counted = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), "source", n_tokens().alias("n_tokens"), mark.alias("_mark"))
+    # the rows' columns have numbers on the way, so that helper columns clash with none and unused ones are pruned
+    counted = docs.select(*[F.col(f"`{c}`").alias(f"u{i}") for i, c in enumerate(own)], "source", n_tokens().alias("n_tokens"), mark.alias("_mark"))
     totals = common.table(counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), "mix-totals", 1)
     a = round(exponent(totals, max_repeats, entropy, budget), 9)
     every = Window.partitionBy()
@@ -101,7 +102,7 @@ def mix(docs: DataFrame, max_repeats: float = MAX_REPEATS, entropy: float | None
     stream = F.expr("full * tokens + rest")
     block = F.when(stream > 0, F.floor(((F.col("epoch") - 1) * F.col("tokens") + F.col("_at")) / stream * F.col("blocks"))).otherwise(0)
     block = F.least(block, F.col("blocks") - 1).cast("long")
-    return placed.select("_row.*", "n_tokens", "epoch", block.alias("block"), F.md5(F.concat(F.lit("in-block:"), F.col("_key")).cast("binary")).alias("mix_key"))
+    return placed.select(*[F.col(f"u{i}").alias(c) for i, c in enumerate(own)], "n_tokens", "epoch", block.alias("block"), F.md5(F.concat(F.lit("in-block:"), F.col("_key")).cast("binary")).alias("mix_key"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
