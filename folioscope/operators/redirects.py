@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope import scratch
+
 #: A walk inspects this many entries, so one edge fewer is followed.
 MOST_ENTRIES = 50
 
@@ -12,20 +14,32 @@ MOST_ENTRIES = 50
 def closure(edges: DataFrame, key: str = "archive") -> DataFrame:
     """(archive, src, terminal, hops) of ``edges`` (archive, src, dst): where each chain ends.
 
-    Pointers are doubled: each round joins every pointer to the pointer of its target, so six rounds
-    reach 64 hops. A terminal is null if the chain runs in a circle or takes too many hops.
+    Pointers are doubled: each round joins every pointer to the pointer of its target, so six rounds reach 64 hops;
+    fewer do if no pointer moves. Every round is written, so that the plan of the next has one join and not all before
+    it. A terminal is null if the chain runs in a circle, takes too many hops, or has no target.
     """
-    at = edges.select(key, "src", F.col("dst").alias("to"), F.lit(1).alias("hops"))
+    spark = edges.sparkSession
+    at, path = scratch.table(edges.select(key, "src", F.col("dst").alias("to"), F.lit(1).alias("hops")), "redirects")
     for _ in range((MOST_ENTRIES - 1).bit_length()):
-        ahead = at.select(F.col(key).alias("_k"), F.col("src").alias("_s"), F.col("to").alias("_to"), F.col("hops").alias("_hops"))
-        joined = at.join(ahead, (at[key] == ahead["_k"]) & (at["to"] == ahead["_s"]), "left")
-        at = joined.select(key, "src", F.coalesce("_to", "to").alias("to"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"))
-    sources = edges.select(F.col(key).alias("_k"), F.col("src").alias("_s"))
-    ended = at.join(sources, (at[key] == sources["_k"]) & (at["to"] == sources["_s"]), "left")
+        moved, moved_path = scratch.table(_double(at, key), "redirects")
+        scratch.remove(spark, path)
+        at, path = moved.drop("moved"), moved_path
+        if moved.where("moved").isEmpty():
+            break
+    sources = at.select(F.col(key).alias("_k"), F.col("src").alias("_s"))
+    ended = at.join(sources, (at[key] == F.col("_k")) & (at["to"] == F.col("_s")), "left")
     good = F.col("_s").isNull() & (F.col("hops") < MOST_ENTRIES)
     return ended.select(key, "src", F.when(good, F.col("to")).alias("terminal"), F.when(good, F.col("hops")).alias("hops"))
 
 
+def _double(at: DataFrame, key: str) -> DataFrame:
+    """Every pointer moved to the pointer of its target, with ``moved`` where there is one."""
+    ahead = at.select(F.col(key).alias("_k"), F.col("src").alias("_s"), F.col("to").alias("_to"), F.col("hops").alias("_hops"))
+    joined = at.join(ahead, (at[key] == F.col("_k")) & (at["to"] == F.col("_s")), "left")
+    hops = F.col("hops") + F.coalesce("_hops", F.lit(0))
+    return joined.select(key, "src", F.coalesce("_to", "to").alias("to"), hops.alias("hops"), F.col("_s").isNotNull().alias("moved"))
+
+
 def live(edges: DataFrame, articles: DataFrame) -> DataFrame:
     """Redirects whose target is among ``articles`` (archive, idx)."""
     return edges.join(articles, (edges["archive"] == articles["archive"]) & (edges["dst"] == articles["idx"]), "left_semi")
