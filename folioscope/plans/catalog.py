@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as fx
+from folioscope import scratch
+from folioscope.operators import index as ix
 from folioscope.operators import postings as px
 from folioscope.operators import ranking as rx
 from folioscope.operators import redirects
@@ -152,6 +154,48 @@ def search_batch_benchmark(spark, sf_dir):
     return scored.withColumn("rank", F.row_number().over(order)).where("rank <= 10")
 
 
+# --- a written index ------------------------------------------------------------------------------
+
+
+def _index(spark, sf_dir, strategy: str = "none") -> ix.Index:
+    return ix.write(articles(spark, sf_dir), scratch.folder(spark, "search-index"), strategy=strategy, buckets=16)
+
+
+def _having(word: str) -> str:
+    return f"SELECT archive, doc_id FROM (SELECT archive, doc_id, {sql.tokens('text')} AS w FROM a) WHERE list_contains(w, '{word}')"
+
+
+@query(sql.weights(count_of(REPEATED), False) + " SELECT * FROM s")
+def index_search(spark, sf_dir):
+    return _index(spark, sf_dir).search(REPEATED)
+
+
+@query(sql.weights(count_of(WORDS), True) + " SELECT archive, doc_id, score, CAST(CASE WHEN max(score) OVER () > 0 THEN floor(round(score / max(score) OVER () * 100, 6)) ELSE 100 END AS INT) AS percent FROM s")
+def index_percent(spark, sf_dir):
+    return ix.percent(_index(spark, sf_dir).search(WORDS, pooled=True))
+
+
+@query(sql.weights(count_of(WORDS), True) + " SELECT * FROM s ORDER BY score DESC, archive, doc_id LIMIT 10 OFFSET 20")
+def index_page(spark, sf_dir):
+    return ix.page(_index(spark, sf_dir).search(WORDS, pooled=True), 20, 10)
+
+
+@query(f"WITH a AS ({sql.ARTICLES}), t AS ({_having('the')}), u AS ({_having('thin')}) (SELECT * FROM t UNION ALL SELECT * FROM u) EXCEPT ALL (SELECT * FROM t INTERSECT SELECT * FROM u) EXCEPT ALL (SELECT * FROM t INTERSECT SELECT * FROM u)")
+def index_exactly_one(spark, sf_dir):
+    made = _index(spark, sf_dir)
+    return ix.exactly_one(made.search(["the"]), made.search(["thin"])).drop("score")
+
+
+@query(f"WITH a AS ({sql.ARTICLES}) SELECT DISTINCT archive, doc_id FROM (SELECT archive, doc_id, unnest({sql.tokens('text')}) AS term FROM a) WHERE starts_with(term, 'th')")
+def index_wildcard(spark, sf_dir):
+    return _index(spark, sf_dir).wildcard("th").drop("score")
+
+
+@query(f"SELECT archive, doc_id FROM ({sql.ARTICLES})")
+def index_match_all(spark, sf_dir):
+    return _index(spark, sf_dir).match_all().drop("score")
+
+
 # --- lookups and redirects ------------------------------------------------------------------------
 
 
