@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +36,24 @@ def table(df: DataFrame, label: str, partitions: int | None = None) -> DataFrame
     """Writes ``df`` to the shared folder and reads it back: lineage is cut, lost executors cost nothing."""
     path = scratch(df.sparkSession, label)
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Collects the driver's garbage and gives its freed memory back.
+
+    Spark deletes shuffle files and broadcasts when the driver's JVM finds that nothing refers to them, which with a large
+    heap may take half an hour; until then the files of every step stay on the executors' disks.
+    """
+    gc.collect()
+    jvm = spark._jvm
+    jvm.System.gc()
+    with contextlib.suppress(Py4JError):  # where this JVM has no such command
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer().invoke(name, "systemTrimNativeHeap", None, None)
+
+
 def delete(spark: SparkSession, df: DataFrame) -> None:
     """Removes the files of a table made by ``table`` that no later step reads."""
     jvm = spark._jvm

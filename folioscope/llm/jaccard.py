@@ -13,10 +13,15 @@ likeness is ``PERCENT`` / 100 or more. The join is exact (up to 64-bit hashes of
    first n - ceil(t n) + 1 of their n shingles. The order is by frequency, the rarest first, so a passage
    that many documents repeat ties them only if it is nearly all they have. Frequencies come
    from a sketch of ``CELLS`` counters over all shingles of the corpus; its chance hits cost vain comparisons, never a
-   link, as any order is exact. Sets that share a shingle of their prefixes may link. Each is tied to
-   the least one of that shingle: first within a task, which passes a shingle on once, then within
-   a range of hashes, so a shingle of very many sets costs each task a row. The ties' components
-   bound what can link. No set pairs are emitted. Components of more sets than a block holds are
+   link, as any order is exact. Sets that share a signature may link. By groups, each is tied to
+   the least one of that signature: first within a task, which passes a signature on once, then within
+   a range of hashes, so a signature of very many sets costs each task a row. A shingle of a prefix says
+   less, the less the fuller the sketch, so its sets are parted where the sizes leave a gap that no link
+   crosses. Up to ``PAIRED`` of them give pairs, and a pair is a tie unless its parities, a bit for each
+   cell that holds an odd number of a set's shingles, differ in more cells than linked sets differ in
+   shingles. More of them are tied to the least one, so a group's pairs never grow with its square; of
+   more than that of about one size, a task passes on ``PAIRED`` + 1. The ties' components
+   bound what can link. Components of more sets than a block holds are
    tied anew, with the frequencies among their own sets, where a sketch of the same size is
    sharper, as long as that makes them smaller.
 3. In a component, cut into blocks of bounded size, the sets' shingles are counted by ``GROUPS``
@@ -54,6 +59,8 @@ CELLS, SLICES = 1 << 24, 64
 SIGNATURES_HELD = 4_000_000
 #: Bytes of a signature that travel, beside its range: chance hits cost a vain comparison, no more.
 SIGN_BYTES = 5
+#: Sets of a prefix's shingle, of sizes that may link, up to which all pairs are looked at; steps of sizes for that, which fit a byte.
+PAIRED, STEP = 32, 1.05
 #: Distinct words whose hashes a task keeps.
 WORDS_KEPT = 400_000
 
@@ -207,6 +214,70 @@ def _stars(signs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return signs[heads], nodes[heads], pairs[:, 0], pairs[:, 1]
 
 
+def _size_step(n: int) -> int:
+    """Sizes by steps of STEP, the last one open: of linked sets they are at most ``_steps_apart`` apart."""
+    return min(255, int(np.log(n) / np.log(STEP)))
+
+
+def _steps_apart(percent: int) -> int:
+    return int(np.log(100 / percent) / np.log(STEP)) + 1
+
+
+def _thinned(signs: np.ndarray, steps: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a task passes on: of each signature and size step the least PAIRED + 1 nodes; and ties (a, b) of the others to the least one."""
+    order = np.lexsort((nodes, steps, signs))
+    signs, steps, nodes = signs[order], steps[order], nodes[order]
+    new = np.ones(len(signs), bool)
+    new[1:] = (signs[1:] != signs[:-1]) | (steps[1:] != steps[:-1])
+    heads = np.flatnonzero(new)
+    first = np.repeat(heads, np.diff(np.append(heads, len(signs))))
+    kept = np.arange(len(signs)) - first <= PAIRED
+    pairs = np.unique(np.column_stack([nodes[~kept], nodes[first[~kept]]]), axis=0)
+    return signs[kept], steps[kept], nodes[kept], pairs[:, 0], pairs[:, 1]
+
+
+def _sized(signs: np.ndarray, steps: np.ndarray, nodes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of signatures with size steps and nodes: ties (rows a, b) where many sets share one, and pairs (rows a, b) that may link where few do."""
+    order = np.lexsort((nodes, steps, signs))
+    signs, steps, nodes = signs[order], steps[order].astype(np.int64), nodes[order]
+    apart = _steps_apart(percent)
+    new = np.ones(len(signs), bool)
+    new[1:] = (signs[1:] != signs[:-1]) | (steps[1:] - steps[:-1] > apart)
+    heads = np.flatnonzero(new)
+    held = np.diff(np.append(heads, len(signs)))
+    first, held = np.repeat(heads, held), np.repeat(held, held)
+    many = held > PAIRED
+    least = np.minimum.reduceat(nodes, heads)[np.cumsum(new) - 1] if len(nodes) else nodes
+    ties = np.unique(np.column_stack([nodes[many], least[many]]), axis=0)
+    pairs, at = [np.zeros((0, 2), np.int64)], np.flatnonzero(~many & (held > 1))
+    for d in range(1, PAIRED):
+        at = at[at + d < first[at] + held[at]]
+        if not len(at):
+            break
+        near = at[steps[at + d] - steps[at] <= apart]
+        a, b = nodes[near], nodes[near + d]
+        pairs.append(np.unique(np.column_stack([np.maximum(a, b), np.minimum(a, b)]), axis=0))
+    pairs = np.unique(np.concatenate(pairs), axis=0)
+    return ties[ties[:, 0] != ties[:, 1]], pairs[pairs[:, 0] != pairs[:, 1]]
+
+
+def parity(found: np.ndarray) -> bytes:
+    """A bit for each of 64 or more cells, as many as the set has shingles or up to twice that: whether the cell holds an odd number of them."""
+    cells = max(64, 1 << (len(found) - 1).bit_length())
+    odd = np.bincount((mix(found, 13) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
+    """Whether sets of n and m shingles with the parities x and y may link. Cells that differ hold a shingle each that one set has alone."""
+    if len(x) > len(y):
+        x, y = y, x
+    a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+    if len(a) < len(b):
+        b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum()) <= n + m - 2 * need(n + m, percent)
+
+
 def _planes(values: np.ndarray, width: int | None = None) -> bytes:
     """The lowest bytes of numbers, all first ones, then all second ones: the widest one says how many."""
     width = width or max(1, (int(values.max()).bit_length() + 7) // 8)
@@ -219,7 +290,7 @@ def _unplaned(data: bytes, n: int) -> np.ndarray:
     return wide.reshape(-1).view("<u8")
 
 
-_DESCRIBED = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("range", pa.int32()), ("low", pa.int64()), ("signs", pa.binary()), ("nodes", pa.binary()), ("tie_a", pa.int64()), ("tie_b", pa.int64())])
+_DESCRIBED = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("range", pa.int32()), ("low", pa.int64()), ("signs", pa.binary()), ("nodes", pa.binary()), ("steps", pa.binary()), ("parity", pa.binary()), ("tie_a", pa.int64()), ("tie_b", pa.int64())])
 
 
 def _described(**columns: object) -> pa.RecordBatch:
@@ -323,7 +394,7 @@ def _verified(rows: DataFrame, percent: int, size: int) -> DataFrame:
 
 
 def _described_sets(ids: DataFrame, percent: int, size: int, grouped: bool) -> DataFrame:
-    """A table of three kinds of rows: sets (node, n and a digest), packed signatures of a range, and ties within a task."""
+    """A table of three kinds of rows: sets (node, n and a digest; by prefix also the parity), packed signatures of a range, and ties within a task."""
     spark = ids.sparkSession
     ranges, shift, cut = _ranges(spark)
     sketch = None if grouped else spark.sparkContext.broadcast(frequencies(ids, size))  # CELLS bytes
@@ -332,21 +403,26 @@ def _described_sets(ids: DataFrame, percent: int, size: int, grouped: bool) -> D
         order, levels = None if grouped else sketch.value, Levels(percent)
         signs: list[np.ndarray] = []
         nodes: list[np.ndarray] = []
+        steps: list[np.ndarray] = []
         held = 0
 
         def passed_on() -> Iterator[pa.RecordBatch]:
-            sign, node, a, b = _stars(np.concatenate(signs), np.concatenate(nodes))
+            if grouped:
+                sign, node, a, b = _stars(np.concatenate(signs), np.concatenate(nodes))
+            else:
+                sign, step, node, a, b = _thinned(np.concatenate(signs), np.concatenate(steps), np.concatenate(nodes))
             yield _described(tie_a=a, tie_b=b)
             cuts = [*np.searchsorted(sign >> shift, np.arange(0, ranges, dtype=np.uint64)).tolist(), len(sign)]
             for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 if x < y:
                     low = int(node[x:y].min())
-                    yield _described(range=[k], low=[low], signs=[_planes(sign[x:y] >> cut, SIGN_BYTES)], nodes=[_planes((node[x:y] - low).astype(np.uint64))])
+                    sized = {} if grouped else {"steps": [step[x:y].tobytes()]}
+                    yield _described(range=[k], low=[low], signs=[_planes(sign[x:y] >> cut, SIGN_BYTES)], nodes=[_planes((node[x:y] - low).astype(np.uint64))], **sized)
 
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.slice(at, 1024)
-                keys, n, d1, d2 = part.column(0).to_pylist(), [], [], []
+                keys, n, d1, d2, odd = part.column(0).to_pylist(), [], [], [], []
                 for key, text in zip(keys, part.column(1).cast(pa.binary()).to_pylist(), strict=True):
                     found = shingles(text, size)
                     n.append(len(found))
@@ -355,15 +431,22 @@ def _described_sets(ids: DataFrame, percent: int, size: int, grouped: bool) -> D
                     signs.append(signatures(found, levels) if grouped else mix(prefix(found, order, percent), 7))
                     nodes.append(np.full(len(signs[-1]), key, np.int64))
                     held += len(signs[-1])
-                yield _described(node=keys, n=n, d1=d1, d2=d2)
+                    if not grouped:
+                        steps.append(np.full(len(signs[-1]), _size_step(max(1, len(found))), np.uint8))
+                        odd.append(parity(found))
+                yield _described(node=keys, n=n, d1=d1, d2=d2, **({} if grouped else {"parity": odd}))
                 if held >= SIGNATURES_HELD:
                     yield from passed_on()
-                    signs, nodes, held = [], [], 0
+                    signs, nodes, steps, held = [], [], [], 0
         _hash_of.clear()
         if held:
             yield from passed_on()
 
-    return common.table(ids.mapInArrow(common.light(describe), "node long, n long, d1 long, d2 long, range int, low long, signs binary, nodes binary, tie_a long, tie_b long"), "jaccard-sets")
+    shape = "node long, n long, d1 long, d2 long, range int, low long, signs binary, nodes binary, steps binary, parity binary, tie_a long, tie_b long"
+    made = common.table(ids.mapInArrow(common.light(describe), shape), "jaccard-sets")
+    if sketch is not None:
+        sketch.destroy()
+    return made
 
 
 def _ranges(spark: SparkSession) -> tuple[int, np.uint64, np.uint64]:
@@ -375,35 +458,61 @@ def _ranges(spark: SparkSession) -> tuple[int, np.uint64, np.uint64]:
     return 1 << bits, np.uint64(64 - bits), np.uint64(64 - bits - 8 * SIGN_BYTES)
 
 
-def _ties(made: DataFrame, copies: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets, enough to connect all sets that share a signature; of equal sets the least one stands for all."""
+def _ties(made: DataFrame, copies: DataFrame, percent: int, grouped: bool) -> DataFrame:
+    """Pairs (a, b) of sets, enough to connect all sets that share a signature and may link; of equal sets the least one stands for all."""
 
     def tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, signs, nodes = None, [], []
-        pairs = np.zeros((0, 2), np.int64)  # each once a task, however many signatures tie them
+        now, signs, nodes, steps = None, [], [], []
+        ties = pairs = np.zeros((0, 2), np.int64)  # each once a task, however many signatures tie them
 
-        def closed() -> np.ndarray:
-            _, _, a, b = _stars(np.concatenate(signs), np.concatenate(nodes))
-            return np.unique(np.concatenate([pairs, np.column_stack([a, b])]), axis=0)
+        def closed() -> tuple[np.ndarray, np.ndarray]:
+            if grouped:
+                _, _, a, b = _stars(np.concatenate(signs), np.concatenate(nodes))
+                more = np.column_stack([a, b]), pairs
+            else:
+                more = _sized(np.concatenate(signs), np.concatenate(steps), np.concatenate(nodes), percent)
+            return tuple(np.unique(np.concatenate(x), axis=0) for x in zip((ties, pairs), more, strict=True))
 
         for batch in batches:
-            for k, low, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, low, x, y, z in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != now and signs:
-                    pairs, signs, nodes = closed(), [], []
+                    ties, pairs = closed()
+                    signs, nodes, steps = [], [], []
                 now = k
                 signs.append(_unplaned(x, len(x) // SIGN_BYTES))
                 nodes.append(_unplaned(y, len(signs[-1])).astype(np.int64) + low)
+                steps.append(np.frombuffer(z or b"", np.uint8))
         if signs:
-            pairs = closed()
-        yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+            ties, pairs = closed()
+        for found, open_ in ((ties, False), (pairs, True)):
+            yield pa.RecordBatch.from_pydict({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1]), "open": pa.array(np.full(len(found), open_))})
 
     n = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = made.where("range is not null").select("range", "low", "signs", "nodes").repartition(n, "range").sortWithinPartitions("range")
-    ties = ranged.mapInArrow(common.light(tied), "a long, b long").union(made.where("tie_a is not null").select(F.col("tie_a").alias("a"), F.col("tie_b").alias("b"))).distinct()
+    ranged = made.where("range is not null").select("range", "low", "signs", "nodes", "steps").repartition(n, "range").sortWithinPartitions("range")
+    ties = ranged.mapInArrow(common.light(tied), "a long, b long, open boolean")
+    ties = ties.union(made.where("tie_a is not null").select(F.col("tie_a").alias("a"), F.col("tie_b").alias("b"), F.lit(False).alias("open"))).distinct()
     for end in ("a", "b"):
         least = common.small(copies.select(F.col("a").alias(end), F.col("b").alias("_least")))
         ties = ties.join(least, end, "left").withColumn(end, F.coalesce("_least", end)).drop("_least")
-    return ties.select("a", "b")
+    if grouped:
+        return ties.select("a", "b")
+    found = common.table(ties.where("a <> b"), "jaccard-pairs")
+    return found.where("not open").select("a", "b").union(_near(found.where("open").select("a", "b").distinct(), made, percent))
+
+
+def _near(pairs: DataFrame, made: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and parities allow a link."""
+    sets = made.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("parity").alias("parity"))  # rows that share a node are equal
+    for end in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("parity").alias(f"parity_{end}")), end)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)
+            yield batch.select([0, 1]).filter(pa.array([may_link(*row, percent) for row in rows], pa.bool_()))
+
+    sizes = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return sizes.select("a", "b", "n_a", "parity_a", "n_b", "parity_b").mapInArrow(common.light(kept), "a long, b long")
 
 
 def _refined(may: DataFrame, ids: DataFrame, copies: DataFrame, percent: int, size: int) -> DataFrame:
@@ -421,9 +530,12 @@ def _refined(may: DataFrame, ids: DataFrame, copies: DataFrame, percent: int, si
             return may
         before = held
         texts = common.table(ids.join(common.small(inside.select(F.col("id").alias("node"))), "node"), "jaccard-large-texts")
-        again = common.components(_ties(_described_sets(texts, percent, size, False), copies), "jaccard-again")
+        made = _described_sets(texts, percent, size, False)
+        again = common.components(_ties(made, copies, percent, False), "jaccard-again")
         rest = may.join(common.small(inside), "id", "left_anti")
-        may = common.table(rest.unionByName(again), "jaccard-may-all")
+        was, may = may, common.table(rest.unionByName(again), "jaccard-may-all")
+        for read in (was, inside, texts, made):
+            common.delete(may.sparkSession, read)
 
 
 def _noded(docs: DataFrame, name: str = "node") -> tuple[DataFrame, DataFrame | None]:
@@ -495,7 +607,8 @@ def unique(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Data
 
 def _linked(ids: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataFrame]:
     """Of ``ids`` (node, text): the sets (node, n, ...), a row each, and of nodes that link (node, component), the least node."""
-    made = _described_sets(ids, percent, size, percent >= GROUPED_FROM)
+    grouped = percent >= GROUPED_FROM
+    made = _described_sets(ids, percent, size, grouped)
     described = made.where("n is not null").select("node", "n", "d1", "d2")
     full = described.where("n > 0")
     equal = full.groupBy("n", "d1", "d2").agg(F.min("node").alias("least"), F.count("*").alias("copies"))
@@ -503,7 +616,11 @@ def _linked(ids: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataFra
     # ties of rows to the least row of their set; only sets of several rows are joined
     copies = full.join(common.small(equal), ["n", "d1", "d2"]).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     copies = common.table(copies, "jaccard-copies")
-    may = common.table(common.components(_ties(made, copies), "jaccard-may"), "jaccard-may-all")
+    may = common.table(common.components(_ties(made, copies, percent, grouped), "jaccard-may"), "jaccard-may-all")
+    # the signatures are read; the sets go on
+    described = common.table(described.select("node", "n"), "jaccard-described")
+    full = described.where("n > 0")
+    common.delete(made.sparkSession, made)
     may = _refined(may, ids, copies, percent, size)
     sizes = full.select("node", "n").groupBy("node").agg(F.max("n").alias("n"))
     may = common.table(may.join(sizes, may["id"] == sizes["node"]).select("node", "n", F.col("component").alias("within")), "jaccard-may-link")
@@ -516,7 +633,9 @@ def _linked(ids: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataFra
     if not blocked.where("blocks > 1").isEmpty():
         edges = edges.union(_across(texts.where("blocks > 1"), edges, percent, size))
     ends = common.components(edges.union(copies), "jaccard-classes").withColumnRenamed("id", "node")
-    return described, common.table(ends, "jaccard-labels")
+    ends = common.table(ends, "jaccard-labels")
+    common.delete(texts.sparkSession, texts)
+    return described, ends
 
 
 def _across(texts: DataFrame, edges: DataFrame, percent: int, size: int) -> DataFrame:

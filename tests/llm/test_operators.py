@@ -1,6 +1,7 @@
 """The operators on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter
@@ -418,6 +419,72 @@ def test_classes_of_null_and_repeated_ids(spark):
     assert jaccard.unique(frame.limit(0), 80, 5).count() == 0
 
 
+def test_shared_passages_tie_no_texts(spark, monkeypatch):
+    # every passage is in two texts, so no order puts a text's own shingles first; no two texts link
+    rng, held, table = random.Random(2), {}, common.table
+
+    def kept(df, label, *more):
+        held.setdefault(label, []).append(table(df, label, *more))
+        return held[label][-1]
+
+    monkeypatch.setattr(common, "table", kept)
+    ends = [e for _ in range(5) for e in rng.sample(range(200), 200)]
+    texts = [[] for _ in range(200)]
+    for k in range(0, len(ends), 2):
+        for e in ends[k : k + 2]:
+            texts[e] += [f"p{k}w{i}" for i in range(24)]
+    frame = spark.createDataFrame([*enumerate(map(" ".join, texts)), (200, " ".join(texts[0][:-2]))], "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in jaccard.unique(frame, 80, 5).collect()} == set(range(200))
+    assert {r["id"] for r in held["jaccard-may-all"][0].collect()} == {0, 200}
+    # what is read no more is gone: signatures and the texts that were compared
+    folders = [f.removeprefix("file:") for label in ("jaccard-sets", "jaccard-texts") for df in held[label] for f in df.inputFiles()]
+    assert folders and not any(os.path.exists(f) for f in folders)
+
+
+def test_sized_ties_connect_what_may_link():
+    rng = np.random.default_rng(3)
+    for percent, spread in ((80, 40), (80, 400), (90, 40)):
+        sizes = rng.integers(100, 100 + spread, 900)
+        signs = rng.integers(0, 12 if spread == 400 else 60, 900).astype(np.uint64)
+        steps, nodes = np.array([jaccard._size_step(int(n)) for n in sizes], np.uint8), rng.permutation(900).astype(np.int64)
+        edges = []
+        parts = [jaccard._thinned(signs[k::2], steps[k::2], nodes[k::2]) for k in range(2)]
+        edges += [(a, b) for *_, x, y in parts for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+        ties, pairs = jaccard._sized(*(np.concatenate([p[i] for p in parts]) for i in range(3)), percent)
+        label = list(range(900))
+
+        def root(x, label=label):
+            while label[x] != x:
+                x = label[x]
+            return x
+
+        for a, b in edges + ties.tolist():
+            label[root(a)] = root(b)
+        pairs = set(map(tuple, pairs.tolist()))
+        for i in range(900):
+            for j in range(i):
+                if signs[i] == signs[j] and 100 * min(sizes[i], sizes[j]) >= percent * max(sizes[i], sizes[j]):
+                    a, b = int(nodes[i]), int(nodes[j])
+                    assert (max(a, b), min(a, b)) in pairs or root(a) == root(b)
+        assert len(pairs) + len(ties) < 900 * jaccard.PAIRED / 2
+
+
+def test_parities_lose_no_link():
+    rng = np.random.default_rng(4)
+    linked = dropped = 0
+    for _ in range(800):
+        percent, n = int(rng.choice([80, 90])), int(rng.integers(1, 700))
+        tokens = rng.permutation(np.unique(rng.integers(1, 2**63, 3 * n + 9).astype(np.uint64)))
+        a, b = np.sort(tokens[:n]), np.sort(tokens[int(rng.integers(0, n // 4 + 1)) : n + int(rng.integers(0, n // 6 + 1))])
+        may = lambda x, y, p=percent: jaccard.may_link(len(x), jaccard.parity(x), len(y), jaccard.parity(y), p)
+        both = len(np.intersect1d(a, b))
+        if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
+            linked += 1
+            assert may(a, b) and may(b, a)
+        dropped += n >= 50 and not may(a, np.sort(tokens[n // 2 : n // 2 + n]))
+    assert linked > 50 and dropped > 600
+
+
 def test_every_linked_pair_shares_a_prefix_shingle():
     rng = np.random.default_rng(1)
     sketch = rng.integers(0, 5, jaccard.CELLS).astype(np.uint8)
