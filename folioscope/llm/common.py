@@ -63,16 +63,40 @@ def delete(spark: SparkSession, df: DataFrame) -> None:
 
 
 Batches = Iterator[pa.RecordBatch]
+#: What tasks of this process keep for later ones of the same operator.
+_kept: dict[str, dict] = {}
 
 
-def light(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
-    """``run`` for ``mapInArrow``; after a task what it freed goes back to the system, as workers are used again."""
+def kept(owner: str) -> dict:
+    """A dict that lasts from task to task of this process, until one of another operator begins."""
+    return _kept.setdefault(owner, {})
+
+
+def trim() -> None:
+    """Gives what was freed back to the system, by Arrow's pool too."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def begin(owner: str | None) -> None:
+    """Lets go what operators other than ``owner`` keep in this process."""
+    others = [k for k, v in _kept.items() if v and k != owner]
+    for k in others:
+        _kept[k].clear()
+    if others:
+        trim()
+
+
+def light(run: Callable[[Batches], Batches], owner: str | None = None) -> Callable[[Batches], Batches]:
+    """``run`` for ``mapInArrow``, with memory for the tasks that share a worker: what other operators than ``owner``
+    keep goes before it, and what it freed goes back to the system after it."""
 
     def wrapped(batches: Batches) -> Batches:
+        begin(owner)
         yield from run(batches)
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
 
     return wrapped
 

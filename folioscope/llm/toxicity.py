@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,8 @@ BATCH, RATE, VECTOR_RATE, SEED = 128, 0.01, 0.004, 7
 PRIOR = 4.0
 #: Parts of the training texts.
 PARTS = 4
+#: Texts whose words are held at a time in scoring, by number and UTF-8 bytes; a longer text is held by itself.
+HELD_TEXTS, HELD_BYTES = 2000, 1 << 20
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -151,7 +154,8 @@ class Network:
         w, (n, t, _) = self.w, x.shape
         both = np.stack([x, x[:, ::-1]])
         seen = None if mask is None else np.stack([mask, mask[:, ::-1]])[..., None]
-        inner = np.matmul(both.reshape(2, n * t, -1), w["wx"]).reshape(2, n, t, -1) + w["b"][:, None, None]
+        inner = np.matmul(both.reshape(2, n * t, -1), w["wx"]).reshape(2, n, t, -1)
+        inner += w["b"][:, None, None]
         h = np.zeros((2, n, STATE), np.float32)
         states = np.zeros((t, 2, n, STATE), np.float32)
         for i in range(t):
@@ -370,6 +374,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Network:
     return Network.load(bytes(found[0]["net"])) if found else learn([])
 
 
+def slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Start and end of the runs in which texts of these sizes are held."""
+    start = held = 0
+    for i, n in enumerate(sizes):
+        if i > start and (i - start == HELD_TEXTS or held + n > HELD_BYTES):
+            yield start, i
+            start, held = i, 0
+        held += n
+    if sizes:
+        yield start, len(sizes)
+
+
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """``docs`` with score (0 to 1) and at: the first word of the window that speaks most for toxicity.
 
@@ -387,8 +403,8 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
         table = WordTable(net.features)
         slope, offset = net.scale
         for whole in batches:
-            for start in range(0, len(whole), 2000):
-                batch = whole.slice(start, 2000)
+            for start, end in slices(pc.fill_null(pc.binary_length(whole.column(place)), 0).to_pylist()):
+                batch = whole.slice(start, end - start)
                 rows = table.look_up([words(t) for t in batch.column(place).to_pylist()])
                 text, first, found = logits(net, table.table, rows)
                 order = np.lexsort((first, -found, text))

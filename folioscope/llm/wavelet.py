@@ -222,13 +222,12 @@ class _Pieces(dict):
         return ids
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One a process, for all its tasks."""
+    encoders = common.kept("wavelet")
+    if path not in encoders:
+        encoders[path] = Encoder(path)
+    return encoders[path]
 
 
 def write(docs: DataFrame, vocabulary: str, uri: str, end_id: int = END_ID, file_tokens: int = FILE_TOKENS) -> DataFrame:
@@ -277,7 +276,7 @@ def write(docs: DataFrame, vocabulary: str, uri: str, end_id: int = END_ID, file
         if ids:
             yield close()
 
-    manifest = ordered.mapInArrow(common.light(shard), "file string, shard int, part int, documents long, tokens long")
+    manifest = ordered.mapInArrow(common.light(shard, "wavelet"), "file string, shard int, part int, documents long, tokens long")
     return common.table(manifest, "wavelet-manifest")
 
 
@@ -310,7 +309,7 @@ def documents(manifest: DataFrame, uri: str) -> DataFrame:
                     )
 
     dealt = placed.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
-    return dealt.mapInArrow(common.light(read), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return dealt.mapInArrow(common.light(read, "wavelet"), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import weakref
 import zlib
 from collections import Counter
 
@@ -86,6 +87,17 @@ def test_long_document_has_a_file_of_its_own(spark, docs):
     assert wavelet.documents(manifest, uri).agg(F.sum("n_tokens")).first()[0] == manifest.agg(F.sum("tokens")).first()[0]
 
 
+def test_a_task_lets_go_what_another_operator_keeps():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    wavelet.encoder(path).encode("some words")
+    held = weakref.ref(wavelet.encoder(path))
+    list(common.light(iter)(iter([])))
+    assert held() is None
+    held = weakref.ref(wavelet.encoder(path))
+    list(common.light(iter, "wavelet")(iter([])))
+    assert held() is wavelet.encoder(path)
+
+
 # --- shuffle --------------------------------------------------------------------------------------
 
 
@@ -681,6 +693,20 @@ def test_score_is_that_of_the_loudest_window(spark):
     assert got["at"] == toxicity.STRIDE * int(np.argmax(each))
 
 
+def test_scoring_holds_few_words_at_a_time(spark):
+    sizes = [0, 5, toxicity.HELD_BYTES, 3, 2 * toxicity.HELD_BYTES, *[1] * (toxicity.HELD_TEXTS + 1), 7]
+    runs = list(toxicity.slices(sizes))
+    assert [a for a, _ in runs] == [0, *[b for _, b in runs[:-1]]] and runs[-1][1] == len(sizes)
+    assert all(b - a == 1 or b - a <= toxicity.HELD_TEXTS and sum(sizes[a:b]) <= toxicity.HELD_BYTES for a, b in runs) and list(toxicity.slices([])) == []
+    rng, plain = random.Random(3), [f"word{i}" for i in range(80)]
+    net = toxicity.learn([(" ".join(rng.choice(plain) for _ in range(20)) + (" vile" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(90)])
+    texts = [" ".join(rng.choice(plain) for _ in range(n)) + end for n, end in [(90_000, " vile"), (50, ""), (90_000, ""), (0, "vile")]] + [None]
+    got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), net).collect()
+    alone = [toxicity.score(spark.createDataFrame([(i, t)], "doc_id long, text string"), net).first() for i, t in enumerate(texts)]
+    assert [(r["doc_id"], r["text"], r["at"]) for r in got] == [(r["doc_id"], r["text"], r["at"]) for r in alone]
+    assert np.allclose([r["score"] for r in got], [r["score"] for r in alone], atol=1e-5)
+
+
 # --- extraction -----------------------------------------------------------------------------------
 
 
