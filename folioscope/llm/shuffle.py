@@ -81,16 +81,17 @@ def shuffle(df: DataFrame, keys: list[str], shards: int = SHARDS, seed: int = SE
     cuts = spark.createDataFrame([(i, np.cumsum(row).tolist()) for i, row in enumerate(drawn)], T.StructType([T.StructField("block", T.IntegerType()), T.StructField("cuts", T.ArrayType(T.LongType()))]))
     cuts = common.table(cuts, "shuffle-matrix")
 
-    def dealt(part: DataFrame) -> DataFrame:
-        local = Window.partitionBy("block").orderBy(F.xxhash64("h", F.lit(1)), *values)
+    def dealt(part: DataFrame, ties: list[F.Column]) -> DataFrame:
+        local = Window.partitionBy("block").orderBy(F.xxhash64("h", F.lit(1)), *ties)
         ranked = part.withColumn("r", F.row_number().over(local)).join(cuts, "block")
         return ranked.withColumn("shard", F.expr("size(filter(cuts, c -> c < r))").cast("int")).withColumn("piece", F.pmod(F.xxhash64("h", F.lit(2)), F.lit(-(-blocks // shards))).cast("int")).drop("r", "cuts", "block")
 
-    counts = dealt(blocked.select("h", "block", *values)).groupBy("shard", "piece").agg(F.count("*").alias("n"))
+    # rows of one h share a piece and the ranks that their ties may permute, so the counts need no keys, which may be long
+    counts = dealt(blocked.select("h", "block"), []).groupBy("shard", "piece").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("piece")) - F.col("n")
     offsets = common.table(counts.select("shard", "piece", before.alias("before")), "shuffle-offsets", 1)
     again = Window.partitionBy("shard", "piece").orderBy(F.xxhash64("h", F.lit(3)), *values)
-    placed = dealt(blocked).withColumn("r", F.row_number().over(again)).join(offsets, ["shard", "piece"])
+    placed = dealt(blocked, values).withColumn("r", F.row_number().over(again)).join(offsets, ["shard", "piece"])
     return placed.select(*[F.col(f"u{i}").alias(c) for i, c in enumerate(own)], "shard", (F.col("before") + F.col("r") - 1).alias("slot"))
 
 

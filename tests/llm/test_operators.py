@@ -145,6 +145,19 @@ def test_shuffle_query_by_hand(spark, data):
     assert all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(n)) for s, n in held.items())
 
 
+def test_shuffle_moves_texts_twice(spark):
+    rng, sc = random.Random(4), spark.sparkContext
+    docs = common.table(spark.createDataFrame([(i, rng.randbytes(10_000).hex()) for i in range(300)], "doc_id long, text string"), "t")
+    stages = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    written = lambda: sum(stages().apply(i).shuffleWriteBytes() for i in range(stages().size()))
+    once = written()
+    docs.repartition(3).write.format("noop").mode("overwrite").save()
+    before = written()
+    once = before - once
+    shuffle.shuffle(docs, ["doc_id", "text"], shards=4).write.format("noop").mode("overwrite").save()
+    assert 1.9 * once < written() - before < 2.3 * once
+
+
 # --- mixing ---------------------------------------------------------------------------------------
 
 
