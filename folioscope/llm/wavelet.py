@@ -163,11 +163,14 @@ class Encoder:
 
     The vocabulary's splitting pattern never joins what a space begins with what stands before
     it, so a text's ids are those of its space-led pieces in a row, and pieces repeat. The ids of
-    ``memory`` pieces at most are kept. Texts that hold one of the vocabulary's added tokens, white space
+    ``memory`` pieces are kept, and those of two runs of ``RUN``, in two ages: when half as many are new, the older
+    ones go, but for those that came up again since. Texts that hold one of the vocabulary's added tokens, white space
     beside a space, or white space beyond space and line feed go through the tokenizer whole.
     """
 
-    def __init__(self, path: str, memory: int = 1_000_000):
+    RUN = 4096
+
+    def __init__(self, path: str, memory: int = 500_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -185,11 +188,18 @@ class Encoder:
             return b""
         if "  " in text or "\n " in text or " \n" in text or self.odd.search(text) or self.added.search(text) or text[0] == " " or text[-1] == " ":
             return self.direct(text)
-        head, *rest = text.split(" ")
-        for pieces in (self.inner, self.first):
-            if len(pieces) > self.memory:
-                pieces.clear()
-        return self.first[head] + b"".join(map(self.inner.__getitem__, rest))
+        pieces = text.split(" ")
+        self.forget()
+        coded = [self.first[pieces[0]]]
+        for at in range(1, len(pieces), self.RUN):
+            self.forget()
+            coded.append(b"".join(map(self.inner.__getitem__, pieces[at : at + self.RUN])))
+        return b"".join(coded)
+
+    def forget(self) -> None:
+        """Where half of ``memory`` is taken by new pieces, they become the older ones."""
+        if len(self.inner) + len(self.first) > self.memory // 2:
+            self.inner, self.first = self.inner.aged(), self.first.aged()
 
 
 def _byte_letters() -> list[str]:
@@ -201,19 +211,34 @@ def _byte_letters() -> list[str]:
 
 class _Pieces(dict):
     LETTERS = {i: x for i, x in enumerate(_byte_letters())}
+    #: Ids as little-endian bytes.
+    CODES = [i.to_bytes(2, "little") for i in range(1 << 16)]
 
     def __init__(self, encoder: Encoder, lead: str):
         super().__init__()
         self.encoder, self.lead = encoder, lead
         self.model = encoder.whole.model.tokenize
+        self.spelled_lead = lead.translate(self.LETTERS)
+        self.older: dict[str, bytes] = {}
+
+    def aged(self) -> _Pieces:
+        """Pieces without any of their own yet, and these as the older ones."""
+        new = _Pieces(self.encoder, self.lead)
+        new.older, self.older = self, {}
+        return new
 
     def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is not None:
+            self[piece] = ids
+            return ids
         before, feed, after = piece.partition("\n")
         if feed and before and after and after[0] != "\n":
             return self[before] + self.encoder.first["\n"] + self.encoder.first[after]
         if piece.isalpha():  # one unit of the splitting pattern, so the merges alone are left
-            spelled = (self.lead + piece).encode().decode("latin-1").translate(self.LETTERS)
-            ids = _packed([t.id for t in self.model(spelled)])
+            # ASCII letters are written as themselves
+            spelled = self.spelled_lead + (piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.LETTERS))
+            ids = b"".join([self.CODES[t.id] for t in self.model(spelled)])
         elif len(piece) > 1 and piece[-1] in ".," and piece[-2].isalpha():
             ids = self[piece[:-1]] + self.encoder.first[piece[-1]]
         else:
@@ -265,8 +290,8 @@ def write(docs: DataFrame, vocabulary: str, uri: str, end_id: int = END_ID, file
             return row
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                coded = code(text) + end
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):  # one text at a time leaves Arrow's memory
+                coded = code(text.as_py()) + end
                 if ids and total + len(coded) // 2 > file_tokens:
                     yield close()
                 total += len(coded) // 2

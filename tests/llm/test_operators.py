@@ -64,6 +64,20 @@ def test_pieces_equal_whole_texts():
         assert code.encode(text) == code.direct(text), repr(text)
 
 
+def test_encoder_keeps_few_pieces_and_those_that_come_up_again():
+    code, asked = wavelet.Encoder(public_tokenizers.path("byte_bpe_50k.json"), memory=1000), []
+    texts = [f"Often often {' '.join(f'rare{i}x, odd{i}' for i in range(at, at + 100))} often" for at in range(0, 3000, 100)]
+    texts += [" ".join(f"long{i}" for i in range(20_000)), *[f"Single{i}" for i in range(2000)]]
+    for text in texts:
+        assert code.encode(text) == code.direct(text)
+        ages = [code.inner, code.first]
+        for p in ages:
+            ages += [p.older] if getattr(p, "older", None) else []
+        assert sum(map(len, ages)) <= code.memory + 3 * 4096
+        asked.append(any("often" in p for p in ages))
+    assert all(asked[:30])  # no run of rare pieces drives it out
+
+
 @pytest.mark.parametrize("n", [1, 7, 511, 512, 513, 5000])
 def test_wavelet_matrix_answers(n):
     rng = np.random.default_rng(n)
