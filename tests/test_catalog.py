@@ -42,6 +42,16 @@ def test_odd_letters(spark, tmp_path, name):
     assert rows(catalog.QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.sql(catalog.ORACLE_SQL[name]).df())
 
 
+def test_long_chains_of_copies(spark, tmp_path):
+    """More copies of one text than a walk follows: the SQL ends each walk where its hops run out."""
+    texts = [(i, "en" if i % 9 else "fr", "same" if i % 3 else f"other {i % 2}") for i in range(260)]
+    spark.createDataFrame(texts, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got, expected = catalog.QUERIES["redirect_closure"](spark, str(tmp_path)).toPandas(), con.sql(catalog.ORACLE_SQL["redirect_closure"]).df()
+    assert rows(got) == rows(expected) and max(got["hops"]) == 50
+
+
 def test_entry_has_rows(spark):
     assert __spark_entry__.entry(spark).count() > 0
 

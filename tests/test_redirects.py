@@ -32,6 +32,20 @@ def test_closure(spark, name):
     assert got == walk(CASES[name])
 
 
+@pytest.mark.parametrize("name", CASES)
+@pytest.mark.parametrize("most", [1, 3, 50])
+def test_reached(spark, name, most):
+    to = {(a, s): d for a, s, d in CASES[name]}
+    far = {}
+    for a, s in to:
+        at, hops = s, 0
+        while (a, at) in to and hops < most:
+            at, hops = to[a, at], hops + 1
+        far[a, s] = (at, hops)
+    edges = spark.createDataFrame(CASES[name], "archive string, src long, dst long")
+    assert {(r["archive"], r["src"]): (r["terminal"], r["hops"]) for r in redirects.reached(edges, most).collect()} == far
+
+
 def test_null_target(spark):
     edges = spark.createDataFrame([("a", 1, None), ("a", 2, 1)], "archive string, src long, dst long")
     got = {r["src"]: r["terminal"] for r in redirects.closure(edges).collect()}
