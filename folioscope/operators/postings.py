@@ -73,7 +73,7 @@ def by_word(docs: DataFrame, run: Callable, text: str = "text") -> DataFrame:
 
 def postings(docs: DataFrame, text: str = "text") -> DataFrame:
     """archive, term, doc_id, wdf of the folded text. Words are counted where their document is read, so no row of
-    them is exchanged; a repeated key is merged before."""
+    them is exchanged; texts of a repeated key are merged before, the only exchange of texts."""
     return by_word(docs, _rows, text)
 
 
