@@ -2,53 +2,47 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from folioscope.functions import markup, render
+from folioscope.operators import postings as px
 
 _REGIONS = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("paragraphs", T.ArrayType(T.StringType()))]))
 
 
-def _rows(found: list[tuple[str, list[str]]]) -> list[dict]:
-    return [{"pos": k, "name": name, "paragraphs": paragraphs} for k, (name, paragraphs) in enumerate(found)]
-
-
-@F.pandas_udf(_REGIONS)
-def html_sections(source: pd.Series) -> pd.Series:
-    return source.map(lambda s: _rows(markup.html_sections(s or "")))
-
+#: Bytes of source that are Python objects at a time, whatever an Arrow batch holds; a longer source is taken alone.
+STEP = 1 << 20
 
-@F.pandas_udf(_REGIONS)
-def md_sections(source: pd.Series) -> pd.Series:
-    return source.map(lambda s: _rows(markup.md_sections(s or "")))
 
-
-@F.pandas_udf(T.StringType())
-def html_section_content(source: pd.Series, name: pd.Series) -> pd.Series:
-    return pd.Series([markup.html_section_content(s or "", n or "") for s, n in zip(source, name, strict=True)], dtype=object)
-
-
-@F.pandas_udf(T.StringType())
-def md_section_content(source: pd.Series, name: pd.Series) -> pd.Series:
-    return pd.Series([markup.md_section_content(s or "", n or "") for s, n in zip(source, name, strict=True)], dtype=object)
+def _rows(found: list[tuple[str, list[str]]]) -> list[dict]:
+    return [{"pos": k, "name": name, "paragraphs": paragraphs} for k, (name, paragraphs) in enumerate(found)]
 
 
-@F.pandas_udf(T.StringType())
-def html_to_md(source: pd.Series, title: pd.Series, lang: pd.Series) -> pd.Series:
-    return pd.Series([render.html_to_md(s or "", t or None, x or None) for s, t, x in zip(source, title, lang, strict=True)], dtype=object)
+def _each(f: Callable, kind: T.DataType):
+    """``f`` of each row as a column expression. A batch stays in Arrow; only a step of its rows is Python objects."""
+    arrow = to_arrow_type(kind)
 
+    def run(*columns: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays(list(columns), [str(k) for k in range(len(columns))])
+        parts = [pa.array([f(*row) for row in zip(*(c.to_pylist() for c in step.columns), strict=True)], arrow) for step in px.steps(iter([batch]), "0", STEP)]
+        return pa.concat_arrays(parts) if parts else pa.array([], arrow)
 
-@F.pandas_udf(T.StringType())
-def html_unescape(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else markup.unescape(t))
+    return F.arrow_udf(run, kind)
 
 
-@F.pandas_udf(T.StringType())
-def percent_decode(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else markup.percent_decode(t))
+html_sections = _each(lambda s: _rows(markup.html_sections(s or "")), _REGIONS)
+md_sections = _each(lambda s: _rows(markup.md_sections(s or "")), _REGIONS)
+html_section_content = _each(lambda s, n: markup.html_section_content(s or "", n or ""), T.StringType())
+md_section_content = _each(lambda s, n: markup.md_section_content(s or "", n or ""), T.StringType())
+html_to_md = _each(lambda s, t, x: render.html_to_md(s or "", t or None, x or None), T.StringType())
+html_unescape = _each(lambda t: None if t is None else markup.unescape(t), T.StringType())
+percent_decode = _each(lambda t: None if t is None else markup.percent_decode(t), T.StringType())
 
 
 def sections(docs: DataFrame, source: str, keys: list[str], markdown: bool = False) -> DataFrame:
