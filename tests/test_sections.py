@@ -13,6 +13,8 @@ def test_rows_and_order(spark):
     docs = spark.createDataFrame(list(enumerate(PAGES)), "page_id long, html string").coalesce(1)
     got = {r["page_id"]: r for r in docs.select("page_id", sections.html_to_md("html", F.lit("T"), F.lit("eng")).alias("md"), sections.html_unescape("html").alias("u")).collect()}
     assert all(got[k]["md"] == render.html_to_md(p or "", "T", "eng") and got[k]["u"] == (p and markup.unescape(p)) for k, p in enumerate(PAGES))
+    rows = [(r["page_id"], r["pos"], r["name"], r["paragraphs"]) for r in sections.sections(docs, "html", ["page_id"]).collect()]
+    assert sorted(rows) == [(k, n, name, parts) for k, p in enumerate(PAGES) for n, (name, parts) in enumerate(markup.html_sections(p or ""))]
 
 
 def test_few_pages_are_objects_at_a_time():
