@@ -1,13 +1,16 @@
 """A search index that is written once and reopened: Parquet tables of postings, term and archive statistics, lengths.
 
 Postings and terms are partitioned by a hash of the term, so that a search lists only the folders of its own words, and
-sorted by term, so that row groups without them are skipped.
+sorted by term, so that row groups without them are skipped. A row of the postings is a list: a term in a run of documents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +19,10 @@ from folioscope.functions import stem
 from folioscope.functions import text as fx
 from folioscope.operators import postings as px
 from folioscope.operators import ranking as rx
+from folioscope.operators import stems
 
+#: Bytes of text that one run of documents holds at most; a longer text is one alone.
+RUN = 8 << 20
 #: Folders of terms, unless an index is written with others.
 BUCKETS = 256
 #: The longest term in bytes, and what marks a stem beside a surface form.
@@ -27,9 +33,11 @@ STRATEGIES = ("none", "some", "all", "all_z")
 SCHEMAS = {
     "archives": "archive string, stemmer string, n_docs long, total_len long, strategy string, buckets int",
     "lengths": "stemmer string, archive string, doc_id long, doclen long",
-    "postings": "stemmer string, archive string, doc_id long, term string, doclen long, wdf long, bucket int",
+    "postings": "stemmer string, archive string, term string, doc_ids array<long>, doclens array<long>, wdfs array<long>, bucket int",
     "terms": "stemmer string, archive string, term string, df long, cf long, bucket int",
 }
+#: What runs of documents become: lists of terms with df and cf in the run; kind 0 has its documents and their lengths, and no term.
+_LISTS = "kind int, stemmer string, archive string, term string, df long, cf long, doc_ids array<long>, doclens array<long>, wdfs array<long>"
 
 
 def bucket(term: Column, buckets: int) -> Column:
@@ -44,45 +52,99 @@ def stemmer(language: Column) -> Column:
     return F.when(known.isin(list(stem.STEMMERS)), known).otherwise("")
 
 
-def _stemmed(posts: DataFrame, strategy: str) -> DataFrame:
-    """Postings by the terms of the strategy; each distinct (stemmer, term) is stemmed once."""
-    if strategy == "none":
-        return posts
-    distinct = posts.where("stemmer <> ''").select("stemmer", "term").distinct().withColumn("root", stem.stem_udf("stemmer", "term"))
-    marked = F.concat(F.lit(STEM), "root")
-    forms = {"some": F.array("term", marked), "all": F.array("root"), "all_z": F.array(marked)}[strategy]
-    each = posts.join(distinct, ["stemmer", "term"], "left")
-    each = each.withColumn("term", F.explode(F.when(F.col("root").isNull(), F.array("term")).otherwise(forms)))
-    return each.groupBy("stemmer", *px.KEYS, "term").agg(F.first("doclen").alias("doclen"), F.sum("wdf").alias("wdf"))
+def _forms(strategy: str, key: str, word: str) -> list[str]:
+    """The terms of a word in an archive whose stemmer is ``key``."""
+    if not key or strategy == "none":
+        return [word]
+    root = stems.remembered(key, word)
+    return {"some": [word, STEM + root], "all": [root], "all_z": [STEM + root]}[strategy]
+
+
+def _runs(strategy: str) -> Callable:
+    """Inverts runs of documents (stemmer, keys, spaced text ``w``) where they are read: far fewer rows than postings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in px.steps(batches, "w", RUN):
+            rows, codes, wdf, words = px.count(step["w"])
+            short = pc.less_equal(pc.binary_length(words), LONGEST).to_numpy(zero_copy_only=False)[codes]
+            rows, codes, wdf = rows[short], codes[short], wdf[short]
+            known: dict[tuple[str, str | None], int] = {}
+            group = np.array([known.setdefault(k, len(known)) for k in zip(step["stemmer"].to_pylist(), step["archive"].to_pylist(), strict=True)], np.int64)
+            stemmed = np.array([key != "" for key, _ in known], bool)[group] if strategy == "some" else np.zeros(step.num_rows, bool)
+            doclen = np.bincount(rows, wdf, step.num_rows).astype(np.int64) * (1 + stemmed)
+            if strategy != "none":
+                n = max(len(words), 1)
+                pairs, which = np.unique(group[rows] * n + codes, return_inverse=True)
+                of, word = np.divmod(pairs, n)
+                names = [key for key, _ in known]
+                forms = [_forms(strategy, names[g], w) for g, w in zip(of.tolist(), words.take(pa.array(word)).to_pylist(), strict=True)]
+                coded = pa.array([f for each in forms for f in each], pa.string()).dictionary_encode()
+                many = np.array([len(f) for f in forms], np.int64)
+                # a pair's forms follow each other from its first on
+                first, times = (np.cumsum(many) - many)[which], many[which]
+                nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                codes, words = coded.indices.to_numpy()[np.repeat(first, times) + nth].astype(np.int64), coded.dictionary
+                rows, codes, wdf = stems.recount(np.repeat(rows, times), codes, np.repeat(wdf, times), max(len(words), 1))
+            n = max(len(words), 1)
+            key = group[rows] * n + codes
+            order = np.argsort(key, kind="stable")
+            key, rows, wdf = key[order], rows[order], wdf[order]
+            starts = np.flatnonzero(np.diff(key, prepend=-1))
+            yield _batch(1, list(known), *np.divmod(key[starts], n), words, starts, wdf, rows, step, doclen)
+            order = np.argsort(group, kind="stable")
+            starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+            yield _batch(0, list(known), group[order][starts], None, None, starts, None, order, step, doclen)
+
+    return run
+
+
+def _batch(kind, groups, of, codes, words, starts, wdf, rows, step, doclen) -> pa.RecordBatch:
+    """Lists that begin at ``starts`` of ``rows``."""
+    n = len(starts)
+    offsets = pa.array(np.append(starts, len(rows)), pa.int32())
+    lists = lambda values: pa.ListArray.from_arrays(offsets, values)
+    cf = None if wdf is None else pa.array(np.add.reduceat(wdf, starts) if n else wdf, pa.int64())
+    columns = {
+        "kind": pa.array(np.full(n, kind), pa.int32()),
+        "stemmer": pa.array([k for k, _ in groups], pa.string()).take(pa.array(of)),
+        "archive": pa.array([a for _, a in groups], pa.string()).take(pa.array(of)),
+        "term": pa.nulls(n, pa.string()) if words is None else words.take(pa.array(codes)),
+        "df": pa.array(np.diff(np.append(starts, len(rows))), pa.int64()),
+        "cf": pa.nulls(n, pa.int64()) if cf is None else cf,
+        "doc_ids": lists(step["doc_id"].take(pa.array(rows))),
+        "doclens": lists(pa.array(doclen[rows])),
+        "wdfs": pa.nulls(n, pa.list_(pa.int64())) if wdf is None else lists(pa.array(wdf, pa.int64())),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 def write(docs: DataFrame, path: str, text: str = "text", languages: DataFrame | None = None, strategy: str = "none", buckets: int = BUCKETS) -> Index:
     """Writes the index of ``docs`` (archive, doc_id and a text; archive and doc_id are the key) below ``path``.
 
     ``languages`` (archive, language) chooses stems; without it an archive's name is its language. Words of more than
-    240 bytes index nothing. A null or empty text has length 0 and counts as a document. A term may
-    hold most of the postings: they are dealt by ranges of term and document, so one term fills many tasks.
+    240 bytes index nothing. A null or empty text has length 0 and counts as a document. Texts are taken apart once, and
+    runs of documents inverted where they are read. A term may hold most of the postings: its lists, one a run, are dealt
+    by ranges of term and document, so one term fills many tasks.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; there are {', '.join(STRATEGIES)}")
     spark = docs.sparkSession
-    words = F.filter(fx.tokens(fx.fold(F.coalesce(F.col(text), F.lit("")))), lambda t: F.octet_length(t) <= LONGEST)
-    own = docs.select("archive", F.col("doc_id").cast("long").alias("doc_id"), words.alias("w"))
+    own = docs.select("archive", F.col("doc_id").cast("long").alias("doc_id"), fx.spaced(fx.fold(F.coalesce(F.col(text), F.lit("")))).alias("w"))
     if languages is None:
         own = own.withColumn("stemmer", stemmer(F.col("archive")))
     else:
-        own = own.join(languages.select("archive", stemmer(F.col("language")).alias("stemmer")), "archive", "left").fillna("", ["stemmer"])
-    forms = F.when((F.col("stemmer") != "") & F.lit(strategy == "some"), 2).otherwise(1)
-    own = own.select("stemmer", *px.KEYS, (F.size("w") * forms).cast("long").alias("doclen"), "w")
-    own.drop("w").write.mode("error").parquet(f"{path}/lengths")
-    each = own.select("stemmer", *px.KEYS, "doclen", F.explode("w").alias("term"))
-    posts = each.groupBy("stemmer", *px.KEYS, "term").agg(F.first("doclen").alias("doclen"), F.count("*").alias("wdf"))
-    # ranges are cut by a sample, which would otherwise make the postings twice
-    posts, made = scratch.table(_stemmed(posts, strategy).withColumn("bucket", bucket(F.col("term"), buckets)), "index")
-    order = ["bucket", "term", *px.KEYS]
-    posts.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("error").partitionBy("bucket").parquet(f"{path}/postings")
-    terms = posts.groupBy("bucket", "stemmer", "archive", "term").agg(F.count("*").alias("df"), F.sum("wdf").alias("cf"))
+        own = own.join(languages.select("archive", stemmer(F.col("language")).alias("stemmer")), "archive", "left")
+    own = own.fillna("", ["stemmer"]).select("stemmer", *px.KEYS, "w")
+    made = scratch.folder(spark, "index")
+    own.mapInArrow(_runs(strategy), _LISTS).write.partitionBy("kind").parquet(made)
+    runs = spark.read.schema(_LISTS).parquet(made)
+    held = F.inline(F.arrays_zip("doc_ids", "doclens")).alias("doc_id", "doclen")
+    runs.where("kind = 0").select("stemmer", "archive", held).write.mode("error").parquet(f"{path}/lengths")
+    lists = runs.where("kind = 1").withColumn("bucket", bucket(F.col("term"), buckets))
     order = ["bucket", "term", "archive"]
+    posts = lists.select("stemmer", "archive", "term", "doc_ids", "doclens", "wdfs", "bucket")
+    posts.repartitionByRange(*order, F.get("doc_ids", F.lit(0))).sortWithinPartitions(*order).write.mode("error").partitionBy("bucket").parquet(f"{path}/postings")
+    terms = lists.groupBy("bucket", "stemmer", "archive", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
     terms.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("error").partitionBy("bucket").parquet(f"{path}/terms")
     scratch.remove(spark, made)
     stats = spark.read.parquet(f"{path}/lengths").groupBy("archive", "stemmer").agg(F.count("*").alias("n_docs"), F.sum("doclen").alias("total_len"))
@@ -95,7 +157,9 @@ class Index:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self.archives, self.lengths, self.postings, self.terms = (spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in SCHEMAS.items())
+        self.archives, self.lengths, lists, self.terms = (spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in SCHEMAS.items())
+        one = F.inline(F.arrays_zip("doc_ids", "doclens", "wdfs")).alias("doc_id", "doclen", "wdf")
+        self.postings = lists.select("stemmer", "archive", "term", "bucket", one)
         found = self.archives.select("strategy", "buckets").first()
         self.strategy, self.buckets = tuple(found) if found else ("none", BUCKETS)
 

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +41,30 @@ def test_reads_only_the_words_folders(plain):
     assert any("term" in part[:200] for part in plan.split("PushedFilters: [")[1:])
 
 
+def test_postings_are_lists_by_run(spark, docs, tmp_path):
+    plain = ix.write(docs.coalesce(1), f"file://{tmp_path}/i", buckets=8)
+    lists = spark.read.parquet(f"{plain.path}/postings")
+    assert lists.count() < plain.postings.count() == plain.terms.agg(F.sum("df")).first()[0]
+    assert {tuple(r) for r in plain.postings.where("term = 'the'").select("archive", "doc_id", "doclen", "wdf").collect()} == {("en", 1, 4, 1), ("en", 2, 3, 1), ("xx", 1, 2, 1), ("de", 7, 3, 1)}
+
+
+@pytest.mark.parametrize("strategy", ix.STRATEGIES)
+def test_runs_equal_one_run(strategy):
+    """Documents one at a time give the postings that they give together."""
+    columns = [pa.array(["en", "en", "", "", "en"]), pa.array(["en", "en", "xx", None, "en"]), pa.array([1, 2, 1, None, 3]), pa.array(["run the runs run", "", "run " + "y" * 241, "a", "runs running"])]
+    whole = pa.RecordBatch.from_arrays(columns, ["stemmer", "archive", "doc_id", "w"])
+
+    def rows(*batches):
+        found = pa.Table.from_batches([b for b in ix._runs(strategy)(iter(batches)) if b.num_rows]).to_pylist()
+        assert all(r["df"] == len(r["doc_ids"]) and (r["cf"] is None or r["cf"] == sum(r["wdfs"])) for r in found)
+        return sorted(((r["kind"], r["archive"], r["term"], d, n, r["wdfs"] and r["wdfs"][k]) for r in found for k, (d, n) in enumerate(zip(r["doc_ids"], r["doclens"], strict=True))), key=repr)
+
+    assert rows(whole) == rows(*(whole.slice(k, 1) for k in range(5)), whole.slice(0, 0))
+    terms = {"none": ["run", "runs", "the"], "some": ["Zrun", "Zthe", "run", "runs", "the"], "all": ["run", "the"], "all_z": ["Zrun", "Zthe"]}[strategy]
+    assert [r[2] for r in rows(whole) if r[0] == 1 and r[3] == 1 and r[1] == "en"] == terms
+    assert [(r[3], r[4]) for r in rows(whole) if r[0] == 0 and r[1] == "en"] == [(1, 8 if strategy == "some" else 4), (2, 0), (3, 4 if strategy == "some" else 2)]
+
+
 @pytest.mark.parametrize(("strategy", "found"), [("none", [("en", 1), ("xx", 1)]), ("some", [("en", 1), ("xx", 1)]), ("all", [("en", 1), ("xx", 1)]), ("all_z", [("en", 1), ("xx", 1)])])
 def test_stems_by_archive(docs, tmp_path, strategy, found):
     made = ix.write(docs, f"file://{tmp_path}/i", strategy=strategy, buckets=8)
